@@ -7,8 +7,10 @@ share of equal coordinates of two sets concentrates around their Jaccard similar
 
 Bands of ``rows`` coordinates propose links between classes of equal sets; every link is confirmed on
 the full sets. In a bucket of similar texts one hub is compared with all members, links are merged
-into components, and only members outside the bucket's main component are then compared with all the
-others: work is linear in a bucket's size unless its members really differ.
+into components, and only members outside the bucket's main component are then compared with the
+others, first with one, then with all whose sets can still share enough by two exact bounds (elements
+that no other set has, and a bitmap of each set): work is linear in a bucket's size but for members
+that nearly reach the threshold.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from .graph import connected_components
 from .storage import materialize
 
 WIDTH, PERCENT, ROWS, BANDS, FIRST_BANDS = 5, 75, 5, 40, 6
+#: 64-bit words of the bitmap that bounds what two sets can share
+MARKS = 64
 _EMPTY = np.iinfo(np.uint64).max
 
 
@@ -75,8 +79,12 @@ def _sets(width: int):
             for lo, hi, data, offsets in K.chunks(batch.column(1)):
                 sets = K.shingle_sets(data, offsets, width)
                 bounds = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-                flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))], ["doc_id", "elements"])
+                flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
+                bits = np.zeros((len(sets), 64 * MARKS), bool)
+                bits[np.repeat(np.arange(len(sets)), np.diff(bounds)), flat % np.uint64(64 * MARKS)] = True
+                marks = np.packbits(bits, 1).view(np.int64).reshape(-1)
+                columns = [batch.column(0)[lo:hi], pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat.view(np.int64)))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * MARKS), pa.array(marks))], ["doc_id", "elements", "marks"])
 
     return run
 
@@ -90,6 +98,18 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * shared >= percent * (F.size("ea") + F.size("eb") - shared)).select("a", "b")
 
 
+def _useful(ids: DataFrame, sets: DataFrame) -> DataFrame:
+    """(id, useful): how many elements of each of these sets occur in another one of them.
+
+    No two of the sets can share more than the lesser of these numbers, an exact bound that spares
+    the comparison of texts which resemble many others but not closely enough.
+    """
+    own = sets.join(ids, "doc_id").select(F.col("doc_id").alias("id"), "elements")
+    alone = own.select("id", F.explode("elements").alias("e")).groupBy("e").agg(F.count("*").alias("c"), F.min("id").alias("id")).filter("c = 1")
+    alone = alone.groupBy("id").agg(F.count("*").alias("alone"))
+    return own.select("id", F.size("elements").alias("n")).join(alone, "id", "left").select("id", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("useful"))
+
+
 def near_duplicates(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT, rows: int = ROWS, bands: int = BANDS, first_bands: int = FIRST_BANDS) -> DataFrame:
     """One row a document: doc_id, n_shingles, class_id, component_id, kept.
 
@@ -112,7 +132,7 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCE
     buckets = materialize(tags.join(met, ["band", "tag"]), "buckets")
 
     ids = buckets.select(F.col("id").alias("doc_id")).distinct()
-    sets_of = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("elements", T.ArrayType(T.LongType()))])
+    sets_of = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("elements", T.ArrayType(T.LongType())), T.StructField("marks", T.ArrayType(T.LongType()))])
     sets = materialize(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(width), sets_of).dropDuplicates(["doc_id"]), "sets")
 
     near = f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)"
@@ -123,21 +143,31 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCE
     links = materialize(_confirmed(first, sets, percent), "confirmed")
     parts = materialize(connected_components(links), "parts")
 
-    tried = first
+    tried, useful = first, None
     for step in ("hub", "rest"):
         label = F.coalesce("component", "id").alias("part")
         named = buckets.select("band", "tag", "id", "n").join(parts.withColumnRenamed("node", "id"), "id", "left").select("band", "tag", "id", "n", label)
         # the main component of a bucket: that of its largest part, ties to the least
-        sizes = named.groupBy("band", "tag", "part").agg(F.count("*").alias("m"), F.min("id").alias("head"))
+        sizes = named.groupBy("band", "tag", "part").agg(F.count("*").alias("m"), F.min_by("id", F.xxhash64("id", "band")).alias("head"))
         main = sizes.groupBy("band", "tag").agg(F.count("*").alias("parts"), F.max_by(F.struct("part", "head"), F.struct("m", -F.col("part"))).alias("main")).filter("parts > 1")
         mixed = named.join(main, ["band", "tag"])
+        if useful is None:
+            useful = materialize(_useful(mixed.select(F.col("id").alias("doc_id")).distinct(), sets), "useful")
+        mixed = materialize(mixed.join(useful, "id").filter(f"100 * useful >= {percent} * n"), "mixed")
         outside = mixed.filter("part <> main.part")
-        if step == "hub":  # those outside against one hub a bucket, of its main part
-            hub = mixed.filter("id = main.head").select("band", "tag", F.col("n").alias("hub_n"))
-            pairs = outside.join(hub, ["band", "tag"]).filter(near).select(F.least("id", "main.head").alias("a"), F.greatest("id", "main.head").alias("b"))
-        else:  # those outside that are left against every member
-            other = mixed.select("band", "tag", F.col("id").alias("other"), F.col("n").alias("hub_n"), F.col("part").alias("other_part"))
-            pairs = outside.join(other, ["band", "tag"]).filter("part <> other_part").filter(near).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+        # sets share at most their useful elements; a link needs percent / (100 + percent) of both sizes together
+        close = f"{near} and {100 + percent} * least(useful, hub_useful) >= {percent} * (n + hub_n)"
+        other = mixed.select("band", "tag", F.col("id").alias("other"), F.col("n").alias("hub_n"), F.col("useful").alias("hub_useful"), F.col("part").alias("other_part"), F.col("main.head").alias("head"))
+        if step == "hub":  # those outside against one member a bucket, of its main part
+            pairs = outside.join(other.filter("other = head"), ["band", "tag"]).filter(close)
+        else:  # those still outside against every member of another part
+            marks = sets.select(F.col("doc_id").alias("id"), "marks")
+            outside = outside.join(marks, "id")
+            other = other.join(marks.select(F.col("id").alias("other"), F.col("marks").alias("other_marks")), "other")
+            only = "aggregate(zip_with(marks, other_marks, (x, y) -> bit_count({})), 0, (s, x) -> s + x)"
+            shared = f"least(n - {only.format('x & ~y')}, hub_n - {only.format('y & ~x')})"
+            pairs = outside.join(other, ["band", "tag"]).filter(f"part <> other_part and {close} and {100 + percent} * {shared} >= {percent} * (n + hub_n)")
+        pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
         pairs = materialize(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "tried")
         more = materialize(_confirmed(pairs, sets, percent), "confirmed")
         tried = tried.unionByName(pairs)
