@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("near_dedup",)
+MODULES = ("near_dedup", "language", "chat", "hamming_search", "token_blocks", "packing", "repeats", "resampling", "graph_search", "mixing")
 
 
 def queries() -> dict:
