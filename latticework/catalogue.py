@@ -1,7 +1,463 @@
-"""The registered queries of the numerical operators and their DuckDB SQL."""
+"""The registered queries of the numerical operators and their DuckDB SQL. All run over whole tables."""
 
 from __future__ import annotations
 
-FLAGSHIP = ""
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import vectors as fv
+from .operators import cells, differentiation, iterative, optimization, pairwise, sparse, stats, tall
+from .plans import reporting
+from .sources.tables import coo, table, vectors
+from .streaming import moments
+
+FLAGSHIP = "pca_line_items"
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(c, name: str, digits: int = 6):
+    return (F.round(c, digits) + 0.0).alias(name)
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return vectors(table(spark, d, "embeddings"), "vec_id", "embedding")
+
+
+# Vectors ----------------------------------------------------------------------------------------
+
+_NEXT = "FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"
+
+
+def _next(spark: SparkSession, d: str) -> DataFrame:
+    rows = _vectors(spark, d)
+    return rows.select("row_id", F.col("v").alias("a")).join(rows.select((F.col("row_id") - 1).alias("row_id"), F.col("v").alias("b")), "row_id")
+
+
+@query(f"SELECT a.vec_id AS row_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) + 0 AS dot {_NEXT}")
+def vec_dot(spark, d):
+    return _next(spark, d).select("row_id", r6(fv.dot("a", "b"), "dot"))
+
+
+@query("SELECT vec_id AS row_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings")
+def vec_norm(spark, d):
+    return _vectors(spark, d).select("row_id", r6(fv.l2_norm("v"), "norm"))
+
+
+@query(f"SELECT a.vec_id AS row_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) + 0 AS similarity, round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) + 0 AS distance {_NEXT}")
+def cosine(spark, d):
+    return _next(spark, d).select("row_id", r6(fv.cosine_similarity("a", "b"), "similarity"), r6(fv.cosine_distance("a", "b"), "distance"))
+
+
+@query("SELECT a.vec_id AS left_id, b.vec_id AS right_id, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS distance FROM embeddings a, embeddings b")
+def pairwise_l2(spark, d):
+    rows = _vectors(spark, d)
+    return pairwise.pairwise_l2_distance(rows, rows).withColumn("distance", F.round("distance", 6))
+
+
+@query("SELECT a.vec_id AS left_id, b.vec_id AS right_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) + 0 AS similarity FROM embeddings a, embeddings b")
+def pairwise_cosine(spark, d):
+    rows = _vectors(spark, d)
+    return pairwise.pairwise_cosine_similarity(rows, rows).withColumn("similarity", F.round("similarity", 6) + 0.0)
+
+
+@query("SELECT a.vec_id AS left_id, b.vec_id AS right_id, round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) + 0 AS distance FROM embeddings a, embeddings b")
+def pairwise_cosine_distance(spark, d):
+    rows = _vectors(spark, d)
+    return pairwise.pairwise_cosine_distance(rows, rows).withColumn("distance", F.round("distance", 6) + 0.0)
+
+
+@query("""SELECT left_id, right_id, rank::INTEGER AS rank, round(s, 6) AS similarity FROM (
+  SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY s DESC, right_id) AS rank FROM (
+    SELECT a.vec_id AS left_id, b.vec_id AS right_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS s
+    FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id)) WHERE rank <= 5""")
+def cosine_topk(spark, d):
+    rows = _vectors(spark, d)
+    return pairwise.cosine_top_k(rows, rows, 5).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(f"SELECT a.vec_id AS row_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) + 0 AS dot {_NEXT}")
+def batched_dot(spark, d):
+    rows = _vectors(spark, d)
+    return pairwise.batched_dot(rows, rows.withColumn("row_id", F.col("row_id") - 1)).withColumn("dot", F.round("dot", 6) + 0.0)
+
+
+@query(f"""WITH p AS (SELECT a.vec_id, a.embedding[1:32]::DOUBLE[] AS ar, a.embedding[33:64]::DOUBLE[] AS ai, b.embedding[1:32]::DOUBLE[] AS br, b.embedding[33:64]::DOUBLE[] AS bi {_NEXT}),
+s AS (SELECT vec_id, list_dot_product(ar, br) + list_dot_product(ai, bi) AS re, list_dot_product(ar, bi) - list_dot_product(ai, br) AS im,
+  sqrt(list_dot_product(ar, ar) + list_dot_product(ai, ai)) AS na, sqrt(list_dot_product(br, br) + list_dot_product(bi, bi)) AS nb FROM p)
+SELECT vec_id AS row_id, round(re, 6) + 0 AS re, round(im, 6) + 0 AS im, round(na, 6) AS norm, round(re / (na * nb), 6) + 0 AS cos_re, round(im / (na * nb), 6) + 0 AS cos_im FROM s""")
+def complex_vectors(spark, d):
+    half = lambda c: fv.complex_vector(F.slice(c, 1, 32), F.slice(c, 33, 32))
+    rows = _next(spark, d).select("row_id", half("a").alias("a"), half("b").alias("b"))
+    dot, cos = fv.dot_hermitian("a", "b"), fv.cosine_similarity_complex("a", "b")
+    return rows.select("row_id", r6(dot["re"], "re"), r6(dot["im"], "im"), r6(fv.l2_norm_complex("a"), "norm"), r6(cos["re"], "cos_re"), r6(cos["im"], "cos_im"))
+
+
+# Statistics -------------------------------------------------------------------------------------
+
+
+@query("SELECT " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in NUMERIC) + " FROM lineitem")
+def column_means(spark, d):
+    return stats.column_means(table(spark, d, "lineitem"), NUMERIC).select(*(r6(F.col(c), c) for c in NUMERIC))
+
+
+@query("SELECT l_orderkey, l_linenumber, " + ", ".join(f"round({c} - avg({c}) OVER (), 3) + 0 AS {c}" for c in NUMERIC) + " FROM lineitem")
+def center_columns(spark, d):
+    return stats.center_columns(table(spark, d, "lineitem"), NUMERIC).select("l_orderkey", "l_linenumber", *(r6(F.col(c), c, 3) for c in NUMERIC))
+
+
+def _pairs_sql(value: str, name: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{a}' AS row, '{b}' AS col, round({value.format(a=a, b=b)}, 6) + 0 AS {name} FROM lineitem" for a in NUMERIC for b in NUMERIC)
+
+
+@query(_pairs_sql("covar_samp({a}, {b})", "covariance"))
+def covariance_matrix(spark, d):
+    return stats.covariance_matrix(table(spark, d, "lineitem"), NUMERIC).withColumn("covariance", F.round("covariance", 6) + 0.0)
+
+
+@query(_pairs_sql("covar_samp({a}, {b}) / greatest(sqrt(var_samp({a}) * var_samp({b})), 2.220446049250313e-16)", "correlation"))
+def correlation_matrix(spark, d):
+    return stats.correlation_matrix(table(spark, d, "lineitem"), NUMERIC).withColumn("correlation", F.round("correlation", 6) + 0.0)
+
+
+@query("SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r_squared FROM lineitem GROUP BY l_returnflag")
+def linear_regression_grouped(spark, d):
+    fit = stats.grouped_regression(table(spark, d, "lineitem"), ["l_returnflag"], "l_quantity", "l_extendedprice")
+    return fit.select("l_returnflag", r6(F.col("slope"), "slope", 4), r6(F.col("intercept"), "intercept", 3), r6(F.col("r_squared"), "r_squared"))
+
+
+@query("""WITH s AS (SELECT covar_pop(l_quantity, l_quantity) AS a, covar_pop(l_quantity, l_tax) AS b, covar_pop(l_tax, l_tax) AS c,
+  covar_pop(l_quantity, l_extendedprice) AS p, covar_pop(l_tax, l_extendedprice) AS q, avg(l_quantity) AS mx, avg(l_tax) AS mt, avg(l_extendedprice) AS my, var_pop(l_extendedprice) AS v FROM lineitem),
+t AS (SELECT *, (p * c - q * b) / (a * c - b * b) AS b1, (a * q - b * p) / (a * c - b * b) AS b2 FROM s)
+SELECT round(my - b1 * mx - b2 * mt, 3) AS intercept, round(b1, 3) AS quantity, round(b2, 3) AS tax, round((b1 * p + b2 * q) / v, 6) AS r_squared FROM t""")
+def linear_regression(spark, d):
+    fit = stats.linear_regression(table(spark, d, "lineitem"), ["l_quantity", "l_tax"], "l_extendedprice")
+    return spark.createDataFrame([(*(round(float(c), 3) for c in fit.coefficients), round(float(fit.r_squared), 6))], "intercept double, quantity double, tax double, r_squared double")
+
+
+_PCA_SQL = """WITH s AS (SELECT avg(l_quantity) AS mq, avg(l_extendedprice / 1000) AS me, covar_samp(l_quantity, l_quantity) AS a, covar_samp(l_quantity, l_extendedprice / 1000) AS b, covar_samp(l_extendedprice / 1000, l_extendedprice / 1000) AS c FROM lineitem),
+e AS (SELECT *, (a + c + sqrt((a - c) * (a - c) + 4 * b * b)) / 2 AS l1, (a + c - sqrt((a - c) * (a - c) + 4 * b * b)) / 2 AS l2 FROM s)"""
+
+
+@query(_PCA_SQL + "SELECT 1 AS component, round(l1, 4) AS variance, round(l1 / (l1 + l2), 6) AS ratio FROM e UNION ALL SELECT 2, round(l2, 4), round(l2 / (l1 + l2), 6) FROM e")
+def pca_line_items(spark, d):
+    rows = _two(spark, d)
+    found = stats.pca(rows)
+    data = [(i + 1, round(float(v), 4), round(float(r), 6)) for i, (v, r) in enumerate(zip(found.explained_variance, found.explained_variance_ratio, strict=True))]
+    return spark.createDataFrame(data, "component int, variance double, ratio double")
+
+
+def _two(spark, d) -> DataFrame:
+    items = table(spark, d, "lineitem")
+    key = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    return items.select(key.alias("row_id"), F.array(F.col("l_quantity"), F.col("l_extendedprice") / 1000).alias("v"))
+
+
+@query(_PCA_SQL + """, w AS (SELECT *, b / sqrt(b * b + (l1 - a) * (l1 - a)) AS x, (l1 - a) / sqrt(b * b + (l1 - a) * (l1 - a)) AS y FROM e),
+g AS (SELECT *, CASE WHEN abs(x) >= abs(y) THEN sign(x) ELSE sign(y) END AS s FROM w)
+SELECT l_orderkey * 10 + l_linenumber AS row_id, round(s * (x * (l_quantity - mq) + y * (l_extendedprice / 1000 - me)), 4) + 0 AS score,
+  round(mq + x * (x * (l_quantity - mq) + y * (l_extendedprice / 1000 - me)), 4) + 0 AS back FROM lineitem, g""")
+def pca_transform(spark, d):
+    rows = _two(spark, d)
+    found = stats.pca(rows, 1)
+    scored = rows.select("row_id", found.transform(F.col("v")).alias("scores"))
+    return scored.select("row_id", r6(F.col("scores")[0], "score", 4), r6(found.inverse_transform(F.col("scores"))[0], "back", 4))
+
+
+@query("WITH e AS (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings) SELECT 1 AS ok, round(sum(list_dot_product(v, v)), 3) AS energy FROM e")
+def svd_embeddings(spark, d):
+    """All 64 singular values: their squares sum to the squared norm of the table."""
+    found = tall.svd(_vectors(spark, d))
+    return spark.createDataFrame([(1, round(float((found.singular_values**2).sum()), 3))], "ok int, energy double")
+
+
+@query()
+def svd_left_vectors(spark, d):
+    return tall.svd(_vectors(spark, d), 4).u
+
+
+@query()
+def pca_embeddings(spark, d):
+    found = stats.pca(_vectors(spark, d), 8)
+    return spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(found.explained_variance_ratio)], "component int, ratio double")
+
+
+@query("""WITH s AS (SELECT sum(l_quantity * l_quantity) AS a, sum(l_quantity * l_extendedprice / 1000) AS b, sum(l_extendedprice / 1000 * l_extendedprice / 1000) AS c FROM lineitem)
+SELECT round(sqrt(a), 3) AS r11, round(b / sqrt(a), 3) AS r12, round(sqrt(c - b * b / a), 3) AS r22 FROM s""")
+def tall_qr(spark, d):
+    r = tall.tsqr(_two(spark, d))
+    return spark.createDataFrame([tuple(round(float(x), 3) for x in (r[0, 0], r[0, 1], r[1, 1]))], "r11 double, r12 double, r22 double")
+
+
+@query("SELECT round(regr_intercept(l_extendedprice / 1000, l_quantity), 5) AS intercept, round(regr_slope(l_extendedprice / 1000, l_quantity), 5) AS slope FROM lineitem")
+def tall_least_squares(spark, d):
+    rows = _two(spark, d).select("row_id", F.array(F.lit(1.0), F.col("v")[0]).alias("v"), F.col("v")[1].alias("y"))
+    b = tall.least_squares(rows)
+    return spark.createDataFrame([(round(float(b[0]), 5), round(float(b[1]), 5))], "intercept double, slope double")
+
+
+# One small matrix a group -----------------------------------------------------------------------
+
+_KEYS = ["l_returnflag", "l_linestatus"]
+_S = """WITH s AS (SELECT l_returnflag, l_linestatus, var_samp(l_quantity) AS a, covar_samp(l_quantity, l_extendedprice / 1000) AS b, var_samp(l_extendedprice / 1000) AS c FROM lineitem GROUP BY ALL),
+e AS (SELECT *, a * c - b * b AS det, sqrt((a - c) * (a - c) + 4 * b * b) AS dd, (a + c + sqrt((a - c) * (a - c) + 4 * b * b)) / 2 AS l1, (a + c - sqrt((a - c) * (a - c) + 4 * b * b)) / 2 AS l2 FROM s)
+"""
+
+
+def _groups(spark, d) -> DataFrame:
+    items = table(spark, d, "lineitem").select(*_KEYS, F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"))
+    s = items.groupBy(*_KEYS).agg(F.var_samp("x").alias("a"), F.covar_samp("x", "y").alias("b"), F.var_samp("y").alias("c"))
+    return s.select(*_KEYS, cells.cell([[F.col("a"), F.col("b")], [F.col("b"), F.col("c")]]).alias("m"), F.array("a", "c").alias("rhs"))
+
+
+def _cell_query(name: str, operator: str, args: tuple[str, ...], outputs: dict[str, tuple[str, str]], digits: int = 5, extra: dict | None = None) -> None:
+    """``outputs``: column -> (expression over result, SQL over the group's a, b, c, det, dd, l1, l2)."""
+
+    def run(spark, d):
+        groups = _groups(spark, d)
+        for c, v in (extra or {}).items():
+            groups = groups.withColumn(c, v())
+        out = cells.apply(groups, operator, *args)
+        return out.select(*_KEYS, *(r6(F.expr(e), c, digits) for c, (e, _) in outputs.items()))
+
+    run.__name__ = name
+    QUERIES[name] = run
+    ORACLES[name] = _S + "SELECT l_returnflag, l_linestatus, " + ", ".join(f"round({sql}, {digits}) + 0 AS {c}" for c, (_, sql) in outputs.items()) + " FROM e"
+
+
+def _of(f: str) -> dict[str, tuple[str, str]]:
+    """The entries of f(S) by its spectrum."""
+    one, two = f.format("l1"), f.format("l2")
+    return {
+        "f11": ("result.f.values[0]", f"({one} * (a - l2) - {two} * (a - l1)) / dd"),
+        "f12": ("result.f.values[1]", f"({one} - {two}) * b / dd"),
+        "f22": ("result.f.values[3]", f"({one} * (c - l2) - {two} * (c - l1)) / dd"),
+    }
+
+
+def _named(*parts: tuple[str, str, str]) -> dict[str, tuple[str, str]]:
+    return {c: (e, s) for c, e, s in parts}
+
+
+_cell_query("lu_decompose", "lu_decompose", ("m",), _named(("l21", "result.l.values[2]", "CASE WHEN abs(b) > abs(a) THEN a / b ELSE b / a END"), ("u11", "result.u.values[0]", "CASE WHEN abs(b) > abs(a) THEN b ELSE a END"), ("u22", "result.u.values[3]", "CASE WHEN abs(b) > abs(a) THEN b - a / b * c ELSE c - b / a * b END")))
+_cell_query("lu_solve", "lu_solve", ("m", "rhs"), _named(("x1", "result.x[0]", "(a * c - b * c) / det"), ("x2", "result.x[1]", "(a * c - a * b) / det")))
+_cell_query("matrix_inverse", "inverse", ("m",), _named(("i11", "result.inverse.values[0]", "c / det"), ("i12", "result.inverse.values[1]", "-b / det"), ("i22", "result.inverse.values[3]", "a / det")))
+_cell_query("determinant", "determinant", ("m",), _named(("det", "result.determinant", "det")), 4)
+_cell_query("log_determinant", "log_determinant", ("m",), _named(("sign", "cast(result.sign as double)", "sign(det)::DOUBLE"), ("ln_abs_det", "result.ln_abs_det", "ln(abs(det))")))
+_cell_query("cholesky_decompose", "cholesky_decompose", ("m",), _named(("l11", "result.l.values[0]", "sqrt(a)"), ("l21", "result.l.values[2]", "b / sqrt(a)"), ("l22", "result.l.values[3]", "sqrt(c - b * b / a)")))
+_cell_query("cholesky_solve", "cholesky_solve", ("m", "rhs"), _named(("x1", "result.x[0]", "(a * c - b * c) / det"), ("x2", "result.x[1]", "(a * c - a * b) / det")))
+_cell_query("cholesky_inverse", "cholesky_inverse", ("m",), _named(("i11", "result.inverse.values[0]", "c / det"), ("i12", "result.inverse.values[1]", "-b / det"), ("i22", "result.inverse.values[3]", "a / det")))
+_cell_query("triangular_lower", "solve_lower", ("m", "rhs"), _named(("x1", "result.x[0]", "1.0"), ("x2", "result.x[1]", "(c - b) / c")))
+_cell_query("triangular_upper", "solve_upper", ("m", "rhs"), _named(("x1", "result.x[0]", "(a - b) / a"), ("x2", "result.x[1]", "1.0")))
+_cell_query("qr_decompose", "qr_decompose", ("m",), _named(("r11", "result.r.values[0]", "sqrt(a * a + b * b)"), ("r12", "result.r.values[1]", "(a * b + b * c) / sqrt(a * a + b * b)"), ("r22", "result.r.values[3]", "abs(det) / sqrt(a * a + b * b)"), ("q11", "result.q.values[0]", "a / sqrt(a * a + b * b)")))
+_cell_query("qr_condition", "qr_condition_number", ("m",), _named(("condition", "result.condition", "greatest(sqrt(a * a + b * b), abs(det) / sqrt(a * a + b * b)) / least(sqrt(a * a + b * b), abs(det) / sqrt(a * a + b * b))")), 4)
+_cell_query("orthogonalize", "gram_schmidt", ("m",), _named(("q11", "result.q.values[0]", "a / sqrt(a * a + b * b)"), ("q21", "result.q.values[2]", "b / sqrt(a * a + b * b)")))
+_cell_query("least_squares", "least_squares", ("m", "rhs"), _named(("x1", "result.x[0]", "(a * c - b * c) / det"), ("x2", "result.x[1]", "(a * c - a * b) / det")))
+_cell_query("eigen_symmetric", "eigen_symmetric", ("m",), _named(("l1", "result.values[0]", "l1"), ("l2", "result.values[1]", "l2")))
+_cell_query("svd_values", "svd_decompose", ("m",), _named(("s1", "result.s[0]", "l1"), ("s2", "result.s[1]", "l2")))
+_cell_query("svd_condition", "svd_condition_number", ("m",), _named(("condition", "result.condition", "l1 / l2")), 4)
+_cell_query("svd_rank", "svd_rank", ("m",), _named(("rank", "cast(result.rank as double)", "2.0")))
+_cell_query("svd_reconstruct", "svd_reconstruct", ("m",), _named(("p11", "result.product.values[0]", "a"), ("p12", "result.product.values[1]", "b"), ("p22", "result.product.values[3]", "c")))
+_cell_query("pseudo_inverse", "pseudo_inverse", ("m",), _named(("i11", "result.inverse.values[0]", "c / det"), ("i12", "result.inverse.values[1]", "-b / det"), ("i22", "result.inverse.values[3]", "a / det")))
+_cell_query("schur_form", "schur", ("m",), _named(("l1", "result.t.values[0]", "l1"), ("l2", "result.t.values[3]", "l2")))
+_cell_query("polar_form", "polar", ("m",), _named(("u11", "result.u.values[0]", "1.0"), ("p11", "result.p.values[0]", "a"), ("p12", "result.p.values[1]", "b")))
+_cell_query("lyapunov", "lyapunov", ("m", "m"), _named(("x11", "result.x.values[0]", "-0.5"), ("x12", "result.x.values[1]", "0.0"), ("x22", "result.x.values[3]", "-0.5")))
+_cell_query("sylvester", "sylvester", ("m", "m", "m"), _named(("x11", "result.x.values[0]", "0.5"), ("x22", "result.x.values[3]", "0.5")))
+_cell_query("matrix_log_eigen", "matrix_log_eigen", ("m",), _of("ln({})"))
+_cell_query("matrix_log_svd", "matrix_log_svd", ("m",), _of("ln({})"))
+_cell_query("matrix_power", "matrix_power", ("m", "p"), _of("sqrt({})"), extra={"p": lambda: F.lit(0.5)})
+_cell_query("matrix_sign", "matrix_sign", ("m",), _of("sign({})"))
+_SMALL = {"small": lambda: F.expr("struct(2 as nrows, 2 as ncols, array(m.values[0] / 400, m.values[1] / 400, m.values[2] / 400, m.values[3] / 400) as values)")}
+_cell_query("matrix_exp_taylor", "matrix_exp", ("small",), _of("exp({} / 400)"), extra=_SMALL)
+_cell_query("matrix_exp_eigen", "matrix_exp_eigen", ("small",), _of("exp({} / 400)"), extra=_SMALL)
+_NEAR = {"near": lambda: F.expr("struct(2 as nrows, 2 as ncols, array(1 + m.values[0] / 4000, m.values[1] / 4000, m.values[2] / 4000, 1 + m.values[3] / 4000) as values)")}
+_cell_query("matrix_log_taylor", "matrix_log_taylor", ("near",), _of("ln(1 + {} / 4000)"), extra=_NEAR)
+_cell_query("eigen_generalized", "eigen_generalized_spd", ("m", "eye"), _named(("l1", "result.values[0]", "l1 / 2"), ("l2", "result.values[1]", "l2 / 2")), extra={"eye": lambda: F.expr("struct(2 as nrows, 2 as ncols, array(2.0D, 0.0D, 0.0D, 2.0D) as values)")})
+
+
+# Sparse systems ---------------------------------------------------------------------------------
+
+
+def _entries(spark, d) -> DataFrame:
+    return coo(table(spark, d, "lineitem"), "l_suppkey", "l_partkey", "l_quantity")
+
+
+@query("SELECT l_suppkey AS i, count(*) AS entries, round(sum(v), 4) AS total, min(l_partkey) AS first_col FROM (SELECT l_suppkey, l_partkey, sum(l_quantity) AS v FROM lineitem GROUP BY ALL) GROUP BY l_suppkey")
+def coo_to_csr(spark, d):
+    csr = sparse.to_csr(_entries(spark, d))
+    return csr.select("i", F.size("cols").cast("long").alias("entries"), r6(F.aggregate("vals", F.lit(0.0), lambda s, x: s + x), "total", 4), F.col("cols")[0].alias("first_col"))
+
+
+@query("SELECT r.i, round(coalesce(sum(l_quantity * p_retailprice), 0), 2) AS y FROM (SELECT unnest(range((SELECT max(s_suppkey) + 1 FROM supplier))) AS i) r LEFT JOIN (lineitem JOIN part ON p_partkey = l_partkey) ON l_suppkey = r.i GROUP BY r.i")
+def csr_matvec(spark, d):
+    n = table(spark, d, "supplier").agg(F.max("s_suppkey")).head()[0] + 1
+    x = table(spark, d, "part").select(F.col("p_partkey").alias("j"), F.col("p_retailprice").cast("double").alias("x"))
+    return sparse.matvec(_entries(spark, d), x, n).select("i", r6(F.col("y"), "y", 2))
+
+
+_TRUTH = "SELECT n_nationkey::BIGINT AS i, round(n_regionkey + n_nationkey / 10.0, 4) + 0 AS x FROM nation"
+
+
+def _system(spark, d):
+    """A tridiagonal system over the nations with a known solution."""
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("i"), (F.col("n_regionkey") + F.col("n_nationkey") / 10).cast("double").alias("x"))
+    n = nations.count()
+    a = nations.select("i", F.explode(F.array(*(F.struct((F.col("i") + k).alias("j"), F.lit(v).alias("v")) for k, v in ((-1, -1.0), (0, 4.0), (1, -1.0))))).alias("e")).select("i", "e.j", "e.v").filter(f"j between 0 and {n - 1}")
+    b = a.join(nations.withColumnRenamed("i", "j"), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("b"))
+    return a, b, n
+
+
+def _answer(spark, x) -> DataFrame:
+    return spark.createDataFrame([(i, round(float(v), 4) + 0.0) for i, v in enumerate(x)], "i long, x double")
+
+
+def _dense(b: DataFrame, n: int) -> np.ndarray:
+    out = np.zeros(n)
+    for r in b.collect():  # a vector of the system's size
+        out[r["i"]] = r["b"]
+    return out
+
+
+@query(_TRUTH)
+def jacobi_solve(spark, d):
+    a, b, n = _system(spark, d)
+    return sparse.jacobi_solve(a, b, n).select("i", r6(F.col("x"), "x", 4))
+
+
+@query(_TRUTH)
+def gauss_seidel_solve(spark, d):
+    a, b, n = _system(spark, d)
+    return sparse.gauss_seidel_solve(a, b, n).select("i", r6(F.col("x"), "x", 4))
+
+
+@query(_TRUTH)
+def conjugate_gradient(spark, d):
+    a, b, n = _system(spark, d)
+    return _answer(spark, iterative.conjugate_gradient(iterative.product(a, n), _dense(b, n)))
+
+
+@query(_TRUTH)
+def gmres(spark, d):
+    a, b, n = _system(spark, d)
+    return _answer(spark, iterative.gmres(iterative.product(a, n), _dense(b, n)))
+
+
+# Optimisation and derivatives -------------------------------------------------------------------
+
+
+def _fit(spark, d):
+    rows = table(spark, d, "lineitem").select(F.array(F.lit(1.0), F.col("l_quantity") / 50, F.col("l_extendedprice") / 100_000).alias("v"))
+    return optimization.squared_error(rows)
+
+
+_FIT = "SELECT round(regr_intercept(l_extendedprice / 100000, l_quantity / 50), 4) AS intercept, round(regr_slope(l_extendedprice / 100000, l_quantity / 50), 4) AS slope FROM lineitem"
+
+
+@query(_FIT)
+def gradient_descent(spark, d):
+    x = optimization.gradient_descent(np.zeros(2), *_fit(spark, d), optimization.DescentConfig(learning_rate=0.3))
+    return spark.createDataFrame([(round(float(x[0]), 4), round(float(x[1]), 4))], "intercept double, slope double")
+
+
+@query(_FIT)
+def adam(spark, d):
+    x = optimization.adam(np.zeros(2), *_fit(spark, d), optimization.AdamConfig(tolerance=1e-7))
+    return spark.createDataFrame([(round(float(x[0]), 4), round(float(x[1]), 4))], "intercept double, slope double")
+
+
+@query("SELECT 0.25 AS step")
+def line_search(spark, d):
+    """Steepest descent on x' x times 2 from a point of the data: of the steps 1, 1/2, 1/4 the last decreases enough."""
+    c = table(spark, d, "customer").agg(F.avg("c_acctbal")).head()[0]
+    step = optimization.backtracking_line_search([c, 1.0], [-4 * c, -4.0], lambda x: 2 * float(x @ x), lambda x: 4 * x)
+    return spark.createDataFrame([(step,)], "step double")
+
+
+def _points(spark, d) -> DataFrame:
+    return table(spark, d, "customer").select("c_custkey", F.array(F.col("c_acctbal") / 10_000, F.col("c_custkey") % 7 / 7.0).alias("x"))
+
+
+def _f(x):
+    return x[0] * x[0] + 3 * x[0] * x[1] + 2 * x[1] * x[1]
+
+
+_X = "(SELECT c_custkey, c_acctbal / 10000 AS x, c_custkey % 7 / 7.0 AS y FROM customer)"
+
+
+@query(f"SELECT c_custkey, 0 AS j, round(2 * x + 3 * y, 3) + 0 AS derivative FROM {_X} UNION ALL SELECT c_custkey, 1, round(3 * x + 4 * y, 3) + 0 FROM {_X}")
+def numerical_gradient(spark, d):
+    return differentiation.numerical_gradient(_points(spark, d), _f, config=differentiation.DifferenceConfig(step_size=1e-8)).select("c_custkey", "j", r6(F.col("derivative"), "derivative", 3))
+
+
+@query(f"SELECT c_custkey, 0 AS j, round(2 * x, 5) + 0 AS d0, 1.0 AS d1 FROM {_X} UNION ALL SELECT c_custkey, 1, 1.0, round(2 * y, 5) + 0 FROM {_X}")
+def numerical_jacobian(spark, d):
+    """Of (x^2 + y, x + y^2), by central differences, exact but for rounding."""
+    f = lambda x: F.array(x[0] * x[0] + x[1], x[0] + x[1] * x[1])
+    out = differentiation.numerical_jacobian_central(_points(spark, d), f)
+    return out.select("c_custkey", "j", r6(F.col("derivative")[0], "d0", 5), r6(F.col("derivative")[1], "d1", 5))
+
+
+@query("SELECT c_custkey, j, k, CASE WHEN j <> k THEN 3.0 WHEN j = 0 THEN 2.0 ELSE 4.0 END AS derivative FROM customer, (SELECT unnest([0, 1]) AS j), (SELECT unnest([0, 1]) AS k)")
+def numerical_hessian(spark, d):
+    out = differentiation.numerical_hessian(_points(spark, d), _f, config=differentiation.DifferenceConfig(step_size=1e-4))
+    return out.select("c_custkey", "j", "k", r6(F.col("derivative"), "derivative", 3))
+
+
+# Reports and streams ----------------------------------------------------------------------------
+
+
+@query("""WITH m AS (SELECT l_shipdate, l_returnflag AS benchmark, date_trunc('month', l_shipdate) AS "at", l_extendedprice FROM lineitem),
+g AS (SELECT benchmark, "at", median(l_extendedprice) AS median_ns FROM m GROUP BY ALL)
+SELECT benchmark, "at", round(median_ns, 4) AS median_ns,
+  round((median_ns - lag(median_ns) OVER w) / lag(median_ns) OVER w * 100, 4) + 0 AS vs_previous,
+  round((median_ns - first_value(median_ns) OVER w) / first_value(median_ns) OVER w * 100, 4) + 0 AS vs_first,
+  round(min(median_ns) OVER (PARTITION BY benchmark), 4) AS least_ns, round(max(median_ns) OVER (PARTITION BY benchmark), 4) AS most_ns
+FROM g WINDOW w AS (PARTITION BY benchmark ORDER BY "at")""")
+def report_trends(spark, d):
+    items = table(spark, d, "lineitem")
+    medians = items.groupBy(F.col("l_returnflag").alias("benchmark"), F.date_trunc("month", "l_shipdate").alias("at")).agg(F.median("l_extendedprice").alias("median_ns"))
+    return reporting.trends(medians).select("benchmark", "at", *(r6(F.col(c), c, 4) for c in ("median_ns", "vs_previous", "vs_first", "least_ns", "most_ns")))
+
+
+_SIDES = "SELECT l_suppkey, median(l_extendedprice) FILTER (l_shipdate < TIMESTAMP '1995-06-17') AS b, median(l_extendedprice) FILTER (l_shipdate >= TIMESTAMP '1995-06-17') AS c FROM lineitem GROUP BY l_suppkey"
+
+
+@query(f"""WITH m AS ({_SIDES}), x AS (SELECT 'supplier/' || l_suppkey AS full_id, c AS current_ns, b AS baseline_ns, (c - b) / b * 100 AS delta FROM m WHERE b IS NOT NULL AND c IS NOT NULL)
+SELECT full_id, round(current_ns, 4) AS current_ns, round(baseline_ns, 4) AS baseline_ns, round(delta, 4) + 0 AS delta_percent,
+  CASE WHEN delta > 10 AND current_ns - baseline_ns > 25000 THEN 'FAIL' WHEN delta > 10 THEN 'SKIP_NOISE_FLOOR' WHEN delta > 5 AND current_ns > baseline_ns THEN 'WARN' ELSE 'OK' END AS status FROM x""")
+def report_compare(spark, d):
+    items = table(spark, d, "lineitem").withColumn("full_id", F.concat(F.lit("supplier/"), F.col("l_suppkey")))
+    early = F.col("l_shipdate") < F.to_timestamp(F.lit("1995-06-17 00:00:00"))
+    medians = lambda rows: rows.groupBy("full_id").agg(F.median("l_extendedprice").alias("median_ns"))
+    out = reporting.compare(medians(items.filter(~early)).withColumn("competitor", F.lit("none")), medians(items.filter(early)))
+    return out.select("full_id", r6(F.col("current_ns"), "current_ns", 4), r6(F.col("baseline_ns"), "baseline_ns", 4), r6(F.col("delta_percent"), "delta_percent", 4), "status")
+
+
+@query("SELECT l_returnflag, round(exp(avg(ln(l_extendedprice))), 4) AS geometric_mean FROM lineitem WHERE l_extendedprice > 0 GROUP BY l_returnflag")
+def report_geometric_mean(spark, d):
+    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(r6(reporting.geometric_mean(F.col("l_extendedprice")), "geometric_mean", 4))
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(value) AS n, round(avg(value), 6) AS mean, round(var_samp(value), 6) AS variance FROM events GROUP BY ALL")
+def windowed_moments(spark, d):
+    out = moments.windowed_moments(table(spark, d, "events"), "ts", "value", ["event_type"])
+    return out.select("window_start", "event_type", "n", r6(F.col("mean"), "mean"), r6(F.col("variance"), "variance"))
+
+
+@query("SELECT l_orderkey, l_linenumber, (rank() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber))::INTEGER AS rank FROM lineitem QUALIFY rank <= 3")
+def keep_latest(spark, d):
+    """The report's keep-last-N, a group at a time."""
+    order = Window.partitionBy("l_suppkey").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.rank().over(order).alias("rank")).filter("rank <= 3")
