@@ -1,52 +1,5 @@
 """Cutting lineage through the folder all executors share."""
 
-from __future__ import annotations
+from ..storage import discard, materialize, shared_dir
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_fallback: list[tempfile.TemporaryDirectory] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset (local runs), a temporary one."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return where.rstrip("/")
-    if not _fallback:
-        _fallback.append(tempfile.TemporaryDirectory(prefix="latticework-"))
-    return f"file://{_fallback[0].name}"
-
-
-def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and return a reader of it.
-
-    A lost executor then costs its running tasks only: what was written stays.
-    The folder is removed when the driver's interpreter ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Remove what ``materialize`` wrote for ``df``; call it once nothing reads it any more."""
-    for name in df.inputFiles()[:1]:
-        _remove(df.sparkSession, name.rpartition("/")[0])
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    context = spark.sparkContext
-    if context._jsc is None:
-        return
-    try:
-        target = context._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # noqa: BLE001 - the session is going down, or the folder has gone already
-        return
+__all__ = ["discard", "materialize", "shared_dir"]
