@@ -135,7 +135,7 @@ def _count(kind: str):
 def _raw(column: pa.Array):
     from .textkit import chunks
 
-    for lo, hi, data, offsets in chunks(column, 16 << 20):
+    for lo, hi, data, offsets in chunks(column, 4 << 20):
         yield lo, hi, data.tobytes(), offsets
 
 
