@@ -84,7 +84,7 @@ def _count(orders: tuple[int, ...]):
                 for lang in set(langs.tolist()):
                     parts = found.setdefault(lang, [])
                     parts.append(np.unique(hashes[(langs == lang)[docs]], return_counts=True))
-                    if sum(len(k) for k, _ in parts) > 4_000_000:
+                    if sum(len(k) for k, _ in parts) > 1_000_000:
                         found[lang] = _merge(parts)
         for lang, parts in found.items():
             ((keys, counts),) = _merge(parts)
