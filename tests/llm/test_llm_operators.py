@@ -11,7 +11,7 @@ pytest.importorskip("latticework.llm.registry")
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from latticework.llm import chat, graph_search, hamming_search, language, mixing, near_dedup, packing, repeats, resampling, textkit, token_blocks, tokenkit  # noqa: E402
+from latticework.llm import chat, graph_search, hamming_search, language, mixing, near_dedup, packing, repeats, resampling, skew, textkit, token_blocks, tokenkit  # noqa: E402
 from latticework.llm.graph import connected_components  # noqa: E402
 
 RND = random.Random(3)
@@ -78,6 +78,20 @@ def test_sketch_fills_and_estimates():
     assert (s != np.iinfo(np.uint64).max).all() and abs((s[0] == s[1]).mean() - 0.8) < 0.15
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_frequent_keys_join_alike(spark, how, monkeypatch):
+    monkeypatch.setattr(skew, "HOT", 4)
+    keys = [1] * 40 + [2] * 20 + list(range(3, 33)) + [None] * 3
+    rows = spark.createDataFrame(list(enumerate(keys)), "id long, k long")
+    sized = [(k, n, f"v{k}") for k, n in Counter(keys).items() if k is not None and k % 5]
+    got = skew.join_keyed(rows, spark.createDataFrame(sized, "k long, size long, v string"), ["k"], "size", len(keys), how).collect()
+    plain = {k: v for k, _, v in sized}
+    want = [(i, k, plain.get(k)) for i, k in enumerate(keys) if k in plain or how == "left"]
+    assert sorted((r["id"], r["k"], plain.get(r["k"]) if how == "left_semi" else r["v"]) for r in got) == want
+    kept = skew.kept_rows(rows, spark.createDataFrame(sized, "k long, size long, v string"), "k", "size", len(keys), ["id"]).collect()
+    assert sorted((r["id"], r["k"]) for r in kept) == [(i, k) for i, k in enumerate(keys) if k in plain]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 60), (60, 50), (7, 7)], "a long, b long")
     got = {r[0]: r[1] for r in connected_components(edges).collect()}
