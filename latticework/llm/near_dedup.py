@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from . import textkit as K
 from .graph import connected_components
+from .skew import join_keyed
 from .storage import materialize
 
 WIDTH, PERCENT, ROWS, BANDS, FIRST_BANDS = 5, 75, 5, 40, 6
@@ -122,23 +123,23 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCE
     docs = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("tags", T.ArrayType(T.LongType()))])
     features = materialize(docs.mapInArrow(_features(rows, bands, width), schema), "features")
-    classes = features.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("class_id"))
-    members = features.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
+    total = features.count()
+    classes = features.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("size"))
+    members = join_keyed(features.select("doc_id", "n_shingles", "set_key"), classes, ["set_key"], "size", total, "left")
     members = materialize(members.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id")), "classes")
     # a class's tags and size: the same in all its members
     heads = features.filter("n_shingles > 0").join(members.filter("doc_id = class_id").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     tags = heads.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.posexplode("tags").alias("band", "tag"))
-    met = tags.groupBy("band", "tag").agg(F.count("*").alias("size"), F.min("id").alias("hub")).filter("size > 1")
-    buckets = materialize(tags.join(met, ["band", "tag"]), "buckets")
+    met = tags.groupBy("band", "tag").agg(F.count("*").alias("size"), F.min(F.struct("id", "n")).alias("first")).filter("size > 1")
+    met = met.select("band", "tag", "size", F.col("first.id").alias("hub"), F.col("first.n").alias("hub_n"))
+    buckets = materialize(join_keyed(tags, met, ["band", "tag"], "size", total * bands), "buckets")
 
     ids = buckets.select(F.col("id").alias("doc_id")).distinct()
     sets_of = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("elements", T.ArrayType(T.LongType())), T.StructField("marks", T.ArrayType(T.LongType()))])
     sets = materialize(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(width), sets_of).dropDuplicates(["doc_id"]), "sets")
 
     near = f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)"
-    hubs = buckets.filter("id = hub").select("band", "tag", F.col("n").alias("hub_n"))
-    spokes = buckets.filter("id > hub")
-    first = spokes.filter(F.col("band") < first_bands).join(hubs, ["band", "tag"]).filter(near)
+    first = buckets.filter("id > hub").filter(F.col("band") < first_bands).filter(near)
     first = materialize(first.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "tried")
     links = materialize(_confirmed(first, sets, percent), "confirmed")
     parts = materialize(connected_components(links), "parts")
@@ -149,8 +150,8 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCE
         named = buckets.select("band", "tag", "id", "n").join(parts.withColumnRenamed("node", "id"), "id", "left").select("band", "tag", "id", "n", label)
         # the main component of a bucket: that of its largest part, ties to the least
         sizes = named.groupBy("band", "tag", "part").agg(F.count("*").alias("m"), F.min_by("id", F.xxhash64("id", "band")).alias("head"))
-        main = sizes.groupBy("band", "tag").agg(F.count("*").alias("parts"), F.max_by(F.struct("part", "head"), F.struct("m", -F.col("part"))).alias("main")).filter("parts > 1")
-        mixed = named.join(main, ["band", "tag"])
+        main = sizes.groupBy("band", "tag").agg(F.count("*").alias("parts"), F.sum("m").alias("size"), F.max_by(F.struct("part", "head"), F.struct("m", -F.col("part"))).alias("main")).filter("parts > 1")
+        mixed = join_keyed(named, main, ["band", "tag"], "size", total * bands)
         if useful is None:
             useful = materialize(_useful(mixed.select(F.col("id").alias("doc_id")).distinct(), sets), "useful")
         mixed = materialize(mixed.join(useful, "id").filter(f"100 * useful >= {percent} * n"), "mixed")
