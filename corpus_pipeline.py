@@ -33,11 +33,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that repeat are cut out; a document of which nothing is left goes."""
-    cut = repeats.remove_repeats(docs).select(F.col("doc_id").alias("cut_id"), "kept_text", "n_removed")
-    rest = docs.join(cut.dropDuplicates(["cut_id"]), F.col("doc_id") == F.col("cut_id"))
-    rest = rest.filter((F.col("n_removed") == 0) | (F.trim("kept_text") != ""))
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    return rest.withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    cut = repeats.remove_repeats(docs, carry=others)
+    rest = cut.filter((F.col("n_removed") == 0) | (F.trim("kept_text") != ""))
+    n_chars = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("carried.n_chars")).alias("n_chars")
+    new = {"doc_id": F.col("doc_id"), "text": F.col("kept_text").alias("text"), "n_chars": n_chars}
+    return rest.select(*(new[c] if c in new else F.col("carried")[c].alias(c) for c in docs.columns))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
