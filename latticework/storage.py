@@ -5,10 +5,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _fallback: list[tempfile.TemporaryDirectory] = []
+_places: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,20 +27,25 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
     """Write ``df`` as Parquet into the shared folder and return a reader of it.
 
     A lost executor then costs its running tasks only: what was written stays.
-    The folder is removed when the driver's interpreter ends.
+    The folder is removed by ``discard``, or when the driver's interpreter ends. The shuffle files
+    behind ``df`` are of no use any more: a collection on the driver lets Spark's cleaner remove them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _places[out] = path
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
-def discard(df: DataFrame) -> None:
-    """Remove what ``materialize`` wrote for ``df``; call it once nothing reads it any more."""
-    for name in df.inputFiles()[:1]:
-        _remove(df.sparkSession, name.rpartition("/")[0])
+def discard(*tables: DataFrame) -> None:
+    """Remove what ``materialize`` wrote and returned as ``tables``; call it once nothing reads them any more."""
+    for df in tables:
+        if path := _places.pop(df, None):
+            _remove(df.sparkSession, path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
