@@ -4,6 +4,10 @@ Words and word pairs are hashed into buckets. One bag-of-buckets model is fitted
 one to all texts; a document's log weight is the sum of the logarithms of their ratio over its n-grams,
 per n-gram, times ``sharpness`` (so that the length of a text does not decide). Adding Gumbel noise to
 the log weights and taking the ``k`` largest samples without replacement by the weights.
+
+The model of all texts counts every document. That of the target is fitted to at most ``targets``
+target documents, those with the least hashes of their ids, so that only their ids are broadcast and
+no text is shuffled.
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ from . import textkit as K
 from .storage import materialize
 
 BUCKETS, SHARPNESS, SMOOTH = 1 << 18, 400.0, 0.5
+#: at most so many labelled target documents are fitted; their ids are broadcast
+TARGETS = 1 << 16
 
 
 def features(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -46,9 +52,21 @@ def _count(buckets: int):
     return run
 
 
-def ratios(docs: DataFrame, target_ids: DataFrame, *, buckets: int = BUCKETS, smooth: float = SMOOTH) -> np.ndarray:
+def fitted_targets(target_ids: DataFrame, targets: int) -> DataFrame:
+    """(doc_id): all target documents, or ``targets`` of them, chosen by a hash of the id."""
+    ids = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
+    total = ids.count()
+    if total <= targets:
+        return ids
+    # thinned to a few more than wanted first, so that the last choice is among a bounded number
+    h = F.xxhash64("doc_id", F.lit("target"))
+    least = F.pmod(h, F.lit(1 << 40)) < int((targets + 6 * targets**0.5) / total * (1 << 40))
+    return ids.filter(least).orderBy(F.pmod(h, F.lit(1 << 40)), "doc_id").limit(targets)
+
+
+def ratios(docs: DataFrame, target_ids: DataFrame, *, buckets: int = BUCKETS, smooth: float = SMOOTH, targets: int = TARGETS) -> np.ndarray:
     """log p(bucket | target) - log p(bucket | all) from all documents; one number a bucket reaches the driver."""
-    aims = target_ids.select("doc_id").distinct().withColumn("aim", F.lit(True))
+    aims = F.broadcast(fitted_targets(target_ids, targets).withColumn("aim", F.lit(True)))
     marked = docs.select("doc_id", "text").join(aims, "doc_id", "left").select("text", F.coalesce("aim", F.lit(False)).alias("aim"))
     rows = marked.mapInArrow(_count(buckets), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
     raw, target = np.zeros(buckets), np.zeros(buckets)
@@ -97,15 +115,16 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
     return ranked.withColumn("kept", (F.col("level") > level) | ((F.col("level") == level) & (F.col("doc_id") <= last))).drop("level")
 
 
-def resample(docs: DataFrame, target_ids: DataFrame, fraction: float, *, buckets: int = BUCKETS, sharpness: float = SHARPNESS, seed: int = 1) -> DataFrame:
+def resample(docs: DataFrame, target_ids: DataFrame, fraction: float, *, buckets: int = BUCKETS, sharpness: float = SHARPNESS, seed: int = 1, targets: int = TARGETS) -> DataFrame:
     """One row a document: doc_id, log_weight, key (with Gumbel noise), kept for ``fraction`` of all rows.
 
-    ``docs``: doc_id, text; ``target_ids``: doc_id of the target texts. Null or blank text: weight 0 on
+    ``docs``: doc_id, text; ``target_ids``: doc_id of the target texts, of which at most ``targets``
+    are fitted. Null or blank text: weight 0 on
     the log scale. The noise is a function of doc_id and ``seed``, so a lost task gives the same rows
     again. Without target texts all weights are equal. A null doc_id takes no part and is left out.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
-    shared = docs.sparkSession.sparkContext.broadcast(ratios(docs, target_ids, buckets=buckets))
+    shared = docs.sparkSession.sparkContext.broadcast(ratios(docs, target_ids, buckets=buckets, targets=targets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -302,6 +302,10 @@ def test_resampling(spark):
     scored = spark.createDataFrame([(i, float(i % 5)) for i in range(50)], "doc_id long, key double")
     got = sorted(r["doc_id"] for r in resampling.top_k(scored, 13).collect() if r["kept"])
     assert got == sorted(sorted(range(50), key=lambda i: (-(i % 5), i))[:13])
+    ids = spark.createDataFrame([(i % 900,) for i in range(1000)] + [(None,)], "doc_id long")
+    some = [r["doc_id"] for r in resampling.fitted_targets(ids, 100).collect()]
+    assert len(set(some)) == len(some) == 100 and min(some) >= 0 and max(some) < 900
+    assert resampling.fitted_targets(ids, 900).count() == 900
     none = resampling.resample(table(spark, rows), spark.createDataFrame([], "doc_id long"), 0.5).collect()
     assert sum(r["kept"] for r in none) == 41
     assert resampling.resample(table(spark, []), spark.createDataFrame([(1,)], "doc_id long"), 0.5).count() == 0
