@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from . import textkit as K
 from .graph import connected_components
 from .skew import join_keyed
-from .storage import materialize
+from .storage import discard, materialize
 
 WIDTH, PERCENT, ROWS, BANDS, FIRST_BANDS = 5, 75, 5, 40, 6
 #: 64-bit words of the bitmap that bounds what two sets can share
@@ -133,10 +133,13 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCE
     met = tags.groupBy("band", "tag").agg(F.count("*").alias("size"), F.min(F.struct("id", "n")).alias("first")).filter("size > 1")
     met = met.select("band", "tag", "size", F.col("first.id").alias("hub"), F.col("first.n").alias("hub_n"))
     buckets = materialize(join_keyed(tags, met, ["band", "tag"], "size", total * bands), "buckets")
+    discard(features)
 
     ids = buckets.select(F.col("id").alias("doc_id")).distinct()
     sets_of = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("elements", T.ArrayType(T.LongType())), T.StructField("marks", T.ArrayType(T.LongType()))])
-    sets = materialize(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(width), sets_of).dropDuplicates(["doc_id"]), "sets")
+    # one row a doc_id, by the join's own partitions
+    texts = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = materialize(texts.mapInArrow(_sets(width), sets_of), "sets")
 
     near = f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)"
     first = buckets.filter("id > hub").filter(F.col("band") < first_bands).filter(near)
@@ -175,6 +178,8 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCE
         if not more.isEmpty():
             links = links.unionByName(more)
             parts = materialize(connected_components(links), "parts")
+        discard(mixed)
+    discard(sets, useful, buckets)
 
     out = members.join(parts.withColumnRenamed("node", "class_id"), "class_id", "left")
     component = F.coalesce("component", "class_id")
