@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.llm import language, mixing, near_dedup, packing, repeats
-from latticework.llm.storage import materialize
+from latticework.llm.storage import discard, materialize
 
 #: a document whose n-grams are known to its best language to a smaller share than this is no text in it
 LEAST_KNOWN = 0.2
@@ -67,5 +67,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        discard(before)
     return docs
