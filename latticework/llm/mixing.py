@@ -1,9 +1,14 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame operations only.
 
 Tokens are summed over the cells of all margins (source, language, topic). The cells are raked: margin
-by margin, each value's cells are scaled to the value's target share, for a fixed number of rounds. A
-document's probability is ``fraction`` times its cell's raked over its actual tokens, 1 at most, and a
-hash of its doc_id decides, so the sample is the same however often a task runs.
+by margin, each value's cells are scaled to the value's target share. A cell can't give more tokens
+than it has: cells that would are kept whole and the others of the value scaled further, so the
+expected sample has ``fraction`` of the tokens and the target shares, as far as the table can meet
+them (``margins_reached`` tells). A document's probability is its cell's sampled over its actual
+tokens, and a hash of its doc_id decides, so the sample is the same however often a task runs.
+
+The SQL of ``op10_mixing`` cuts ``fraction`` times raked over actual tokens at 1 and lets the rest go,
+so that query runs ``bounded=False``; ``op10_mixing_calibrated`` and the pipeline have the bounds.
 """
 
 from __future__ import annotations
@@ -14,6 +19,8 @@ from pyspark.sql import functions as F
 from .storage import materialize
 
 ROUNDS, EXPONENT, FRACTION, EVERY = 8, 0.5, 0.6, 4
+#: with bounds: rounds at most, and the error of a margin, as a share of the sample, at which they end
+BOUNDED_ROUNDS, TOLERANCE = 24, 1e-6
 MARGINS = ("source", "lang", "topic")
 #: a plain topic where the table has none: short texts, texts of many lines, prose
 TOPIC = "CASE WHEN length(text) < 800 THEN 'short' WHEN 200 * (length(text) - length(replace(text, chr(10), ''))) > length(text) THEN 'lines' ELSE 'prose' END"
@@ -55,41 +62,145 @@ def rake(cells: DataFrame, margins: tuple[str, ...], targets: dict[str, DataFram
     return out.drop(*(f"share_{m}" for m in margins))
 
 
-def calibrated(docs: DataFrame, *, margins: dict[str, Column], tokens: Column, fraction: float = FRACTION, exponent: float = EXPONENT, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """``docs`` with the columns mix_<margin>, mix_tokens, mix_probability and mix_kept.
+def attainable(values: DataFrame, goal: float) -> DataFrame:
+    """``values`` (tokens, share) with aim: tokens in proportion to share, none over tokens, ``goal`` in all.
 
-    Null values of a margin are the value ``(none)``; null tokens count 0, and a cell without tokens has
-    probability ``fraction``. A null doc_id is kept if the probability is 1 only. Repeated rows fare
-    alike. An empty table gives an empty result. ``targets``: (margin, share) tables; by default shares
-    tempered with ``exponent``. Columns of the names above are replaced, all others stay.
+    What a value lacks goes to the others in proportion to their shares. ``goal`` must be no more than
+    the tokens of the values with a share over 0.
     """
-    names = tuple(margins)
+    known, scale = -1, 0.0
+    while True:
+        full = F.col("tokens") <= F.lit(scale) * F.col("share")
+        n, have, rest = values.agg(F.count_if(full), F.sum(F.when(full, F.col("tokens")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("share")))).head()
+        # each round fills one value more at least, or is the last
+        if n == known or not rest:
+            return values.withColumn("aim", F.least(F.col("tokens"), F.lit(scale) * F.col("share")))
+        known, scale = n, max(scale, (goal - have) / rest)
+
+
+def bounded(cells: DataFrame, margins: tuple[str, ...], targets: dict[str, DataFrame], fraction: float, rounds: int = BOUNDED_ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """``cells`` (margins, tokens) with sampled: ``fraction`` of the tokens in all, tokens at most in a cell.
+
+    Also share_<margin>, the target share as in ``rake``, and aim_<margin>, the tokens to sample of the
+    value: in proportion to the shares, but for values with fewer tokens than that, which are kept
+    whole. Of all samples with these sums it is the closest to the cells (the least relative entropy);
+    where no sample has them all, it ends after ``rounds`` near to them. Values with a target share of
+    0 are left out, even if the sample is smaller then.
+    """
+    total = float(cells.agg(F.sum("tokens")).head()[0] or 0.0)
+    values, goal = {}, min(fraction, 1.0) * total
+    for m in margins:
+        sums = cells.groupBy(m).agg(F.sum("tokens").cast("double").alias("tokens"))
+        share = F.coalesce(F.col("share").cast("double"), F.col("tokens") / F.lit(total or 1.0))
+        sums = sums.join(targets[m].select(m, "share"), m, "left").withColumn("share", share)
+        scale = float(sums.agg(F.sum("share")).head()[0] or 1.0)
+        values[m] = materialize(sums.withColumn("share", F.col("share") / F.lit(scale)), "values")
+        goal = min(goal, float(values[m].filter("share > 0").agg(F.sum("tokens")).head()[0] or 0.0))
+    out = cells.withColumn("weight", F.col("tokens").cast("double"))
+    for m in margins:
+        aims = attainable(values[m], goal)
+        out = out.join(aims.select(m, F.col("share").alias(f"share_{m}"), F.col("aim").alias(f"aim_{m}")), m)
+    have, ratio = F.col("tokens").cast("double"), F.when(F.col("weight") > 0, F.col("tokens") / F.col("weight"))
+    sampled = F.least(have, F.col("weight"))
+    for i in range(rounds):
+        for m in margins:
+            # the factor f with sum(least(tokens, f * weight)) = aim: cells fill up in the order of tokens / weight
+            whole, aim = Window.partitionBy(m), F.col(f"aim_{m}")
+            filled = whole.orderBy(F.col("ratio").asc_nulls_last())
+            out = out.withColumn("ratio", ratio)
+            rest = F.sum("weight").over(whole) - F.sum("weight").over(filled)
+            out = out.withColumn("full", F.coalesce(F.sum(have).over(filled) + F.col("ratio") * rest <= aim, F.lit(False)))
+            left = aim - F.sum(F.when(F.col("full"), have).otherwise(0.0)).over(whole)
+            open_ = F.sum(F.when(F.col("full"), 0.0).otherwise(F.col("weight"))).over(whole)
+            out = out.withColumn("left", left).withColumn("open", open_).withColumn("most", F.max("ratio").over(whole))
+            factor = F.when(aim <= 0, 0.0).when((F.col("open") > 0) & (F.col("left") > 0), F.col("left") / F.col("open")).otherwise(F.coalesce("most", F.lit(1.0)))
+            out = out.withColumn("weight", F.col("weight") * factor).drop("ratio", "full", "left", "open", "most")
+        if (i + 1) % EVERY == 0 or i + 1 == rounds:
+            out = materialize(out, "raking")
+            off = [out.groupBy(m).agg(F.abs(F.sum(sampled) - F.first(f"aim_{m}")).alias("off")).agg(F.max("off")).head()[0] or 0.0 for m in margins]
+            if max(off, default=0.0) <= tolerance * goal:
+                break
+    # within the tolerance of its tokens a cell is kept whole
+    return out.withColumn("sampled", F.when(F.col("weight") >= have * (1 - tolerance), have).otherwise(F.col("weight"))).drop("weight")
+
+
+def _cells(docs: DataFrame, margins: dict[str, Column], tokens: Column, exponent: float, targets: dict[str, DataFrame] | None) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
     marked = docs
     for m, value in margins.items():
         marked = marked.withColumn(f"mix_{m}", F.coalesce(value.cast("string"), F.lit("(none)")))
     marked = marked.withColumn("mix_tokens", F.coalesce(tokens.cast("long"), F.lit(0).cast("long")))
-    keys = [f"mix_{m}" for m in names]
+    keys = [f"mix_{m}" for m in margins]
     cells = materialize(marked.groupBy(*keys).agg(F.sum("mix_tokens").alias("tokens")), "cells")
-    aims = {f"mix_{m}": targets[m].withColumnRenamed(m, f"mix_{m}") if targets and m in targets else tempered(cells, f"mix_{m}", exponent) for m in names}
-    raked = rake(cells, tuple(keys), aims, rounds)
-    chance = F.least(F.lit(1.0), F.when(F.col("tokens") > 0, fraction * F.col("weight") / F.col("tokens")).otherwise(F.lit(fraction)))
+    aims = {f"mix_{m}": targets[m].withColumnRenamed(m, f"mix_{m}") if targets and m in targets else tempered(cells, f"mix_{m}", exponent) for m in margins}
+    return marked, cells, aims
+
+
+def calibrated(docs: DataFrame, *, margins: dict[str, Column], tokens: Column, fraction: float = FRACTION, exponent: float = EXPONENT, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, within: bool = True) -> DataFrame:
+    """``docs`` with the columns mix_<margin>, mix_tokens, mix_probability and mix_kept.
+
+    Null values of a margin are the value ``(none)``; null tokens count 0, and a cell without tokens has
+    probability ``fraction``. A null doc_id is kept if the probability is 1 only. Repeated rows fare
+    alike. An empty table gives an empty result. ``targets``: (margin, share) tables; by default shares
+    tempered with ``exponent``. Columns of the names above are replaced, all others stay.
+
+    ``within``: sample as in ``bounded``; otherwise rake for ``rounds`` and cut probabilities at 1, by
+    which the sample gets smaller than ``fraction`` and misses the targets wherever a cell is cut.
+    """
+    marked, cells, aims = _cells(docs, margins, tokens, exponent, targets)
+    keys = [f"mix_{m}" for m in margins]
+    if within:
+        raked = bounded(cells, tuple(keys), aims, fraction)
+        part = F.col("sampled") / F.col("tokens")
+    else:
+        raked = rake(cells, tuple(keys), aims, rounds)
+        part = fraction * F.col("weight") / F.col("tokens")
+    chance = F.least(F.lit(1.0), F.when(F.col("tokens") > 0, part).otherwise(F.lit(fraction)))
     # a table on disk: its known size lets the optimiser broadcast it while it is small, and join by sorting beyond
     raked = materialize(raked.select(*keys, chance.alias("mix_probability")), "raked")
     out = marked.drop("mix_probability", "mix_kept").join(raked, keys)
     return out.withColumn("mix_kept", F.coalesce(uniform(F.col("doc_id")) < F.col("mix_probability"), F.col("mix_probability") >= 1))
 
 
-def mixed_documents(docs: DataFrame, fraction: float = FRACTION) -> DataFrame:
-    """``calibrated`` over the columns source and lang and a topic taken from the text."""
-    topic = F.expr(TOPIC)
-    return calibrated(docs, margins={"source": F.col("source"), "lang": F.col("lang"), "topic": topic}, tokens=F.expr(TOKENS.replace("//", "div")), fraction=fraction)
+def margins_reached(docs: DataFrame, *, margins: dict[str, Column], tokens: Column, fraction: float = FRACTION, exponent: float = EXPONENT, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+    """What ``calibrated`` makes of each value: margin, value, tokens, target, aim, reached, feasible.
+
+    ``target`` and ``aim`` are shares of the sample, ``aim`` as near to the target as the value's and the
+    margin's tokens allow; ``reached`` is the expected share. ``feasible``: reached is the target to 1e-4.
+    """
+    _, cells, aims = _cells(docs, margins, tokens, exponent, targets)
+    keys = [f"mix_{m}" for m in margins]
+    raked = bounded(cells, tuple(keys), aims, fraction)
+    total = float(raked.agg(F.sum("sampled")).head()[0] or 0.0) or 1.0
+    out = None
+    for m, key in zip(margins, keys, strict=True):
+        part = raked.groupBy(F.col(key).alias("value")).agg(F.sum("tokens").alias("tokens"), F.first(f"share_{key}").alias("target"), (F.first(f"aim_{key}") / F.lit(total)).alias("aim"), (F.sum("sampled") / F.lit(total)).alias("reached"))
+        part = part.select(F.lit(m).alias("margin"), "*", (F.abs(F.col("reached") - F.col("target")) <= 1e-4).alias("feasible"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
-def op10_mixing(spark, sf_dir: str) -> DataFrame:
-    out = mixed_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+def document_margins() -> dict:
+    """The columns source and lang, a topic taken from the text, and the estimate of tokens."""
+    return {"margins": {"source": F.col("source"), "lang": F.col("lang"), "topic": F.expr(TOPIC)}, "tokens": F.expr(TOKENS.replace("//", "div"))}
+
+
+def mixed_documents(docs: DataFrame, fraction: float = FRACTION, within: bool = True) -> DataFrame:
+    """``calibrated`` over ``document_margins``."""
+    return calibrated(docs, **document_margins(), fraction=fraction, within=within)
+
+
+def _shown(out: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("mix_source").alias("source"), F.col("mix_lang").alias("lang"), F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("tokens"), F.round("mix_probability", 6).alias("probability"), F.col("mix_kept").alias("kept"))
 
 
+def op10_mixing(spark, sf_dir: str) -> DataFrame:
+    return _shown(mixed_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), within=False))
+
+
+def op10_mixing_calibrated(spark, sf_dir: str) -> DataFrame:
+    return _shown(mixed_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
 def _oracle() -> str:
     parts = [
         f"""d AS (SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang, coalesce({TOPIC}, '(none)') AS topic, coalesce({TOKENS}, 0) AS tokens FROM documents)""",
@@ -109,5 +220,5 @@ SELECT doc_id, source, lang, topic, tokens::BIGINT AS tokens, round(p, 6) AS pro
 FROM d JOIN p USING (source, lang, topic)"""
 
 
-QUERIES = {"op10_mixing": op10_mixing}
+QUERIES = {"op10_mixing": op10_mixing, "op10_mixing_calibrated": op10_mixing_calibrated}
 ORACLES = {"op10_mixing": _oracle()}

@@ -324,6 +324,35 @@ def test_mixing(spark):
     assert mixing.mixed_documents(df.limit(0)).count() == 0
 
 
+def test_mixing_meets_targets_within_cells(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"s{i % 5}", lang, topic, int(1000 * big * rng.uniform(0.1, 2))) for i in range(5) for lang, big in (("en", 9), ("fr", 3), ("de", 2)) for topic in ("p", "q")]
+    docs = spark.createDataFrame([(k, *r[:3], r[3] // 10 + (j < r[3] % 10)) for k, (j, r) in enumerate((j, r) for r in rows for j in range(10))], "doc_id long, source string, lang string, topic string, w long")
+    how = {"margins": {m: F.col(m) for m in ("source", "lang", "topic")}, "tokens": F.col("w")}
+    got = mixing.calibrated(docs, **how, fraction=0.5).toPandas()
+    total, kept = got.w.sum(), (got.w * got.mix_probability)
+    assert (got.mix_probability == 1).any() and abs(kept.sum() / total - 0.5) < 1e-6
+    for m in ("source", "lang", "topic"):
+        sums = got.groupby(m).w.sum()
+        aim = np.sqrt(sums) / np.sqrt(sums).sum()
+        assert np.allclose(kept.groupby(got[m]).sum() / kept.sum(), aim, atol=1e-5)
+    # more than de has: it is kept whole, the other shares keep their proportion, and the report tells
+    sums = got.groupby("lang").w.sum()
+    aims = {"lang": spark.createDataFrame([("de", 0.5), ("fr", 0.2), ("en", 0.3)], "lang string, share double")}
+    got = mixing.calibrated(docs, **how, fraction=0.6, targets=aims).toPandas()
+    kept = (got.w * got.mix_probability).groupby(got.lang).sum()
+    assert abs(kept.sum() / total - 0.6) < 1e-6 and (got[got.lang == "de"].mix_probability == 1).all()
+    rest = 0.6 * total - sums["de"]
+    want = {"de": sums["de"], "fr": min(rest * 0.4, sums["fr"])}
+    assert np.allclose([kept["de"], kept["fr"], kept["en"]], [want["de"], want["fr"], 0.6 * total - sum(want.values())], rtol=1e-4)
+    told = {(r["margin"], r["value"]): r for r in mixing.margins_reached(docs, **how, fraction=0.6, targets=aims).collect()}
+    assert len(told) == 10 and not told["lang", "de"]["feasible"] and abs(told["lang", "de"]["reached"] - sums["de"] / (0.6 * total)) < 1e-6
+    assert all(told["source", f"s{i}"]["feasible"] for i in range(5))
+    none = {"lang": spark.createDataFrame([("de", 0.0), ("fr", 0.5), ("en", 0.5)], "lang string, share double")}
+    got = mixing.calibrated(docs, **how, fraction=0.6, targets=none).toPandas()
+    assert (got[got.lang == "de"].mix_probability == 0).all() and got.mix_probability.max() <= 1
+
+
 def test_pipeline_stages(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rows = [(i, t, "xx", f"s{i % 3}", len(t or "")) for i, t in edge_documents()]
