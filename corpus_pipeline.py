@@ -14,7 +14,7 @@ from latticework.llm.storage import discard, materialize
 
 #: a document whose n-grams are known to its best language to a smaller share than this is no text in it
 LEAST_KNOWN = 0.2
-#: expected share of the tokens that the mixing stage keeps
+#: expected share of the tokens that the mixing stage keeps: near 1, it leaves little room to move the shares
 MIX_FRACTION = 0.9
 
 
@@ -42,7 +42,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose tokens meet the target weights of source, language and topic."""
+    """A sample with ``MIX_FRACTION`` of the tokens, as near to the target weights of source, language and topic as that allows.
+
+    A value that has fewer tokens than its target is kept whole and the others of its margin share what
+    it lacks: at this fraction most languages and topics are such values, so their weights are not met.
+    README has the shares reached at sf0.1; ``mixing.margins_reached`` gives them for any table. A row with a
+    null doc_id stays only if its cell is kept whole.
+    """
     return mixing.mixed_documents(docs, MIX_FRACTION).filter("mix_kept").select(*docs.columns)
 
 

@@ -363,3 +363,11 @@ def test_pipeline_stages(spark):
         if name != corpus_pipeline.STAGES[-1][0]:
             assert docs.columns == columns
     assert docs.count() and set(docs.columns) >= {"doc_id", "sequence_id", "offset"}
+
+
+def test_pipeline_mixing_keeps_its_fraction(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(i, "x" * (100 + 37 * (i % 11) * (i % 7)), "en" if i % 5 else "fr", f"s{min(i % 9, 3)}", 0) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sum((len(r["text"]) + 3) // 4 for r in corpus_pipeline.source_mixing(spark, docs, "").collect())
+    assert abs(kept / sum((len(r[1]) + 3) // 4 for r in rows) - corpus_pipeline.MIX_FRACTION) < 0.02
