@@ -26,19 +26,26 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the least doc_id."""
+    """One document of each group of near duplicates: that with the least doc_id.
+
+    Rows with a null doc_id can't be told apart by it and stay as they are.
+    """
     kept = near_dedup.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that repeat are cut out; a document of which nothing is left goes."""
+    """Passages that repeat are cut out; a document of which nothing is left goes.
+
+    Rows with a null doc_id stay as they are, and no passage counts as repeated because of them.
+    """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     cut = repeats.remove_repeats(docs, carry=others)
     rest = cut.filter((F.col("n_removed") == 0) | (F.trim("kept_text") != ""))
     n_chars = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("carried.n_chars")).alias("n_chars")
     new = {"doc_id": F.col("doc_id"), "text": F.col("kept_text").alias("text"), "n_chars": n_chars}
-    return rest.select(*(new[c] if c in new else F.col("carried")[c].alias(c) for c in docs.columns))
+    named = rest.select(*(new[c] if c in new else F.col("carried")[c].alias(c) for c in docs.columns))
+    return named.unionByName(docs.filter("doc_id is null"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

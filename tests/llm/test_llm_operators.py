@@ -371,3 +371,12 @@ def test_pipeline_mixing_keeps_its_fraction(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = sum((len(r["text"]) + 3) // 4 for r in corpus_pipeline.source_mixing(spark, docs, "").collect())
     assert abs(kept / sum((len(r[1]) + 3) // 4 for r in rows) - corpus_pipeline.MIX_FRACTION) < 0.02
+
+
+def test_pipeline_carries_null_ids(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    twice = text(80)
+    rows = [(1, twice, "xx", "s", 1), (2, text(80), "xx", "s", 1), (None, twice, "xx", "s", 7), (None, None, "xx", "s", None), (None, twice, "xx", "s", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for stage in (corpus_pipeline.near_duplicates, corpus_pipeline.repeated_passages):
+        assert Counter(tuple(r) for r in stage(spark, docs, "").collect()) == Counter(rows)
