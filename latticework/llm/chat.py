@@ -57,28 +57,34 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
+def _joined(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """A join on tree_id and ``key``, where null tree_ids are one tree."""
+    right = right.withColumnRenamed("tree_id", "other_tree").withColumnRenamed(key, "other_key")
+    return left.join(right, F.col("tree_id").eqNullSafe(F.col("other_tree")) & (F.col(key) == F.col("other_key")), how).drop("other_tree", "other_key")
+
+
 def paths(messages: DataFrame) -> DataFrame:
     """(tree_id, leaf, node, depth) for every message on the way from a root to each leaf; depth 0: the root.
 
     ``messages`` needs tree_id, node, parent (null at a root), node unique in its tree. A message whose
     parent is not there counts as a root; messages that lead back to themselves have no root and give
-    no path.
+    no path. A null tree_id is a tree like any other.
     """
     nodes = messages.select("tree_id", "node", "parent")
     there = nodes.select("tree_id", F.col("node").alias("parent"), F.lit(True).alias("there"))
-    up = nodes.join(there, ["tree_id", "parent"], "left").select("tree_id", "node", F.when(F.col("there"), F.col("parent")).alias("to"))
+    up = _joined(nodes, there, "parent", "left").select("tree_id", "node", F.when(F.col("there"), F.col("parent")).alias("to"))
     up = materialize(up, "up")
     parents = up.filter("to is not null").select("tree_id", F.col("to").alias("node")).distinct()
-    leaves = up.join(parents, ["tree_id", "node"], "left_anti").select("tree_id", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("above"))
+    leaves = _joined(up, parents, "node", "left_anti").select("tree_id", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("above"))
     total, reach, hop = up.count(), materialize(leaves, "paths"), 1
     while hop <= total:  # `to` is the ancestor `hop` steps up
         step = up.filter("to is not null")
         if step.isEmpty():
             break
-        far = reach.join(step, ["tree_id", "node"]).select("tree_id", "leaf", F.col("to").alias("node"), (F.col("above") + hop).alias("above"))
+        far = _joined(reach, step, "node").select("tree_id", "leaf", F.col("to").alias("node"), (F.col("above") + hop).alias("above"))
         reach = materialize(reach.unionByName(far), "paths")
         ahead = step.select("tree_id", F.col("node").alias("to"), F.col("to").alias("next"))
-        up = materialize(step.join(ahead, ["tree_id", "to"]).select("tree_id", "node", F.col("next").alias("to")), "up")
+        up = materialize(_joined(step, ahead, "to").select("tree_id", "node", F.col("next").alias("to")), "up")
         hop *= 2
     length = Window.partitionBy("tree_id", "leaf")
     return reach.withColumn("depth", F.max("above").over(length) - F.col("above")).drop("above")
@@ -93,7 +99,7 @@ def format_conversations(messages: DataFrame, *, learned: str = LEARNED) -> Data
     if "score" not in messages.columns:
         messages = messages.withColumn("score", F.lit(0.0))
     full = messages.select("tree_id", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-    turns = paths(messages).join(full, ["tree_id", "node"])
+    turns = _joined(paths(messages), full, "node")
     turn = F.struct("depth", "role", "text")
     gathered = turns.groupBy("tree_id", "leaf").agg(F.sort_array(F.collect_list(turn)).alias("turns"), F.sum("score").alias("score"), F.count("*").alias("n_turns"))
     ranked = gathered.withColumn("branch_rank", F.row_number().over(Window.partitionBy("tree_id").orderBy(F.desc("score"), "leaf")).cast("long"))

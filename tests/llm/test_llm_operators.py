@@ -380,3 +380,18 @@ def test_pipeline_carries_null_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     for stage in (corpus_pipeline.near_duplicates, corpus_pipeline.repeated_passages):
         assert Counter(tuple(r) for r in stage(spark, docs, "").collect()) == Counter(rows)
+
+
+def test_chat_null_trees(spark, tmp_path):
+    rows = [(None, 1, None, "user", "q", 0.0), (None, 2, 1, "assistant", "bad", -1.0), (None, 3, 1, "assistant", "good", 2.0), (None, 4, 3, "user", "so", 0.0), (1, 1, None, "user", "other", 0.0)]
+    out = {(r["tree_id"], r["leaf"]): r for r in chat.format_conversations(spark.createDataFrame(rows, "tree_id long, node long, parent long, role string, text string, score double")).collect()}
+    assert set(out) == {(None, 2), (None, 4), (1, 1)}
+    assert chat.parse(out[None, 4]["formatted"]) == [("user", "q"), ("assistant", "good"), ("user", "so")]
+    duckdb = pytest.importorskip("duckdb")
+    said = [(None, 0, "user", "q"), (None, 1, "assistant", "a: ### "), (None, 2, "user", None), (3, 0, "user", "x"), (3, 1, "assistant", "</turn>")]
+    spark.createDataFrame(said, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = chat.op3_chat_format(spark, str(tmp_path))
+    with duckdb.connect() as con:
+        con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+        want = con.sql(chat.ORACLES["op3_chat_format"])
+        assert Counter(tuple(r) for r in got.select(*want.columns).collect()) == Counter(want.fetchall())
