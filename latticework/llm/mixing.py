@@ -100,21 +100,18 @@ def bounded(cells: DataFrame, margins: tuple[str, ...], targets: dict[str, DataF
     for m in margins:
         aims = attainable(values[m], goal)
         out = out.join(aims.select(m, F.col("share").alias(f"share_{m}"), F.col("aim").alias(f"aim_{m}")), m)
-    have, ratio = F.col("tokens").cast("double"), F.when(F.col("weight") > 0, F.col("tokens") / F.col("weight"))
+    have = F.col("tokens").cast("double")
     sampled = F.least(have, F.col("weight"))
     for i in range(rounds):
         for m in margins:
-            # the factor f with sum(least(tokens, f * weight)) = aim: cells fill up in the order of tokens / weight
-            whole, aim = Window.partitionBy(m), F.col(f"aim_{m}")
-            filled = whole.orderBy(F.col("ratio").asc_nulls_last())
-            out = out.withColumn("ratio", ratio)
-            rest = F.sum("weight").over(whole) - F.sum("weight").over(filled)
-            out = out.withColumn("full", F.coalesce(F.sum(have).over(filled) + F.col("ratio") * rest <= aim, F.lit(False)))
-            left = aim - F.sum(F.when(F.col("full"), have).otherwise(0.0)).over(whole)
-            open_ = F.sum(F.when(F.col("full"), 0.0).otherwise(F.col("weight"))).over(whole)
-            out = out.withColumn("left", left).withColumn("open", open_).withColumn("most", F.max("ratio").over(whole))
-            factor = F.when(aim <= 0, 0.0).when((F.col("open") > 0) & (F.col("left") > 0), F.col("left") / F.col("open")).otherwise(F.coalesce("most", F.lit(1.0)))
-            out = out.withColumn("weight", F.col("weight") * factor).drop("ratio", "full", "left", "open", "most")
+            # a Newton step to the factor f with sum(least(tokens, f * weight)) = aim: one window, so the plan stays small
+            whole, aim, full = Window.partitionBy(m), F.col(f"aim_{m}"), F.col("weight") >= have
+            left = aim - F.sum(F.when(full, have).otherwise(0.0)).over(whole)
+            rest = F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).over(whole)
+            out = out.withColumn("left", left).withColumn("rest", rest)
+            now = aim - F.col("left") + F.col("rest")
+            scaled = F.when((F.col("rest") > 0) & (F.col("left") > 0), F.col("weight") * F.col("left") / F.col("rest"))
+            out = out.withColumn("weight", scaled.when(now > 0, sampled * aim / now).otherwise(F.col("weight"))).drop("left", "rest")
         if (i + 1) % EVERY == 0 or i + 1 == rounds:
             out = materialize(out, "raking")
             off = [out.groupBy(m).agg(F.abs(F.sum(sampled) - F.first(f"aim_{m}")).alias("off")).agg(F.max("off")).head()[0] or 0.0 for m in margins]
