@@ -395,3 +395,16 @@ def test_chat_null_trees(spark, tmp_path):
         con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
         want = con.sql(chat.ORACLES["op3_chat_format"])
         assert Counter(tuple(r) for r in got.select(*want.columns).collect()) == Counter(want.fetchall())
+
+
+def test_token_blocks_equal_whole_texts(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = edge_documents()[:-1]
+    got = {r["doc_id"]: r for r in token_blocks.read_blocks(*token_blocks.write_blocks(table(spark, rows), path, block=500), digest=False).collect()}
+    whole = Tokenizer.from_file(path)
+    for i, t in rows:
+        ids = whole.encode(t or "", add_special_tokens=False).ids + [2]
+        assert got[i]["n_tokens"] == len(ids) and np.frombuffer(got[i]["ids"], "<u4").tolist() == ids
