@@ -14,15 +14,24 @@ _places: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset (local runs), a temporary one."""
+    """The folder in ``spark.checkpoint.dir``; only where that is unset and everything runs in this machine's own process, a temporary one."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _fallback:
         _fallback.append(tempfile.TemporaryDirectory(prefix="latticework-"))
     return f"file://{_fallback[0].name}"
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that is removed when the driver's interpreter ends."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return a reader of it.
 
@@ -31,10 +40,9 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
     behind ``df`` are of no use any more: a collection on the driver lets Spark's cleaner remove them.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = new_folder(spark, label)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     _places[out] = path
     spark.sparkContext._jvm.System.gc()
