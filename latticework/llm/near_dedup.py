@@ -59,15 +59,16 @@ def _features(rows: int, bands: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in K.chunks(batch.column(1)):
-                sets = K.shingle_sets(data, offsets, width)
-                keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+                sets, again = K.both_sets(data, offsets, width)
+                # by both hashes: equal keys are equal sets
+                keys = [xxhash.xxh3_128_digest(s.tobytes() + t.tobytes()) for s, t in zip(sets, again, strict=True)]
                 full = [s for s in sets if len(s)]
                 sk = sketch(full, rows * bands).reshape(-1, bands, rows)
                 factor = K.stream(rows, 4) | np.uint64(1)
                 tags = K.mix((sk * factor).sum(2, dtype=np.uint64) + K.stream(bands, 5)).view(np.int64)
                 bounds = np.concatenate(([0], np.cumsum([bands * bool(len(s)) for s in sets]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[lo:hi], pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(tags.reshape(-1)))],
+                    [batch.column(0)[lo:hi], pa.array([max(len(s), len(t)) for s, t in zip(sets, again, strict=True)], pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(tags.reshape(-1)))],
                     ["doc_id", "n_shingles", "set_key", "tags"],
                 )
 
@@ -78,7 +79,8 @@ def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in K.chunks(batch.column(1)):
-                sets = K.shingle_sets(data, offsets, width)
+                # the hash that the sketches do not use: no pair is confirmed by a collision that proposed it
+                sets = K.shingle_sets(data, offsets, width, lane=1)
                 bounds = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
                 flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
                 bits = np.zeros((len(sets), 64 * MARKS), bool)

@@ -1,7 +1,8 @@
 """Vectorised kernels on Arrow string buffers: chunks, word spans and hashes.
 
-All of it works on whole texts: a chunk holds whole documents and grows with the
-longest one, so memory is bounded by ``CHUNK`` or one document.
+All of it works on whole texts: a chunk holds whole documents. A document that is longer
+than a chunk comes alone and is cut into words slice by slice, so that what it takes besides
+its bytes is a few numbers a word.
 """
 
 from __future__ import annotations
@@ -35,18 +36,7 @@ def stream(n: int, seed: int) -> np.ndarray:
     return mix((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed << 20)) * _GOLD)
 
 
-BYTE_VALUE = stream(256, 1)
 BASE = np.uint64(0x5851F42D4C957F2D)
-_powers = np.ones(1, np.uint64)
-
-
-def powers(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        out = np.full(max(n, 1024), BASE, np.uint64)
-        out[0] = 1
-        _powers = np.multiply.accumulate(out)
-    return _powers[:n]
 
 
 def chunks(texts: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -66,41 +56,108 @@ def chunks(texts: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.n
         lo = hi
 
 
-def piece_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each piece of ``data``; pieces begin at ``starts`` and fill it."""
+def blocks_of(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on, as a number; ``data`` is followed by eight zero bytes."""
+    return np.ndarray((len(data) - 8,), "<u8", np.ascontiguousarray(data), strides=(1,))
+
+
+_LOW_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+
+def piece_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, lanes: int = 1) -> np.ndarray:
+    """Independent 64-bit hashes (lanes x pieces) of the pieces of ``data``.
+
+    Each eight bytes are mixed with all before them by a function that is not linear in them, so texts
+    of special shape don't collide more often than others.
+    """
+    seeds = stream(lanes, 1)[:, None]
+    out = mix(seeds ^ (sizes.astype(np.uint64) * _GOLD)[None])
     if not len(starts):
-        return np.zeros(0, np.uint64)
-    sizes = np.diff(starts, append=len(data))
-    at = np.arange(len(data), dtype=np.int64) - np.repeat(starts, sizes)
-    values = BYTE_VALUE[data]
-    values *= powers(int(sizes.max()))[at]
-    out = np.add.reduceat(values, starts)
-    out += sizes.astype(np.uint64) * _GOLD
-    return mix(out)
-
-
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; number of words before each document (and in all)."""
-    solid = ~WHITE[data]
-    before = np.empty(len(data), bool)
-    before[:1] = False
-    before[1:] = solid[:-1]
-    before[offsets[:-1][offsets[:-1] < len(data)]] = False
-    first = solid & ~before
-    letters = LOWER[data[solid]]
-    rank = np.concatenate(([0], np.cumsum(solid)))
-    starts = rank[:-1][first]
-    count = np.concatenate(([0], np.cumsum(first)))
-    return piece_hashes(letters, starts), count[offsets]
-
-
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
-    """Sorted distinct hashes of the ``width``-word shingles of each document.
+        return out
+    view = blocks_of(np.concatenate((data, np.zeros(8, np.uint8))))
+    live = np.flatnonzero(sizes > 0)
+    at = 0
+    while len(live):
+        left = sizes[live] - at
+        block = view[starts[live] + at] & _LOW_BYTES[np.minimum(left, 8)]
+        if len(live) == out.shape[1]:
+            out = mix((out ^ block) * _GOLD + seeds)
+        else:
+            out[:, live] = mix((out[:, live] ^ block) * _GOLD + seeds)
+        at += 8
+        live = live[left > 8]
+    return out
+
+
+def equal_pieces(data: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> bool:
+    """Whether each piece that starts at ``a`` has the bytes of that at ``b``."""
+    view = blocks_of(np.concatenate((data, np.zeros(8, np.uint8))))
+    live, at = np.flatnonzero((sizes > 0) & (a != b)), 0
+    while len(live):
+        left = sizes[live] - at
+        keep = _LOW_BYTES[np.minimum(left, 8)]
+        if (((view[a[live] + at] ^ view[b[live] + at]) & keep) != 0).any():
+            return False
+        at += 8
+        live = live[left > 8]
+    return True
+
+
+def slices(data: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Parts of about ``limit`` bytes that begin at a white byte (a longer word stays whole)."""
+    at = 0
+    while at < len(data):
+        end = at + limit
+        while end < len(data):
+            white = np.flatnonzero(WHITE[data[end : end + limit]])
+            if len(white):
+                end += int(white[0])
+                break
+            end += limit
+        end = min(end, len(data))
+        yield at, end
+        at = end
+
+
+def words(data: np.ndarray, offsets: np.ndarray, lanes: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (lanes x words) of the words ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; number of words before each document (and in all)."""
+    hashes, count, total = [np.zeros((lanes, 0), np.uint64)], np.zeros(len(offsets), np.int64), 0
+    for lo, hi in slices(data, 2 * CHUNK):
+        part = data[lo:hi]
+        solid = ~WHITE[part]
+        edge = np.concatenate(([True], ~solid[:-1]))
+        inner = offsets[(offsets > lo) & (offsets < hi)] - lo
+        edge[inner] = True
+        first = solid & edge
+        starts = np.flatnonzero(first)
+        stop = ~solid
+        stop[inner] = True
+        ends = np.concatenate((np.flatnonzero(stop), [len(part)]))
+        sizes = ends[np.searchsorted(ends, starts, "right")] - starts
+        hashes.append(piece_hashes(LOWER[part], starts, sizes, lanes))
+        here = (offsets > lo) & (offsets <= hi)
+        count[here] = total + np.searchsorted(starts, offsets[here] - lo)
+        total += len(starts)
+    return np.concatenate(hashes, 1), count
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int, lane: int = 0, lanes: int = 2) -> list[np.ndarray]:
+    """Sorted distinct hashes of the ``width``-word shingles of each document, by one of two independent hashes.
 
     Fewer words than ``width``: the whole sequence as one; no word: empty.
     """
-    hashes, bounds = words(data, offsets)
-    factor = stream(width, 2) | np.uint64(1)
+    hashes, bounds = words(data, offsets, lanes)
+    return _sets_of(hashes[lane], bounds, width, lane)
+
+
+def both_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """``shingle_sets`` by either hash."""
+    hashes, bounds = words(data, offsets, 2)
+    return _sets_of(hashes[0], bounds, width, 0), _sets_of(hashes[1], bounds, width, 1)
+
+
+def _sets_of(hashes: np.ndarray, bounds: np.ndarray, width: int, lane: int) -> list[np.ndarray]:
+    factor = stream(width, 2 + 20 * lane) | np.uint64(1)
     total = max(0, len(hashes) - width + 1)
     rolled = np.zeros(total, np.uint64)
     for k in range(width):

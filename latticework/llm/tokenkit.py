@@ -2,9 +2,10 @@
 
 A text is cut at places where the tokenizer's own pre-tokenizer always cuts (a letter run next to
 punctuation or digits, a single blank between two visible ASCII or Latin-1 characters), equal pieces
-are encoded once a worker, and ids are put together again with numpy. Where a cut might not be safe
-(apostrophes, other scripts, runs of white space) the piece simply stays longer; a document that
-holds a special token's string is encoded in one go.
+(by their bytes) are encoded once a worker, and ids are put together again with numpy. Where a cut might
+not be safe (apostrophes, other scripts, runs of white space) the piece simply stays longer. A document
+longer than ``LONG`` is worked off in parts that begin at such a cut; one that holds a special token's
+string is encoded in one go.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from . import textkit as K
 
 #: pieces a worker remembers at most; beyond, it starts anew
 REMEMBER = 400_000
+#: bytes of a document that are in work at once
+LONG = 4 << 20
 _LETTER, _DIGIT, _PUNCT, _QUOTE, _BLANK, _BREAK = 1, 2, 3, 4, 5, 6
 _KIND = np.zeros(256, np.uint8)
 _KIND[0x21:0x7F] = _PUNCT
@@ -47,7 +50,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.flat, self.ends = array("i"), array("q", [0])
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
@@ -90,14 +93,49 @@ class Encoder:
                 return ids, np.array([0, len(ids)], np.int64)
             parts = [self.encode(np.frombuffer(r, np.uint8), np.array([0, len(r)]))[0] for r in rows]
             return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
+        if len(offsets) == 2 and len(data) > LONG:
+            parts = [self._pieces(data[a:b], np.array([0, b - a]))[0] for a, b in self._parts(data)]
+            return np.concatenate(parts), np.array([0, sum(map(len, parts))], np.int64)
+        return self._pieces(data, offsets)
+
+    def _parts(self, data: np.ndarray) -> list[tuple[int, int]]:
+        """Parts of a text that begin at a blank between two ASCII letters: a cut for either tokenizer."""
+        bounds = [0]
+        while bounds[-1] + LONG < len(data):
+            at = bounds[-1] + LONG
+            while at < len(data) - 1:
+                near = data[at - 1 : at + LONG + 1]
+                letter = (_KIND[near] == _LETTER) & (near < 0x80)
+                here = np.flatnonzero(letter[:-2] & (near[1:-1] == 0x20) & letter[2:])
+                if len(here):
+                    at += int(here[0])
+                    break
+                at += LONG
+            if at >= len(data) - 1:
+                break
+            bounds.append(at)
+        return list(zip(bounds, [*bounds[1:], len(data)], strict=True))
+
+    def _alike(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A piece of each kind, and the kind of each piece; pieces of a kind have the same bytes."""
+        _, first, place = np.unique(K.piece_hashes(data, starts, sizes)[0], return_index=True, return_inverse=True)
+        head = first[place]
+        if (sizes == sizes[head]).all() and K.equal_pieces(data, starts, starts[head], sizes):
+            return first, place
+        raw, kinds = data.tobytes(), {}
+        place = np.array([kinds.setdefault(raw[a : a + n], len(kinds)) for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)])
+        return np.unique(place, return_index=True)[1], place
+
+    def _pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if self.by_word:
             data = K.LOWER[data]
         starts, kind = self._cuts(data, offsets)
         sizes = np.diff(starts, append=len(data))
-        hashes, first, place = np.unique(K.piece_hashes(data, starts), return_index=True, return_inverse=True)
+        first, place = self._alike(data, starts, sizes)
         if len(self.known) > REMEMBER:
             self._forget()
-        keys = hashes.tolist()
+        raw = data.tobytes()
+        keys = [raw[a : a + n] for a, n in zip(starts[first].tolist(), sizes[first].tolist(), strict=True)]
         known = self.known
         new = [i for i, k in enumerate(keys) if k not in known]
         if new:
@@ -107,8 +145,7 @@ class Encoder:
             blank = (kind[at] == _BLANK) & (not self.by_word)
             plain = (inside > 0) & (inside == size - blank)
             void = (kind[at] >= _BLANK) & self.by_word
-            raw = data.tobytes()
-            pieces = [raw[a : a + n] for a, n in zip(at.tolist(), size.tolist(), strict=True)]
+            pieces = [keys[i] for i in new]
             rest = iter(self._whole([p.decode() for p, q, v in zip(pieces, plain, void, strict=True) if not (q or v)]))
             for i, piece, easy, empty in zip(new, pieces, plain.tolist(), void.tolist(), strict=True):
                 if easy:
@@ -129,6 +166,14 @@ class Encoder:
         return ids, before[np.searchsorted(starts, offsets, "left")]
 
 
+def vocabulary(path: str) -> int:
+    """One more than the largest id that the tokenizer gives."""
+    from tokenizers import Tokenizer
+
+    known = Tokenizer.from_file(path)
+    return max(known.get_vocab(with_added_tokens=True).values(), default=0) + 1
+
+
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
