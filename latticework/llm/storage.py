@@ -1,5 +1,5 @@
 """Cutting lineage through the folder all executors share."""
 
-from ..storage import discard, materialize, shared_dir
+from ..storage import discard, materialize, new_folder, shared_dir
 
-__all__ = ["discard", "materialize", "shared_dir"]
+__all__ = ["discard", "materialize", "new_folder", "shared_dir"]
