@@ -4,11 +4,13 @@ A document of n ids is cut into full windows, one body whose length is a multipl
 tail shorter than that. Shallow combinations of bodies (up to ``depth``) that fill a window exactly
 are enumerated; how often each is used is solved by non-negative least squares against the histogram
 and rounded down; what is left, tails included, is packed greedily, longest first. All of that works
-on the histogram alone. Pieces then find their places by their rank among those of equal length.
+on the histogram alone. A full window is a sequence by itself; the other pieces find their places by
+their rank among those of equal length.
 """
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections.abc import Iterator
 
@@ -20,7 +22,9 @@ from pyspark.sql import functions as F
 from .storage import materialize
 from .tokenkit import encoded
 
-WINDOW, GRID, DEPTH, END, SALTS = 2048, 16, 3, 1, 64
+WINDOW, GRID, DEPTH, END = 2048, 16, 3, 1
+#: pieces of one length that are ranked in one task, about; groups of one length at most
+RANKED, SALTS = 1_000_000, 4096
 
 
 def combinations(units: int, depth: int) -> list[tuple[int, ...]]:
@@ -36,18 +40,22 @@ def combinations(units: int, depth: int) -> list[tuple[int, ...]]:
     return sorted((c for c in out if len(c) > 1), reverse=True)
 
 
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 3000) -> np.ndarray:
-    """argmin of the norm of ``a x - b`` over x >= 0, by the active-set method of Lawson and Hanson."""
+def nnls(a: np.ndarray, b: np.ndarray, rounds: int | None = None) -> np.ndarray:
+    """argmin of the norm of ``a x - b`` over x >= 0, by the active-set method of Lawson and Hanson.
+
+    It ends by itself; after ``rounds`` (30 a column) without an end, which rounding errors may cause, it
+    warns and returns what it has: feasible, and the greedy part packs what it leaves.
+    """
     n = a.shape[1]
     x, active = np.zeros(n), np.zeros(n, bool)
     gram, right = a.T @ a, a.T @ b
     tiny = 1e-9 * max(1.0, float(np.abs(right).max(initial=0)))
-    for _ in range(rounds):
+    for _ in range(30 * n if rounds is None else rounds):
         slope = right - gram @ x
         slope[active] = -np.inf
         j = int(slope.argmax()) if n else 0
         if not n or slope[j] <= tiny:
-            break
+            return x
         active[j] = True
         while True:
             idx = np.flatnonzero(active)
@@ -66,6 +74,8 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 3000) -> np.ndarray:
             active[gone] = False
             if not active.any():
                 break
+    if n:
+        warnings.warn("the non-negative least squares did not come to an end", stacklevel=2)
     return x
 
 
@@ -109,10 +119,13 @@ def plan(histogram: dict[int, int], *, window: int = WINDOW, grid: int = GRID, d
 
 def _cut(path: str, by_word: bool, end: int, window: int, grid: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = (TaskContext.get().partitionId() + 1) << 36  # of a full window: its own in all tasks
         for batch in batches:
             for lo, _, ids, bounds in encoded(batch.column(1), path, by_word, end):
                 raw = ids.astype("<u4").tobytes()
-                rows: list[list] = [[], [], [], [], [], []]
+                rows: list[list] = [[], [], [], [], [], [], []]
                 docs = batch.column(0)
                 for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
                     n = b - a
@@ -122,12 +135,14 @@ def _cut(path: str, by_word: bool, end: int, window: int, grid: int, keep_ids: b
                     cuts += ([rest] if body else []) + ([rest + body] if rest + body < n else [])
                     for s, e in zip(cuts, [*cuts[1:], n], strict=True):
                         piece = raw[4 * (a + s) : 4 * (a + e)]
-                        for column, value in zip(rows, (docs[lo + i].as_py(), s, e - s, zlib.crc32(piece), n, piece if keep_ids else None), strict=True):
+                        full = number if e - s == window else None
+                        number += full is not None
+                        for column, value in zip(rows, (docs[lo + i].as_py(), s, e - s, zlib.crc32(piece), n, full, piece if keep_ids else None), strict=True):
                             column.append(value)
-                kinds = [pa.int64()] * 5 + [pa.binary()]
+                kinds = [pa.int64()] * 6 + [pa.binary()]
                 arrays = [pa.array(c, k) for c, k in zip(rows, kinds, strict=True)]
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
-                yield pa.RecordBatch.from_arrays(arrays[: 6 if keep_ids else 5], names[: 6 if keep_ids else 5])
+                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "full", "ids"]
+                yield pa.RecordBatch.from_arrays(arrays[: 7 if keep_ids else 6], names[: 7 if keep_ids else 6])
 
     return run
 
@@ -139,15 +154,17 @@ def pack(docs: DataFrame, path: str, *, by_word: bool = True, end: int = END, wi
     holds at most ``window`` ids, without gaps from 0. A null doc_id is a document like any other, and
     so is each of several rows with one doc_id. An empty table gives an empty result.
 
-    The histogram and the plan go through the driver: at most ``window`` lengths and, with these, a
-    few thousand rows, whatever the input. A length that very many pieces have is dealt over ``SALTS``
-    groups for ranking.
+    Sequence ids are the plan's from 0 on, and for full windows numbers from 2**36 on that no other task
+    gives. The histogram and the plan go through the driver: at most ``window`` lengths and, with these, a
+    few thousand rows, whatever the input. A length that very many pieces have is dealt over groups of
+    about ``RANKED`` pieces for ranking.
     """
     spark = docs.sparkSession
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * keep_ids
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, full long" + ", ids binary" * keep_ids
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     pieces = materialize(text.mapInArrow(_cut(path, by_word, end, window, grid, keep_ids), schema), "pieces")
-    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    rest = pieces.filter("full is null")
+    histogram = {r["length"]: r["n"] for r in rest.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots, used, base = [], dict.fromkeys(histogram, 0), 0
     for combo, m in plan(histogram, window=window, grid=grid, depth=depth):
         at = 0
@@ -159,17 +176,20 @@ def pack(docs: DataFrame, path: str, *, by_word: bool = True, end: int = END, wi
         base += m
     table = spark.createDataFrame(slots, "length long, rank_from long, rank_to long, base long, each long, at long")
 
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)))
+    salts = min(SALTS, max(64, -(-max(histogram.values(), default=0) // RANKED)))
+    salted = rest.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)))
     order = [F.col(c) for c in ("doc_id", "start", "ids_crc32")]
     ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy(*order)) - 1)
     sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).drop("n")
-    # length and salt: window * SALTS rows at most
+    # length and salt: (window / grid + grid) * SALTS rows at most
     ranked = ranked.join(F.broadcast(before), ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
     placed = ranked.join(F.broadcast(table), (ranked["length"] == table["length"]) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to"))).drop(table["length"])
     nth = F.col("rank") - F.col("rank_from")
     placed = placed.withColumn("sequence_id", F.expr("base + (rank - rank_from) div each")).withColumn("offset", F.col("at") + nth % F.col("each") * F.col("length"))
-    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * keep_ids)
+    whole = pieces.filter("full is not null").withColumn("sequence_id", F.col("full")).withColumn("offset", F.lit(0).cast("long"))
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * keep_ids]
+    return placed.select(*names).unionByName(whole.select(*names))
 
 
 def op6_packing(spark, sf_dir: str) -> DataFrame:
