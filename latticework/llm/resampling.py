@@ -1,9 +1,10 @@
 """Quality selection by importance resampling with hashed n-gram models.
 
 Words and word pairs are hashed into buckets. One bag-of-buckets model is fitted to the target texts,
-one to all texts; a document's log weight is the sum of the logarithms of their ratio over its n-grams,
-per n-gram, times ``sharpness`` (so that the length of a text does not decide). Adding Gumbel noise to
-the log weights and taking the ``k`` largest samples without replacement by the weights.
+one to all texts; a document's log importance weight is the sum of the logarithms of their ratio over all
+its n-grams. Adding Gumbel noise to the log weights and taking the ``k`` largest samples without
+replacement by the weights. ``temper`` is another, named choice: the mean over the n-grams times that
+number, by which a text's length doesn't count.
 
 The model of all texts counts every document. That of the target is fitted to at most ``targets``
 target documents, those with the least hashes of their ids, so that only their ids are broadcast and
@@ -22,14 +23,14 @@ from pyspark.sql import functions as F
 from . import textkit as K
 from .storage import materialize
 
-BUCKETS, SHARPNESS, SMOOTH = 1 << 18, 400.0, 0.5
+BUCKETS, SMOOTH = 1 << 18, 0.5
 #: at most so many labelled target documents are fitted; their ids are broadcast
 TARGETS = 1 << 16
 
 
 def features(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all words and word pairs; the document of each."""
-    hashes, bounds = K.words(data, offsets)
+    (hashes,), bounds = K.words(data, offsets)
     owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     both = owner[1:] == owner[:-1]
     pairs = K.mix(hashes[:-1] * K.BASE + hashes[1:])[both]
@@ -115,12 +116,12 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
     return ranked.withColumn("kept", (F.col("level") > level) | ((F.col("level") == level) & (F.col("doc_id") <= last))).drop("level")
 
 
-def resample(docs: DataFrame, target_ids: DataFrame, fraction: float, *, buckets: int = BUCKETS, sharpness: float = SHARPNESS, seed: int = 1, targets: int = TARGETS) -> DataFrame:
+def resample(docs: DataFrame, target_ids: DataFrame, fraction: float, *, buckets: int = BUCKETS, temper: float | None = None, seed: int = 1, targets: int = TARGETS) -> DataFrame:
     """One row a document: doc_id, log_weight, key (with Gumbel noise), kept for ``fraction`` of all rows.
 
     ``docs``: doc_id, text; ``target_ids``: doc_id of the target texts, of which at most ``targets``
-    are fitted. Null or blank text: weight 0 on
-    the log scale. The noise is a function of doc_id and ``seed``, so a lost task gives the same rows
+    are fitted. Null or blank text: weight 0 on the log scale. ``temper``: None for the summed log
+    ratios, a number for their mean times it. The noise is a function of doc_id and ``seed``, so a lost task gives the same rows
     again. Without target texts all weights are equal. A null doc_id takes no part and is left out.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
@@ -130,8 +131,9 @@ def resample(docs: DataFrame, target_ids: DataFrame, fraction: float, *, buckets
         for batch in batches:
             for lo, hi, data, offsets in K.chunks(batch.column(1)):
                 cell, owner = features(data, offsets, buckets)
-                n = np.bincount(owner, minlength=hi - lo)
-                weight = sharpness * np.bincount(owner, shared.value[cell], hi - lo) / np.maximum(n, 1)
+                weight = np.bincount(owner, shared.value[cell], hi - lo)
+                if temper is not None:
+                    weight = temper * weight / np.maximum(np.bincount(owner, minlength=hi - lo), 1)
                 ids = batch.column(0)[lo:hi].to_numpy(zero_copy_only=False)
                 u = (K.mix(ids.astype(np.int64).view(np.uint64) ^ K.stream(seed, 9)[-1]) >> np.uint64(11)).astype(float) / (1 << 53)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(weight), pa.array(weight - np.log(-np.log(np.clip(u, 1e-300, 1 - 1e-16))))], ["doc_id", "log_weight", "key"])

@@ -39,6 +39,12 @@ def edge_documents():
     return rows + [rows[5]]  # a repeated row
 
 
+def thue_morse():
+    """Two words that collide in every polynomial hash modulo 2**64."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    return one, one.translate({97: 98, 98: 97})
+
+
 def shingles(t):
     low = (t or "").translate({c: c + 32 for c in range(65, 91)})
     for c in "\t\n\x0b\x0c\r":
@@ -63,7 +69,7 @@ def brute_components(rows, percent=75):
 
 
 def test_near_duplicates_equal_brute_force(spark):
-    rows = edge_documents()
+    rows = [*((900 + i, t) for i, t in enumerate(thue_morse())), *edge_documents()]
     out = near_dedup.near_duplicates(table(spark, [*rows, (None, "a b")])).collect()
     want = brute_components(rows)
     assert len(out) == len(rows)
@@ -196,13 +202,18 @@ def test_chat_trees(spark):
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
-def test_tokenizer_pieces_equal_whole_texts():
+@pytest.mark.parametrize("collide", [False, True])
+def test_tokenizer_pieces_equal_whole_texts(collide, monkeypatch):
     import public_tokenizers
     import pyarrow as pa
     from tokenizers import Tokenizer
 
     bits = ["a", "B", "é", "É", "'", " ", "  ", "\n", "\t", "'s", "12", "!", "\u00a0", "\u3000", "ß", "中", "<|endoftext|>", "don't", "İ", "Σ", "\x85", "\x1c"]
-    texts = ["".join(RND.choice(bits) for _ in range(RND.randint(0, 30))) for _ in range(3000)] + ["", None]
+    texts = ["".join(RND.choice(bits) for _ in range(RND.randint(0, 30))) for _ in range(3000)] + ["", None, *thue_morse()]
+    if collide:
+        monkeypatch.setattr(tokenkit, "_encoders", {})
+        hashes = textkit.piece_hashes
+        monkeypatch.setattr(textkit, "piece_hashes", lambda *a: hashes(*a) & np.uint64(63))
     for name, by_word in (("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)):
         path = public_tokenizers.path(name)
         whole = Tokenizer.from_file(path).encode_batch([t or "" for t in texts], add_special_tokens=False)
@@ -212,42 +223,109 @@ def test_tokenizer_pieces_equal_whole_texts():
         assert got == [e.ids + [7] for e in whole]
 
 
-def test_token_blocks(spark):
+def test_token_blocks_equal_whole_texts(spark, tmp_path):
     import public_tokenizers
+    import pyarrow.parquet as pq
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    rows = [r for r in edge_documents()[:-1]]
-    out = token_blocks.read_blocks(*token_blocks.write_blocks(table(spark, rows), path, block=500), digest=False).collect()
-    got, at = {r["doc_id"]: r for r in out}, 0
-    assert len(out) == len(rows)
+    rows = [*edge_documents()[:-1], *((900 + i, t) for i, t in enumerate(thue_morse()))]
+    folder = str(tmp_path / "corpus")
+    token_blocks.write_blocks(table(spark, [*rows, (None, "a b")]), path, folder, block=500)
+    got = {r["doc_id"]: r for r in token_blocks.read_blocks(spark, folder, digest=False).collect()}
+    crc = {r["doc_id"]: r["ids_crc32"] for r in token_blocks.read_blocks(spark, folder).collect()}
+    whole, at = Tokenizer.from_file(path), 0
     for i, t in sorted(rows):
-        ids = Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids + [2] if i < 5 else None
-        assert got[i]["start"] == at and (ids is None or np.frombuffer(got[i]["ids"], "<u4").tolist() == ids)
-        at += got[i]["n_tokens"]
-    assert token_blocks.read_blocks(*token_blocks.write_blocks(table(spark, []), path)).count() == 0
+        ids = whole.encode(t or "", add_special_tokens=False).ids + [2]
+        assert got[i]["start"] == at and got[i]["n_tokens"] == len(ids) and np.frombuffer(got[i]["ids"], "<u4").tolist() == ids
+        assert crc[i] == zlib.crc32(np.array(ids, "<u4").tobytes())
+        at += len(ids)
+    assert len(got) == len(rows)
+    # the files are in order, and a part of them can be read
+    starts = [s for f in sorted((tmp_path / "corpus/blocks").glob("part-*.parquet")) for s in pq.read_table(f).column("start").to_pylist()]
+    assert len(starts) > 5 and starts == sorted(starts)
+    some = token_blocks.read_blocks(spark, folder, digest=False, first_doc=6, last_doc=12).collect()
+    assert {r["doc_id"]: r["ids"] for r in some} == {i: got[i]["ids"] for i in got if 6 <= i <= 12}
+    twice = str(tmp_path / "twice")
+    token_blocks.write_blocks(table(spark, [(1, "a"), (1, "b c d"), (1, "a")]), path, twice)
+    assert sorted(r["n_tokens"] for r in token_blocks.read_blocks(spark, twice).collect()) == [2, 2, 4]
+    none = str(tmp_path / "none")
+    token_blocks.write_blocks(table(spark, []), path, none)
+    assert token_blocks.read_blocks(spark, none).count() == 0
+
+
+def test_damaged_blocks_are_found(spark, tmp_path):
+    import public_tokenizers
+
+    token_blocks.write_blocks(table(spark, [(1, "a b c d e f")]), public_tokenizers.path("byte_bpe_50k.json"), f"{tmp_path}/good")
+    spark.read.parquet(f"{tmp_path}/good/blocks").withColumn("checksum", F.col("checksum") + 1).write.parquet(f"{tmp_path}/bad/blocks")
+    spark.read.parquet(f"{tmp_path}/good/frequencies").write.parquet(f"{tmp_path}/bad/frequencies")
+    with pytest.raises(Exception, match="damaged"):
+        token_blocks.read_blocks(spark, f"{tmp_path}/bad").collect()
+
+
+def test_long_texts_are_encoded_in_parts(monkeypatch):
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokenkit, "LONG", 500)
+    bits = ["alpha", "Beta", "été", "don't", "12", "x!", "\n\n", "über", "中文", ""]
+    texts = [" ".join(RND.choice(bits) for _ in range(2000)), "y" * 3000, "é " * 900]
+    for name, by_word in (("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)):
+        path = public_tokenizers.path(name)
+        got = [ids.tolist() for _, _, ids, _ in tokenkit.encoded(pa.array(texts), path, by_word, 7, limit=100)]
+        assert got == [e.ids + [7] for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+        assert len(tokenkit.encoder(path, by_word)._parts(np.frombuffer(texts[0].encode(), np.uint8))) > 5
+
+
+def test_words_of_long_texts(monkeypatch):
+    import pyarrow as pa
+
+    texts = ["".join(RND.choice(["a", "bcdefghijk", "É", "  ", " ", "\t", "\n", "x" * 20]) for _ in range(RND.randint(0, 60))) for _ in range(300)] + ["", None]
+    (_, _, data, offsets), = textkit.chunks(pa.array(texts))
+    whole = textkit.words(data, offsets, 2)
+    sets = textkit.both_sets(data, offsets, 5)
+    assert [[len(s) for s in lane] for lane in sets] == [[len(shingles(t)) for t in texts]] * 2
+    monkeypatch.setattr(textkit, "CHUNK", 40)
+    parts = textkit.words(data, offsets, 2)
+    assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
 
 
 def test_block_checkpoints():
     ids = np.random.default_rng(0).zipf(1.2, 70_000) % 3000
     f, s, y = token_blocks.tables(token_blocks.scaled(np.bincount(ids)))
     block = token_blocks.encode_block(ids, f, s, lanes=16, restart=100)
-    assert (token_blocks.decode_block(block, f, s, y, restart=100) == ids).all()
-    assert all((token_blocks.decode_block(block, f, s, y, k, 100) == ids[k * 1600 : (k + 1) * 1600]).all() for k in range(44))
+    assert (token_blocks.decode_block(block, f, s, y)[1] == ids).all()
+    for low, high in ((0, 1), (1599, 1601), (3200, 3201), (5, 69_000), (69_999, 70_000), (70_000, 70_000)):
+        at, part = token_blocks.decode_block(block, f, s, y, low, high)
+        assert at <= low and (part[low - at : high - at] == ids[low:high]).all()
+    with pytest.raises(ValueError):
+        token_blocks.scaled(np.ones(40), 5)
 
 
 def test_packing(spark):
     import public_tokenizers
+    from tokenizers import Tokenizer
 
-    rows = edge_documents()
+    rows = [*edge_documents(), *((900 + i, t) for i, t in enumerate(thue_morse()))]
     path = public_tokenizers.path("word_bpe_49k.json")
     out = packing.pack(table(spark, [*rows, (None, "a b")]), path, window=256, keep_ids=True).toPandas()
-    assert (out.groupby("sequence_id").length.sum() <= 256).all()
+    # no sequence is over the window or has a gap, and few have room left
+    sums = out.groupby("sequence_id").length.sum()
+    assert (sums <= 256).all() and sums.sum() / 256 / len(sums) > 0.98
     by = out.sort_values(["sequence_id", "offset"])
     assert (by.groupby("sequence_id").length.cumsum() - by.length == by.offset).all()
     assert all(zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in out.itertuples())
-    once = out[out.doc_id.isin([i for i, _ in rows[:-1]]) & (out.doc_id != 5)]
-    assert (once.groupby("doc_id").length.sum() == once.groupby("doc_id").doc_tokens.first()).all()
+    # the pieces of a document, in order, are the tokenizer's ids of the whole text
+    whole = Tokenizer.from_file(path)
+    ids = {i: whole.encode(t or "", add_special_tokens=False).ids + [1] for i, t in [*rows, (None, "a b")]}
+    for i, t in rows:
+        part = out[out.doc_id == i].drop_duplicates("start").sort_values("start")
+        assert (part.start == part.length.cumsum() - part.length).all() and (part.doc_tokens == len(ids[i])).all()
+        assert np.frombuffer(b"".join(part.ids), "<u4").tolist() == ids[i]
+    # rows that repeat a doc_id are documents of their own
+    assert out.length.sum() == sum(len(ids[i]) for i, _ in [*rows, (None, "")])
     assert packing.pack(table(spark, []), path).count() == 0
 
 
@@ -311,6 +389,43 @@ def test_resampling(spark):
     assert resampling.resample(table(spark, []), spark.createDataFrame([(1,)], "doc_id long"), 0.5).count() == 0
 
 
+def test_resampling_equals_brute_force(spark):
+    """Weights from the definition: counts of hashed words and pairs, ratio of two smoothed models, sum over a text."""
+    rows = [(i, text(RND.randint(1, 60))) for i in range(80)] + [(500, None), (501, ""), (502, "one")]
+    aims = set(range(0, 80, 3))
+    buckets, smooth, seed = 512, 0.5, 7
+
+    def cells(t):
+        w = [x for x in (t or "").split(" ") if x]
+        raw = [np.frombuffer(x.encode(), np.uint8) for x in w]
+        h = [int(textkit.piece_hashes(r, np.array([0]), np.array([len(r)]))[0, 0]) for r in raw]
+        pairs = [int(textkit.mix(np.array([(a * int(textkit.BASE) + b) % 2**64], np.uint64))[0]) for a, b in zip(h, h[1:], strict=False)]
+        return [x % buckets for x in h + pairs]
+
+    raw, target = np.zeros(buckets), np.zeros(buckets)
+    for i, t in rows:
+        for c in cells(t):
+            raw[c] += 1
+            target[c] += i in aims
+    prior = raw / raw.sum()
+    p = (target + smooth * prior * buckets / 1024 + smooth) / (target.sum() + smooth * buckets / 1024 + smooth * buckets)
+    q = (raw + smooth) / (raw.sum() + smooth * buckets)
+    ratio = np.where(raw > 0, np.log(p / q), 0.0)
+    want = {i: sum(ratio[c] for c in cells(t)) for i, t in rows}
+    ids = spark.createDataFrame([(i,) for i in aims], "doc_id long")
+    out = {r["doc_id"]: r for r in resampling.resample(table(spark, rows), ids, 0.4, buckets=buckets, seed=seed).collect()}
+    tempered = {r["doc_id"]: r["log_weight"] for r in resampling.resample(table(spark, rows), ids, 0.4, buckets=buckets, seed=seed, temper=10.0).collect()}
+    noise = {}
+    for i, t in rows:
+        assert abs(out[i]["log_weight"] - want[i]) < 1e-9
+        assert abs(tempered[i] - 10 * want[i] / max(1, len(cells(t)))) < 1e-9
+        u = int(textkit.mix(np.array([i], np.uint64) ^ textkit.stream(seed, 9)[-1])[0]) // 2**11 / 2**53
+        noise[i] = want[i] - np.log(-np.log(u))
+        assert abs(out[i]["key"] - noise[i]) < 1e-9
+    best = sorted(noise, key=lambda i: -noise[i])[: int(0.4 * len(rows))]
+    assert {i for i in out if out[i]["kept"]} == set(best)
+
+
 def test_mixing(spark):
     rows = [(i, "x" * (50 + i % 900), "a" if i % 3 else "b", ["en", "fr", None][i % 4 % 3]) for i in range(600)] + [(None, None, None, None)]
     df = table(spark, rows, "doc_id long, text string, source string, lang string")
@@ -395,16 +510,3 @@ def test_chat_null_trees(spark, tmp_path):
         con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
         want = con.sql(chat.ORACLES["op3_chat_format"])
         assert Counter(tuple(r) for r in got.select(*want.columns).collect()) == Counter(want.fetchall())
-
-
-def test_token_blocks_equal_whole_texts(spark):
-    import public_tokenizers
-    from tokenizers import Tokenizer
-
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    rows = edge_documents()[:-1]
-    got = {r["doc_id"]: r for r in token_blocks.read_blocks(*token_blocks.write_blocks(table(spark, rows), path, block=500), digest=False).collect()}
-    whole = Tokenizer.from_file(path)
-    for i, t in rows:
-        ids = whole.encode(t or "", add_special_tokens=False).ids + [2]
-        assert got[i]["n_tokens"] == len(ids) and np.frombuffer(got[i]["ids"], "<u4").tolist() == ids
