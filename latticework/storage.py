@@ -32,12 +32,13 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
+def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None, *, clean: bool = True) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return a reader of it.
 
     A lost executor then costs its running tasks only: what was written stays.
     The folder is removed by ``discard``, or when the driver's interpreter ends. The shuffle files
-    behind ``df`` are of no use any more: a collection on the driver lets Spark's cleaner remove them.
+    behind ``df`` are of no use any more: a collection on the driver lets Spark's cleaner remove them,
+    unless ``clean`` is false (small tables in a loop).
     """
     spark = df.sparkSession
     path = new_folder(spark, label)
@@ -45,7 +46,8 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _places[out] = path
-    spark.sparkContext._jvm.System.gc()
+    if clean:
+        spark.sparkContext._jvm.System.gc()
     return out
 
 
