@@ -1,10 +1,12 @@
 """Language identification with language-bitmask n-gram filters.
 
 Character n-grams of lower-cased letters (everything else is a gap) are counted per language over all
-training documents. A bit-sliced Bloom filter keeps, in each slot, one bit a language; the AND of an
-n-gram's slots is the set of all languages that contain it. A document's n-grams are looked up, each
-language's bits are counted, the count is corrected for the filter's false positives, and the language
-with most wins.
+training documents. A bit-sliced Bloom filter holds every n-gram seen: the AND of an n-gram's slots is
+the set of all languages that contain it, one bit a language. Beside the slice of a language there are
+slices for the n-grams that make up at least ``LEVELS[1]``, ``LEVELS[2]``, ... of its n-grams. A text's
+n-grams are looked up, the bits of each slice are counted, the counts are corrected for the slice's false
+positives, and the language with the largest sum over its slices wins: containment alone would let a
+language win that has a rare n-gram in one stray text, the more of these the larger the corpus is.
 """
 
 from __future__ import annotations
@@ -16,14 +18,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textkit as K
+from .storage import discard, materialize
 
 ORDERS, HASHES, SLOTS_PER_GRAM = (3, 4), 3, 16
-#: a language contains an n-gram that makes up this share of its n-grams or more: at most 1 / MIN_SHARE of them
-MIN_SHARE = 1e-5
-#: ... and whose share is not below this part of the largest share in any language
-PART = 0.5
+#: least share of a language's n-grams for each of its slices; the first slice holds all it contains
+LEVELS = (0.0, 2.0**-19, 2.0**-16, 2.0**-13)
+#: a filter takes this many bytes at most. With more n-grams than fit at ``SLOTS_PER_GRAM`` all of them are still in it, and its false positives rise
+FILTER_BYTES = 1 << 28
+#: code points in work at once; slots that one task gathers
+PART, SEGMENT = 1 << 20, 1 << 16
 _alpha: np.ndarray | None = None
 
 
@@ -34,38 +40,29 @@ def _letters() -> np.ndarray:
     return _alpha
 
 
-def grams(texts: list[str | None], orders: tuple[int, ...] = ORDERS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """n-gram hashes, the document of each, and the number of letters of each document."""
-    gap = "\0" * (max(orders) - 1)
+def grams(texts: list[str | None], orders: tuple[int, ...] = ORDERS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Parts of (n-gram hashes, whether an n-gram has a letter, the text of each); texts follow one another."""
+    gap = max(orders) - 1
     low = [(t or "").lower() for t in texts]
-    points = np.frombuffer((gap + gap.join(t + gap for t in low)).encode("utf-32-le", "surrogatepass"), np.uint32)
-    sizes = np.array([len(t) for t in low], np.int64) + 2 * len(gap)
-    owner = np.concatenate((np.zeros(len(gap), np.int64), np.repeat(np.arange(len(texts)), sizes)))[: len(points)]
-    solid = _letters()[points]
-    code = np.where(solid, points, 0).astype(np.uint64)
-    hashes, docs = [], []
-    for n in orders:
-        h, some = np.full(len(code) - n + 1, n, np.uint64), np.zeros(len(code) - n + 1, bool)
-        for k in range(n):
-            h = h * K.BASE + code[k : k + len(h)]
-            some |= solid[k : k + len(some)]
-        hashes.append(K.mix(h[some]))
-        docs.append(owner[: len(some)][some] if n == 1 else _owners(owner, solid, n)[some])
-    letters = np.bincount(owner[solid], minlength=len(texts))
-    return np.concatenate(hashes), np.concatenate(docs), letters
-
-
-def _owners(owner: np.ndarray, solid: np.ndarray, n: int) -> np.ndarray:
-    """Document of each n-gram: that of its last letter, as gaps keep documents apart."""
-    out = owner[: len(owner) - n + 1].copy()
-    for k in range(n):
-        part = solid[k : k + len(out)]
-        out[part] = owner[k : k + len(out)][part]
-    return out
+    ends = np.cumsum([gap + len(t) for t in low])  # a text's n-grams start in its gap or in itself
+    pad = "\0" * gap
+    points = np.frombuffer("".join([*(pad + t for t in low), pad]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    for at in range(0, int(ends[-1]) if len(ends) else 0, PART):
+        size = min(PART, int(ends[-1]) - at)
+        near = points[at : at + size + gap]
+        solid = _letters()[near]
+        code = np.where(solid, near, 0).astype(np.uint64)
+        owner = np.searchsorted(ends, np.arange(at, at + size), "right") if len(texts) > 1 else np.zeros(size, np.int64)
+        for n in orders:
+            h, some = np.full(size, n, np.uint64), np.zeros(size, bool)
+            for k in range(n):
+                h = h * K.BASE + code[k : k + size]
+                some |= solid[k : k + size]
+            yield K.mix(h), some, owner
 
 
 def _text_chunks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, list[str | None]]]:
-    for lo, hi, _, _ in K.chunks(batch.column(column), 1 << 20):
+    for lo, hi, _, _ in K.chunks(batch.column(column), PART):
         yield lo, hi, batch.column(column)[lo:hi].to_pylist()
 
 
@@ -79,13 +76,13 @@ def _count(orders: tuple[int, ...]):
         found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         for batch in batches:
             for lo, hi, texts in _text_chunks(batch, 1):
-                langs = np.array(batch.column(0)[lo:hi].to_pylist(), object)
-                hashes, docs, _ = grams(texts, orders)
-                for lang in set(langs.tolist()):
+                langs = batch.column(0)[lo:hi].to_pylist()
+                for lang in set(langs):
                     parts = found.setdefault(lang, [])
-                    parts.append(np.unique(hashes[(langs == lang)[docs]], return_counts=True))
-                    if sum(len(k) for k, _ in parts) > 1_000_000:
-                        found[lang] = _merge(parts)
+                    for hashes, some, _ in grams([t for t, x in zip(texts, langs, strict=True) if x == lang], orders):
+                        parts.append(np.unique(hashes[some], return_counts=True))
+                        if sum(len(k) for k, _ in parts) > 1_000_000:
+                            parts[:] = _merge(parts)
         for lang, parts in found.items():
             ((keys, counts),) = _merge(parts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(counts)], ["lang", "gram", "n"])
@@ -93,9 +90,16 @@ def _count(orders: tuple[int, ...]):
     return run
 
 
+def slots_of(hashes: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """The slots of each n-gram; ``size`` is a power of two."""
+    step = (hashes >> np.uint64(32)) | np.uint64(1)
+    for i in range(HASHES):
+        yield ((hashes + step * np.uint64(i)) & np.uint64(size - 1)).astype(np.int64)
+
+
 @dataclass(frozen=True)
 class Filter:
-    """Slots with one bit a language; ``langs`` in order of their bits; ``wrong``: false-positive rate of each."""
+    """Words of slots (words x slots) with ``levels`` bits a language, a language's bits in one word; ``wrong``: false-positive rate of each slice (languages x levels)."""
 
     langs: tuple[str, ...]
     slots: np.ndarray
@@ -103,67 +107,112 @@ class Filter:
     default: str
     orders: tuple[int, ...] = ORDERS
 
+    @property
+    def levels(self) -> int:
+        return self.wrong.shape[1]
+
+    def place(self, lang: int) -> tuple[int, int]:
+        """Word and first bit of a language."""
+        room = self.slots.dtype.itemsize * 8 // self.levels
+        return lang // room, lang % room * self.levels
+
     def masks(self, hashes: np.ndarray) -> np.ndarray:
         out = None
-        for i in range(HASHES):
-            part = self.slots[_slot(hashes, i, len(self.slots))]
+        for at in slots_of(hashes, self.slots.shape[1]):
+            part = self.slots[:, at]
             out = part if out is None else out & part
         return out
 
+    def contains(self, hashes: np.ndarray, lang: int) -> np.ndarray:
+        word, bit = self.place(lang)
+        return (self.masks(hashes)[word] >> self.slots.dtype.type(bit)) & self.slots.dtype.type(1) == 1
+
+    def counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """n-grams with a letter of each text, and bits set for them (languages x levels x texts)."""
+        total = np.zeros(len(texts), np.int64)
+        hits = np.zeros((*self.wrong.shape, len(texts)), np.int64)
+        kind = self.slots.dtype.type
+        for hashes, some, owner in grams(texts, self.orders):
+            heads = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+            who = owner[heads]
+            total[who] += np.add.reduceat(some, heads, dtype=np.int64)
+            masks = self.masks(hashes) * some.astype(kind)
+            for i in range(len(self.langs)):
+                word, bit = self.place(i)
+                for v in range(self.levels):
+                    hits[i, v, who] += np.add.reduceat((masks[word] >> kind(bit + v)) & kind(1), heads, dtype=np.int64)
+        return total, hits
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """The language of each text and the corrected share of its n-grams that the language contains."""
-        hashes, docs, letters = grams(texts, self.orders)
-        n = np.bincount(docs, minlength=len(texts))
+        n, hits = self.counts(texts)
         if not self.langs:
             return ["und"] * len(texts), np.zeros(len(texts))
-        masks = self.masks(hashes)
-        share = np.zeros((len(self.langs), len(texts)))
-        for i in range(len(self.langs)):
-            hits = np.bincount(docs[(masks >> masks.dtype.type(i)) & masks.dtype.type(1) == 1], minlength=len(texts))
-            share[i] = np.maximum(0, hits - n * self.wrong[i]) / np.maximum(1e-9, (1 - self.wrong[i]) * np.maximum(n, 1))
-        best = share.argmax(0)
-        score = np.minimum(1.0, share.max(0))
-        langs = ["und" if not letters[j] else self.langs[best[j]] if score[j] > 0 else self.default for j in range(len(texts))]
-        return langs, np.where(letters > 0, score, 0.0)
+        wrong = np.minimum(self.wrong, 1 - 1e-9)[:, :, None]
+        true = np.maximum(0, hits - n * wrong) / (1 - wrong)
+        best = true.sum(1).argmax(0)
+        share = np.minimum(1.0, true[best, 0, np.arange(len(texts))] / np.maximum(n, 1))
+        return ["und" if not n[j] else self.langs[best[j]] if share[j] > 0 else self.default for j in range(len(texts))], share
+
+
+def _bits(langs: tuple[str, ...], totals: dict[str, int], levels: tuple[float, ...], size: int, room: int):
+    """Of rows (lang, gram, n): the bits that they set, by word and segment of slots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = {x: i for i, x in enumerate(langs)}
+        for batch in batches:
+            lang = np.array([code[x] for x in batch.column(0).to_pylist()], np.int64)
+            share = batch.column(2).to_numpy() / np.array([totals[x] for x in langs], float)[lang]
+            reached = sum((share >= t).astype(np.int64) for t in levels)
+            mask = ((np.uint64(1) << reached.astype(np.uint64)) - np.uint64(1)) << (lang % room * len(levels)).astype(np.uint64)
+            for at in slots_of(batch.column(1).to_numpy().view(np.uint64), size):
+                yield pa.RecordBatch.from_arrays([pa.array(lang // room), pa.array(at // SEGMENT), pa.array(at % SEGMENT), pa.array(mask.view(np.int64))], ["word", "segment", "slot", "mask"])
 
+    return run
 
-def _slot(hashes: np.ndarray, i: int, size: int) -> np.ndarray:
-    return (K.mix(hashes ^ K.stream(HASHES, 8)[i]) & np.uint64(size - 1)).astype(np.int64)
 
+def _gathered(kind: str):
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        out = np.zeros(SEGMENT, np.uint64)
+        np.bitwise_or.at(out, rows.column("slot").to_numpy(), rows.column("mask").to_numpy().view(np.uint64))
+        return pa.table({"word": [key[0].as_py()], "segment": [key[1].as_py()], "bits": pa.array([out.astype(kind).tobytes()], pa.binary())})
+
+    return run
 
-def learn(docs: DataFrame, *, orders: tuple[int, ...] = ORDERS, min_share: float = MIN_SHARE, part: float = PART) -> Filter:
-    """The filter of all documents (lang, text) whose lang and text are not null.
 
-    What reaches the driver is bounded: at most 1 / min_share n-grams of each order a language, for at
-    most 64 languages.
+def learn(docs: DataFrame, *, orders: tuple[int, ...] = ORDERS, levels: tuple[float, ...] = LEVELS, filter_bytes: int = FILTER_BYTES) -> Filter:
+    """The filter of all documents (lang, text) whose lang and text are not null; any number of languages.
+
+    Every n-gram of every document is in it. What reaches the driver is the number of n-grams of each
+    language and the filter itself, gathered in segments in the cluster: ``filter_bytes`` at most.
     """
     counts = docs.filter("lang is not null and text is not null").select("lang", "text").mapInArrow(_count(orders), "lang string, gram long, n long")
-    counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    from .storage import materialize
-
-    counts = materialize(counts, "grams")
-    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    counts = materialize(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    rows = counts.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("different")).collect()
+    totals = {r["lang"]: r["n"] for r in rows}
     langs = tuple(sorted(totals))
-    if len(langs) > 64:
-        raise ValueError("a filter holds 64 languages at most")
     if not langs:
-        return Filter((), np.zeros(1, np.uint8), np.zeros(0), "und", orders)
-    share = F.lit(None).cast("double")
-    for lang in langs:
-        share = F.when(F.col("lang") == lang, F.col("n") / float(totals[lang])).otherwise(share)
-    shares = counts.select("lang", "gram", share.alias("share"))
-    top = shares.groupBy("gram").agg(F.max("share").alias("top"), F.collect_list(F.struct("lang", "share")).alias("all")).filter(F.col("top") >= min_share)
-    chosen = top.select("gram", F.filter("all", lambda x: (x["share"] >= part * F.col("top")) & (x["share"] >= min_share))["lang"].alias("langs")).collect()
-    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if np.dtype(k).itemsize * 8 >= len(langs))
-    size = 1 << max(10, (SLOTS_PER_GRAM * len(chosen)).bit_length())
-    slots = np.zeros(size, kind)
-    bit = {lang: kind(1 << i) for i, lang in enumerate(langs)}
-    keys = np.array([r["gram"] for r in chosen], np.int64).view(np.uint64)
-    mask = np.array([sum(int(bit[x]) for x in r["langs"]) for r in chosen], np.uint64).astype(kind)
-    for i in range(HASHES):
-        np.bitwise_or.at(slots, _slot(keys, i, size), mask)
-    fill = np.array([((slots >> kind(i)) & kind(1)).mean() for i in range(len(langs))])
-    return Filter(langs, slots, fill**HASHES, max(sorted(totals), key=totals.get), orders)
+        discard(counts)
+        return Filter((), np.zeros((1, 1), np.uint8), np.zeros((0, len(levels))), "und", orders)
+    kind = next((k for k in ("<u1", "<u2", "<u4", "<u8") if np.dtype(k).itemsize * 8 >= len(langs) * len(levels)), "<u8")
+    room = np.dtype(kind).itemsize * 8 // len(levels)
+    words = -(-len(langs) // room)
+    wanted = max(SEGMENT, 1 << (SLOTS_PER_GRAM * max(r["different"] for r in rows) * min(2, len(langs))).bit_length())
+    size = min(wanted, 1 << max(1, filter_bytes // (words * np.dtype(kind).itemsize)).bit_length() - 1)
+    size = max(size, SEGMENT)
+    bits = counts.mapInArrow(_bits(langs, totals, levels, size, room), "word long, segment long, slot long, mask long")
+    parts = bits.groupBy("word", "segment").applyInArrow(_gathered(kind), "word long, segment long, bits binary")
+    slots = np.zeros((words, size), kind)
+    for r in parts.collect():
+        slots[r["word"], r["segment"] * SEGMENT : (r["segment"] + 1) * SEGMENT] = np.frombuffer(r["bits"], kind)
+    discard(counts)
+    found = Filter(langs, slots, np.zeros((len(langs), len(levels))), max(sorted(totals), key=totals.get), orders)
+    one = slots.dtype.type(1)
+    for i in range(len(langs)):
+        word, bit = found.place(i)
+        for v in range(len(levels)):
+            found.wrong[i, v] = ((slots[word] >> slots.dtype.type(bit + v)) & one).mean() ** HASHES
+    return found
 
 
 def identify(docs: DataFrame, known: Filter) -> DataFrame:
@@ -171,7 +220,8 @@ def identify(docs: DataFrame, known: Filter) -> DataFrame:
 
     Null text, or text without a letter: ``und`` with score 0. A text none of whose n-grams is known gets
     the most frequent learned language with score 0. Ties go to the smaller language. Columns that are
-    called lang_pred or score already are replaced.
+    called lang_pred or score already are replaced. Rows that repeat come out as often as they came in;
+    an empty table gives an empty result.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(known)
@@ -185,8 +235,6 @@ def identify(docs: DataFrame, known: Filter) -> DataFrame:
                 langs, score = shared.value.predict(texts)
                 yield pa.RecordBatch.from_arrays([*(c[lo:hi] for c in batch.columns), pa.array(langs, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
 
-    from pyspark.sql import types as T
-
     schema = T.StructType([*base.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return base.mapInArrow(run, schema)
 
