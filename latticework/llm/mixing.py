@@ -1,33 +1,42 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame operations only.
 
-Tokens are summed over the cells of all margins (source, language, topic). The cells are raked: margin
-by margin, each value's cells are scaled to the value's target share. A cell can't give more tokens
-than it has: cells that would are kept whole and the others of the value scaled further, so the
-expected sample has ``fraction`` of the tokens and the target shares, as far as the table can meet
-them (``margins_reached`` tells). A document's probability is its cell's sampled over its actual
-tokens, and a hash of its doc_id decides, so the sample is the same however often a task runs.
-
-The SQL of ``op10_mixing`` cuts ``fraction`` times raked over actual tokens at 1 and lets the rest go,
-so that query runs ``bounded=False``; ``op10_mixing_calibrated`` and the pipeline have the bounds.
+Tokens are summed over the cells of all margins (source, language, topic). Every value of a margin has a
+factor, and a cell's raked weight is its tokens times its values' factors: margin by margin, the factors
+are set so that each value's cells have the value's target share. Sums over a value's cells are combined
+before they are shuffled, so a value that a third of all rows have holds up no task, and nothing but a
+few totals reaches the driver.
+
+A document's probability is ``fraction`` times its cell's raked over its actual tokens. The fraction is
+the wanted one or, if that would ask a cell for more tokens than it has, the largest at which no cell is
+asked for more: so the expected sample has the target shares. A hash of its doc_id decides over a
+document, so the sample is the same however often a task runs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import warnings
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import discard, materialize
 
-ROUNDS, EXPONENT, FRACTION, EVERY = 8, 0.5, 0.6, 4
-#: with bounds: rounds at most, and the error of a margin, as a share of the sample, at which they end
-BOUNDED_ROUNDS, TOLERANCE = 24, 1e-6
+EXPONENT, FRACTION = 0.5, 0.6
+#: rounds at most, and the relative change of a factor of the first margins at which they end
+ROUNDS, TOLERANCE = 16, 1e-8
+#: a margin's share may be off its target by this part of the sample
+OFF = 0.01
 MARGINS = ("source", "lang", "topic")
 #: a plain topic where the table has none: short texts, texts of many lines, prose
 TOPIC = "CASE WHEN length(text) < 800 THEN 'short' WHEN 200 * (length(text) - length(replace(text, chr(10), ''))) > length(text) THEN 'lines' ELSE 'prose' END"
-#: an estimate of a text's tokens
+#: an estimate of a text's tokens where the table has none
 TOKENS = "(length(text) + 3) // 4"
 
 
+class InfeasibleTargets(ValueError):
+    """No sample has all the target shares."""
+
+
 def uniform(doc_id: Column) -> Column:
     """A number in [0, 1) from the id alone."""
     return F.conv(F.substring(F.md5(doc_id.cast("string").cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
@@ -35,90 +44,64 @@ def uniform(doc_id: Column) -> Column:
 
 def tempered(cells: DataFrame, margin: str, exponent: float) -> DataFrame:
     """(margin, share): target shares in proportion to the values' tokens to the power ``exponent``."""
-    sums = cells.groupBy(margin).agg(F.pow(F.sum("tokens"), F.lit(exponent)).alias("share"))
-    total = sums.agg(F.sum("share")).head()[0] or 1.0
-    return sums.withColumn("share", F.col("share") / F.lit(float(total)))
+    return cells.groupBy(margin).agg(F.pow(F.sum("tokens"), F.lit(exponent)).alias("share"))
 
 
-def rake(cells: DataFrame, margins: tuple[str, ...], targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
-    """``cells`` (margins, tokens) with weight: raked tokens, in the same total.
-
-    A value without a target share keeps its share of the tokens; shares are scaled to sum to 1 over
-    the values that occur. The cells are as many as combinations occur; none goes to the driver, only
-    two totals do.
-    """
-    total = float(cells.agg(F.sum("tokens")).head()[0] or 0.0)
-    out = cells.withColumn("weight", F.col("tokens").cast("double"))
+def _shares(cells: DataFrame, margins: tuple[str, ...], targets: dict[str, DataFrame], total: float) -> DataFrame:
+    """(margin, value, share): a value without a target keeps its share of the tokens; shares sum to 1 over the values that occur."""
+    out = None
     for m in margins:
-        out = out.join(targets[m].select(m, F.col("share").cast("double").alias(f"share_{m}")), m, "left")
-        own = F.sum("tokens").over(Window.partitionBy(m)) / F.lit(total or 1.0)
-        out = out.withColumn(f"share_{m}", F.coalesce(f"share_{m}", own))
-    for i in range(rounds):
-        for m in margins:
-            sums = F.sum("weight").over(Window.partitionBy(m))
-            out = out.withColumn("weight", F.when(sums > 0, F.col("weight") * F.col(f"share_{m}") * F.lit(total) / sums).otherwise(F.col("weight")))
-        if (i + 1) % EVERY == 0 and i + 1 < rounds:
-            out = materialize(out, "raking")
-    return out.drop(*(f"share_{m}" for m in margins))
+        own = cells.groupBy(F.col(m).alias("value")).agg((F.sum("tokens") / F.lit(total or 1.0)).alias("own"))
+        aims = own.join(targets[m].select(F.col(m).alias("value"), F.col("share").cast("double")), "value", "left")
+        aims = aims.select(F.lit(m).alias("margin"), "value", F.coalesce("share", "own").alias("share"))
+        out = aims if out is None else out.unionByName(aims)
+    out = materialize(out, "shares", clean=False)
+    sums = {r["margin"]: r["s"] for r in out.groupBy("margin").agg(F.sum("share").alias("s")).collect()}  # a row a margin
+    norm = F.lit(1.0)
+    for m, s in sums.items():
+        norm = F.when(F.col("margin") == m, F.lit(float(s) or 1.0)).otherwise(norm)
+    return out.withColumn("share", F.col("share") / norm)
 
 
-def attainable(values: DataFrame, goal: float) -> DataFrame:
-    """``values`` (tokens, share) with aim: tokens in proportion to share, none over tokens, ``goal`` in all.
+def _of(table: DataFrame, margin: str, column: str, name: str) -> DataFrame:
+    return table.filter(F.col("margin") == margin).select(F.col("value").alias(margin), F.col(column).alias(name))
 
-    What a value lacks goes to the others in proportion to their shares. ``goal`` must be no more than
-    the tokens of the values with a share over 0.
-    """
-    known, scale = -1, 0.0
-    while True:
-        full = F.col("tokens") <= F.lit(scale) * F.col("share")
-        n, have, rest = values.agg(F.count_if(full), F.sum(F.when(full, F.col("tokens")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("share")))).head()
-        # each round fills one value more at least, or is the last
-        if n == known or not rest:
-            return values.withColumn("aim", F.least(F.col("tokens"), F.lit(scale) * F.col("share")))
-        known, scale = n, max(scale, (goal - have) / rest)
-
-
-def bounded(cells: DataFrame, margins: tuple[str, ...], targets: dict[str, DataFrame], fraction: float, rounds: int = BOUNDED_ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """``cells`` (margins, tokens) with sampled: ``fraction`` of the tokens in all, tokens at most in a cell.
-
-    Also share_<margin>, the target share as in ``rake``, and aim_<margin>, the tokens to sample of the
-    value: in proportion to the shares, but for values with fewer tokens than that, which are kept
-    whole. Of all samples with these sums it is the closest to the cells (the least relative entropy);
-    where no sample has them all, it ends after ``rounds`` near to them. Values with a target share of
-    0 are left out, even if the sample is smaller then.
+
+def rake(cells: DataFrame, margins: tuple[str, ...], targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """``cells`` (margins, tokens) with weight: raked tokens, in the same total.
+
+    A value without a target share keeps its share of the tokens; shares are scaled to sum to 1 over
+    the values that occur. The cells are as many as combinations occur; none goes to the driver.
     """
     total = float(cells.agg(F.sum("tokens")).head()[0] or 0.0)
-    values, goal = {}, min(fraction, 1.0) * total
-    for m in margins:
-        sums = cells.groupBy(m).agg(F.sum("tokens").cast("double").alias("tokens"))
-        share = F.coalesce(F.col("share").cast("double"), F.col("tokens") / F.lit(total or 1.0))
-        sums = sums.join(targets[m].select(m, "share"), m, "left").withColumn("share", share)
-        scale = float(sums.agg(F.sum("share")).head()[0] or 1.0)
-        values[m] = materialize(sums.withColumn("share", F.col("share") / F.lit(scale)), "values")
-        goal = min(goal, float(values[m].filter("share > 0").agg(F.sum("tokens")).head()[0] or 0.0))
-    out = cells.withColumn("weight", F.col("tokens").cast("double"))
-    for m in margins:
-        aims = attainable(values[m], goal)
-        out = out.join(aims.select(m, F.col("share").alias(f"share_{m}"), F.col("aim").alias(f"aim_{m}")), m)
-    have = F.col("tokens").cast("double")
-    sampled = F.least(have, F.col("weight"))
-    for i in range(rounds):
+    shares = materialize(_shares(cells, margins, targets, total), "shares", clean=False)
+    factors = shares.select("margin", "value", F.lit(1.0).alias("factor"), F.lit(0.0).alias("before"))
+    for _ in range(rounds):
+        now = {m: _of(factors, m, "factor", f"f_{m}") for m in margins}
+        out = None
         for m in margins:
-            # a Newton step to the factor f with sum(least(tokens, f * weight)) = aim: one window, so the plan stays small
-            whole, aim, full = Window.partitionBy(m), F.col(f"aim_{m}"), F.col("weight") >= have
-            left = aim - F.sum(F.when(full, have).otherwise(0.0)).over(whole)
-            rest = F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).over(whole)
-            out = out.withColumn("left", left).withColumn("rest", rest)
-            now = aim - F.col("left") + F.col("rest")
-            scaled = F.when((F.col("rest") > 0) & (F.col("left") > 0), F.col("weight") * F.col("left") / F.col("rest"))
-            out = out.withColumn("weight", scaled.when(now > 0, sampled * aim / now).otherwise(F.col("weight"))).drop("left", "rest")
-        if (i + 1) % EVERY == 0 or i + 1 == rounds:
-            out = materialize(out, "raking")
-            off = [out.groupBy(m).agg(F.abs(F.sum(sampled) - F.first(f"aim_{m}")).alias("off")).agg(F.max("off")).head()[0] or 0.0 for m in margins]
-            if max(off, default=0.0) <= tolerance * goal:
-                break
-    # within the tolerance of its tokens a cell is kept whole
-    return out.withColumn("sampled", F.when(F.col("weight") >= have * (1 - tolerance), have).otherwise(F.col("weight"))).drop("weight")
+            weight = F.col("tokens").cast("double")
+            joined = cells
+            for other in margins:
+                if other != m:
+                    joined, weight = joined.join(now[other], other), weight * F.col(f"f_{other}")
+            sums = joined.groupBy(m).agg(F.sum(weight).alias("_sum"))
+            sums = sums.join(_of(shares, m, "share", "share"), m).join(_of(factors, m, "factor", "before"), m)
+            new = F.when(F.col("_sum") > 0, F.col("share") * F.lit(total) / F.col("_sum")).otherwise(F.lit(1.0))
+            table = sums.select(F.lit(m).alias("margin"), F.col(m).alias("value"), new.alias("factor"), "before")
+            now[m] = table.select(F.col("value").alias(m), F.col("factor").alias(f"f_{m}"))
+            out = table if out is None else out.unionByName(table)
+        last, factors = factors, materialize(out, "factors", clean=False)
+        discard(last)
+        change = factors.filter(F.col("margin") != margins[-1]).agg(F.max(F.abs(F.col("factor") / F.nullif(F.col("before"), F.lit(0.0)) - 1))).head()[0]
+        if change is None or change <= tolerance:
+            break
+    raked = cells.withColumn("weight", F.col("tokens").cast("double"))
+    for m in margins:
+        raked = raked.join(_of(factors, m, "factor", f"f_{m}"), m).withColumn("weight", F.col("weight") * F.col(f"f_{m}")).drop(f"f_{m}")
+    raked = materialize(raked, "raked", clean=False)
+    discard(factors)
+    return raked
 
 
 def _cells(docs: DataFrame, margins: dict[str, Column], tokens: Column, exponent: float, targets: dict[str, DataFrame] | None) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
@@ -127,78 +110,76 @@ def _cells(docs: DataFrame, margins: dict[str, Column], tokens: Column, exponent
         marked = marked.withColumn(f"mix_{m}", F.coalesce(value.cast("string"), F.lit("(none)")))
     marked = marked.withColumn("mix_tokens", F.coalesce(tokens.cast("long"), F.lit(0).cast("long")))
     keys = [f"mix_{m}" for m in margins]
-    cells = materialize(marked.groupBy(*keys).agg(F.sum("mix_tokens").alias("tokens")), "cells")
+    cells = materialize(marked.groupBy(*keys).agg(F.sum("mix_tokens").alias("tokens")), "cells", clean=False)
     aims = {f"mix_{m}": targets[m].withColumnRenamed(m, f"mix_{m}") if targets and m in targets else tempered(cells, f"mix_{m}", exponent) for m in margins}
     return marked, cells, aims
 
 
-def calibrated(docs: DataFrame, *, margins: dict[str, Column], tokens: Column, fraction: float = FRACTION, exponent: float = EXPONENT, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, within: bool = True) -> DataFrame:
+def _sampled(cells: DataFrame, keys: tuple[str, ...], aims: dict[str, DataFrame], fraction: float, least: float) -> tuple[DataFrame, DataFrame]:
+    """Cells with mix_probability; and (margin, value, tokens, target, reached) of every value."""
+    raked = rake(cells, keys, aims)
+    top = raked.filter("tokens > 0").agg(F.max(F.col("weight") / F.col("tokens"))).head()[0]
+    part = min(fraction, max(least, 1.0 / top)) if top else fraction
+    chance = F.least(F.lit(1.0), F.when(F.col("tokens") > 0, F.lit(part) * F.col("weight") / F.col("tokens")).otherwise(F.lit(part)))
+    # a table on disk: its known size lets the optimiser broadcast it while it is small, and join by sorting beyond
+    out = materialize(raked.select(*keys, "tokens", chance.alias("mix_probability")), "sampled", clean=False)
+    total = float(cells.agg(F.sum("tokens")).head()[0] or 0.0)
+    expected = out.agg(F.sum(F.col("tokens") * F.col("mix_probability"))).head()[0] or 1.0
+    shares, told = _shares(cells, keys, aims, total), None
+    for m in keys:
+        sums = out.groupBy(F.col(m).alias("value")).agg(F.sum("tokens").alias("tokens"), (F.sum(F.col("tokens") * F.col("mix_probability")) / F.lit(expected)).alias("reached"))
+        sums = sums.join(shares.filter(F.col("margin") == m), "value").select("margin", "value", "tokens", F.col("share").alias("target"), "reached")
+        told = sums if told is None else told.unionByName(sums)
+    return out, told
+
+
+def calibrated(docs: DataFrame, *, margins: dict[str, Column], tokens: Column, fraction: float = FRACTION, least: float = 0.0, exponent: float = EXPONENT, targets: dict[str, DataFrame] | None = None, strict: bool = True) -> DataFrame:
     """``docs`` with the columns mix_<margin>, mix_tokens, mix_probability and mix_kept.
 
-    Null values of a margin are the value ``(none)``; null tokens count 0, and a cell without tokens has
-    probability ``fraction``. A null doc_id is kept if the probability is 1 only. Repeated rows fare
-    alike. An empty table gives an empty result. ``targets``: (margin, share) tables; by default shares
-    tempered with ``exponent``. Columns of the names above are replaced, all others stay.
+    The sample has ``fraction`` of the tokens, or as many as leave every probability at 1 or less; not
+    under ``least``, at which probabilities are cut at 1 and targets missed. If a margin's expected share
+    misses its target by more than ``OFF`` of the sample (values that exclude each other, or ``least``),
+    that is an error, or with ``strict`` false a warning; ``margins_reached`` has all shares.
 
-    ``within``: sample as in ``bounded``; otherwise rake for ``rounds`` and cut probabilities at 1, by
-    which the sample gets smaller than ``fraction`` and misses the targets wherever a cell is cut.
+    Null values of a margin are the value ``(none)``; null tokens count 0, and a cell without tokens has
+    the sample's fraction as its probability. A null doc_id is kept if the probability is 1 only. Repeated
+    rows fare alike. An empty table gives an empty result. ``targets``: (margin, share) tables; by default
+    shares tempered with ``exponent``. Columns of the names above are replaced, all others stay.
     """
     marked, cells, aims = _cells(docs, margins, tokens, exponent, targets)
-    keys = [f"mix_{m}" for m in margins]
-    if within:
-        raked = bounded(cells, tuple(keys), aims, fraction)
-        part = F.col("sampled") / F.col("tokens")
-    else:
-        raked = rake(cells, tuple(keys), aims, rounds)
-        part = fraction * F.col("weight") / F.col("tokens")
-    chance = F.least(F.lit(1.0), F.when(F.col("tokens") > 0, part).otherwise(F.lit(fraction)))
-    # a table on disk: its known size lets the optimiser broadcast it while it is small, and join by sorting beyond
-    raked = materialize(raked.select(*keys, chance.alias("mix_probability")), "raked")
-    out = marked.drop("mix_probability", "mix_kept").join(raked, keys)
+    keys = tuple(f"mix_{m}" for m in margins)
+    raked, told = _sampled(cells, keys, aims, fraction, least)
+    off = told.agg(F.max(F.abs(F.col("reached") - F.col("target")))).head()[0]
+    if off is not None and off > OFF:
+        if strict:
+            raise InfeasibleTargets(f"a margin's share misses its target by {off:.4f}")
+        warnings.warn(f"a margin's share misses its target by {off:.4f}", stacklevel=2)
+    out = marked.drop("mix_probability", "mix_kept").join(raked.drop("tokens"), list(keys))
     return out.withColumn("mix_kept", F.coalesce(uniform(F.col("doc_id")) < F.col("mix_probability"), F.col("mix_probability") >= 1))
 
 
-def margins_reached(docs: DataFrame, *, margins: dict[str, Column], tokens: Column, fraction: float = FRACTION, exponent: float = EXPONENT, targets: dict[str, DataFrame] | None = None) -> DataFrame:
-    """What ``calibrated`` makes of each value: margin, value, tokens, target, aim, reached, feasible.
-
-    ``target`` and ``aim`` are shares of the sample, ``aim`` as near to the target as the value's and the
-    margin's tokens allow; ``reached`` is the expected share. ``feasible``: reached is the target to 1e-4.
-    """
+def margins_reached(docs: DataFrame, *, margins: dict[str, Column], tokens: Column, fraction: float = FRACTION, least: float = 0.0, exponent: float = EXPONENT, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+    """What ``calibrated`` makes of each value: margin, value, tokens, target and expected share of the sample, feasible (to ``OFF``)."""
     _, cells, aims = _cells(docs, margins, tokens, exponent, targets)
-    keys = [f"mix_{m}" for m in margins]
-    raked = bounded(cells, tuple(keys), aims, fraction)
-    total = float(raked.agg(F.sum("sampled")).head()[0] or 0.0) or 1.0
-    out = None
-    for m, key in zip(margins, keys, strict=True):
-        part = raked.groupBy(F.col(key).alias("value")).agg(F.sum("tokens").alias("tokens"), F.first(f"share_{key}").alias("target"), (F.first(f"aim_{key}") / F.lit(total)).alias("aim"), (F.sum("sampled") / F.lit(total)).alias("reached"))
-        part = part.select(F.lit(m).alias("margin"), "*", (F.abs(F.col("reached") - F.col("target")) <= 1e-4).alias("feasible"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def document_margins() -> dict:
-    """The columns source and lang, a topic taken from the text, and the estimate of tokens."""
-    return {"margins": {"source": F.col("source"), "lang": F.col("lang"), "topic": F.expr(TOPIC)}, "tokens": F.expr(TOKENS.replace("//", "div"))}
+    _, told = _sampled(cells, tuple(f"mix_{m}" for m in margins), aims, fraction, least)
+    return told.withColumn("margin", F.expr("substring(margin, 5)")).withColumn("feasible", F.abs(F.col("reached") - F.col("target")) <= OFF)
 
 
-def mixed_documents(docs: DataFrame, fraction: float = FRACTION, within: bool = True) -> DataFrame:
-    """``calibrated`` over ``document_margins``."""
-    return calibrated(docs, **document_margins(), fraction=fraction, within=within)
-
-
-def _shown(out: DataFrame) -> DataFrame:
-    return out.select("doc_id", F.col("mix_source").alias("source"), F.col("mix_lang").alias("lang"), F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("tokens"), F.round("mix_probability", 6).alias("probability"), F.col("mix_kept").alias("kept"))
+def document_margins(docs: DataFrame) -> dict:
+    """The columns source and lang, the columns topic and n_tokens or, without them, a topic taken from the text and an estimate."""
+    topic = F.col("topic") if "topic" in docs.columns else F.expr(TOPIC)
+    tokens = F.col("n_tokens") if "n_tokens" in docs.columns else F.expr(TOKENS.replace("//", "div"))
+    return {"margins": {"source": F.col("source"), "lang": F.col("lang"), "topic": topic}, "tokens": tokens}
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
-    return _shown(mixed_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), within=False))
-
-
-def op10_mixing_calibrated(spark, sf_dir: str) -> DataFrame:
-    return _shown(mixed_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    out = calibrated(docs, **document_margins(docs), strict=False)
+    return out.select("doc_id", F.col("mix_source").alias("source"), F.col("mix_lang").alias("lang"), F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("tokens"), F.round("mix_probability", 6).alias("probability"), F.col("mix_kept").alias("kept"))
 
 
 def _oracle() -> str:
+    """The same raking, cell by cell, for all rounds."""
     parts = [
         f"""d AS (SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang, coalesce({TOPIC}, '(none)') AS topic, coalesce({TOKENS}, 0) AS tokens FROM documents)""",
         "cells AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM d GROUP BY ALL)",
@@ -210,12 +191,13 @@ def _oracle() -> str:
         for m in MARGINS:
             parts.append(f"w{n + 1} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN sum(weight) OVER (PARTITION BY {m}) > 0 THEN weight * s_{m} * total / sum(weight) OVER (PARTITION BY {m}) ELSE weight END AS weight) FROM w{n})")
             n += 1
-    parts.append(f"p AS (SELECT source, lang, topic, least(1.0, CASE WHEN tokens > 0 THEN {FRACTION}::DOUBLE * weight / tokens ELSE {FRACTION} END) AS p FROM w{n})")
+    parts.append(f"f AS (SELECT coalesce(least({FRACTION}::DOUBLE, 1 / max(weight / tokens) FILTER (tokens > 0)), {FRACTION}) AS fraction FROM w{n})")
+    parts.append(f"p AS (SELECT source, lang, topic, least(1.0, CASE WHEN tokens > 0 THEN fraction * weight / tokens ELSE fraction END) AS p FROM w{n}, f)")
     return "WITH " + ",\n".join(parts) + """
 SELECT doc_id, source, lang, topic, tokens::BIGINT AS tokens, round(p, 6) AS probability,
   (('0x' || substr(md5(doc_id::VARCHAR), 1, 13))::BIGINT::DOUBLE / 4503599627370496) < p AS kept
 FROM d JOIN p USING (source, lang, topic)"""
 
 
-QUERIES = {"op10_mixing": op10_mixing, "op10_mixing_calibrated": op10_mixing_calibrated}
+QUERIES = {"op10_mixing": op10_mixing}
 ORACLES = {"op10_mixing": _oracle()}
