@@ -11,6 +11,7 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +21,12 @@ K_NEAREST, SHARD, SEGMENTS, EVERY = 10, 65_536, 4, 100
 
 
 def sign_codes(rows: DataFrame, column: str = "embedding") -> DataFrame:
-    """(vec_id, code): bit i of the code is set where component i of a vector of up to 64 is positive."""
+    """(vec_id, code): bit i of the code is set where component i of a vector is positive.
+
+    A vector of more than 64 components is an error: its code would not fit.
+    """
+    wide = F.raise_error(F.lit("a code holds 64 components"))
+    rows = rows.withColumn(column, F.when(F.size(column) > 64, wide.cast(rows.schema[column].dataType)).otherwise(F.col(column)))
     bit = F.transform(column, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
     code = F.aggregate(bit, F.lit(0).cast("long"), lambda s, e: s.bitwiseOR(F.when(e["x"] > 0, F.call_function("shiftleft", F.lit(1).cast("long"), e["i"])).otherwise(F.lit(0).cast("long"))))
     return rows.select("vec_id", code.alias("code"))
@@ -54,15 +60,14 @@ def distance(a: np.ndarray, b: np.uint64) -> np.ndarray:
 
 
 def _solve(k: int):
-    def solve(points: list[dict], queries: list[dict]):
-        if not points:
+    def solve(points: pa.Table, queries: pa.Table):
+        if not points.num_rows or not queries.num_rows:
             return [], [], []
-        ids = [p["ids"] for p in points]
-        index = MultiIndex(np.array([p["code"] for p in points], np.int64).view(np.uint64))
+        ids = points.column("ids").to_pylist()
+        index = MultiIndex(points.column("code").to_numpy().view(np.uint64))
         masks = [index.masks(r) for r in range(index.width + 1)]
         out_q, out_v, out_s = [], [], []
-        for row in queries:
-            query, own = np.array([row["code"]], np.int64).view(np.uint64)[0], row["query"]
+        for query, own in zip(queries.column("code").to_numpy().view(np.uint64), queries.column("query").to_pylist(), strict=True):
             seen = np.zeros(len(ids), bool)
             found: list[tuple[int, int]] = []
             for r in range(index.width + 1):
