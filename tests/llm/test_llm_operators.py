@@ -168,19 +168,68 @@ def test_language_edges(spark):
     known = language.learn(docs)
     out = language.identify(table(spark, [(1, None), (2, ""), (3, "12 !?"), (4, "abd ABC"), (5, "qru"), (6, "ωωω")]), known)
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in out.collect()}
-    assert got[1] == got[2] == got[3] == ("und", 0.0) and got[4][0] == "xx" and got[5][0] == "yy" and got[6][0] == "xx"
+    assert got[1] == got[2] == got[3] == ("und", 0.0) and got[4][0] == "xx" and got[5][0] == "yy" and got[6] == ("xx", 0.0)
+    # a tie goes to the smaller language, and repeated rows stay
+    both = language.learn(spark.createDataFrame([("zz", "abc"), ("aa", "abc")], "lang string, text string"))
+    assert [r["lang_pred"] for r in language.identify(table(spark, [(1, "abc"), (1, "abc")]), both).collect()] == ["aa", "aa"]
     empty = language.learn(docs.limit(0))
     assert [r["lang_pred"] for r in language.identify(table(spark, [(1, "abc")]), empty).collect()] == ["und"]
     assert language.identify(table(spark, []), known).count() == 0
 
 
-def test_filter_holds_every_gram():
-    keys = textkit.stream(3000, 30)
-    slots = np.zeros(1 << 15, np.uint8)
-    for i in range(language.HASHES):
-        np.bitwise_or.at(slots, language._slot(keys, i, len(slots)), np.uint8(2))
-    known = language.Filter(("a", "b"), slots, np.zeros(2), "a")
-    assert (known.masks(keys) == 2).all() and (known.masks(textkit.stream(3000, 31)) == 2).mean() < 0.05
+def brute_grams(t, orders=language.ORDERS):
+    """All n-grams with a letter of a text between gaps."""
+    gap = max(orders) - 1
+    points = [0] * gap + [ord(c) if c.isalpha() else 0 for c in (t or "").lower()] + [0] * gap
+    return [tuple(points[i : i + n]) for n in orders for i in range(len(points) - gap) if any(points[i : i + n])]
+
+
+@pytest.mark.parametrize("part", [1 << 20, 50])
+def test_languages_equal_brute_force(spark, part, monkeypatch):
+    """Containment, levels, popcounts and their correction from the definition, with more languages than a word holds."""
+    monkeypatch.setattr(language, "PART", part)
+    levels = (0.0, 0.002, 0.01, 0.05)
+    langs = [f"l{i:02d}" for i in range(20)]
+    stock = {x: [text(1)[:6] + "abcdefghijklmnopqrst"[i] * 2 for _ in range(12)] for i, x in enumerate(langs)}
+    rows = [(x, " ".join(RND.choice(stock[x]) for _ in range(30))) for x in langs for _ in range(3)]
+    rows += [("l03", "ßß " + stock["l04"][0]), (None, "zzz"), ("l05", None), ("l05", "")]
+    known = language.learn(spark.createDataFrame(rows, "lang string, text string"), levels=levels)
+    assert known.langs == tuple(langs) and known.slots.shape[0] > 1
+    seen = {x: Counter() for x in langs}
+    for x, t in rows:
+        if x and t:
+            seen[x].update(brute_grams(t))
+    asked = [t for _, t in rows] + ["zzz qqq", "12 !", None, stock["l07"][0]]
+    n, hits = known.counts(asked)
+    lang, score = known.predict(asked)
+    for j, t in enumerate(asked):
+        own = brute_grams(t)
+        assert n[j] == len(own)
+        sums = []
+        for i, x in enumerate(langs):
+            total = sum(seen[x].values())
+            for v, least in enumerate(levels):
+                true = sum(g in seen[x] and seen[x][g] / total >= least for g in own)
+                assert true <= hits[i, v, j] <= true + max(3, 0.1 * len(own))  # false positives only add
+            sums.append(sum(max(0, hits[i, v, j] - n[j] * known.wrong[i, v]) / (1 - known.wrong[i, v]) for v in range(4)))
+        best = int(np.argmax(sums))
+        if own:
+            share = min(1, max(0, hits[best, 0, j] - n[j] * known.wrong[best, 0]) / (1 - known.wrong[best, 0]) / n[j])
+            assert abs(score[j] - share) < 1e-9 and lang[j] == (langs[best] if share > 0 else known.default)
+        else:
+            assert (lang[j], score[j]) == ("und", 0)
+    assert [x for x, (y, t) in zip(lang, rows, strict=False) if y and t and len(t) > 50] == [y for y, t in rows if y and t and len(t) > 50]
+
+
+def test_filter_holds_every_gram(spark):
+    docs = [("a", text(300)), ("b", text(300))]
+    for room in (language.FILTER_BYTES, 1):  # a filter of the least size still holds all
+        known = language.learn(spark.createDataFrame(docs, "lang string, text string"), filter_bytes=room)
+        for i, (_, t) in enumerate(docs):
+            for hashes, some, _ in language.grams([t]):
+                assert known.contains(hashes[some], i).all()
+    other = textkit.stream(3000, 31)
+    assert known.contains(other, 0).mean() < 0.05 and abs(known.contains(other, 0).mean() - known.wrong[0, 0]) < 0.02
 
 
 def test_chat_round_trip():
@@ -368,9 +417,51 @@ def test_searches(spark):
         order = [i for i in np.lexsort((np.arange(400), far)) if i != q][:5]
         assert part.sort_values("rank").vec_id.tolist() == order
     assert graph_search.nearest(df.limit(0), "vec_id % 20 = 0").count() == 0
+    # k is more than there are, a block a query, and vectors of another length
+    few = graph_search.nearest(df.filter("vec_id < 8"), "vec_id < 3", k=20, shard=3).toPandas()
+    assert Counter(few.query_id) == {0: 7, 1: 7, 2: 7} and all(q not in set(part.vec_id) for q, part in few.groupby("query_id"))
+    with pytest.raises(Exception, match="different lengths"):
+        graph_search.nearest(df.unionByName(spark.createDataFrame([(7000, [1.0], 1, "x")], df.schema)), "vec_id = 0").collect()
+    with pytest.raises(Exception, match="64 components"):
+        hamming_search.sign_codes(spark.createDataFrame([(1, [1.0] * 65)], "vec_id long, embedding array<float>")).collect()
     assert hamming_search.top_k(spark.createDataFrame([], "vec_id long, code long"), "true").count() == 0
 
 
+@pytest.mark.parametrize("folder", ["sf0.1", "check_s"])
+def test_graph_search_recall(spark, folder):
+    """The registered query against brute force over its whole table."""
+    path = f"/root/testdata/{folder}"
+    if not Path(path).exists():
+        pytest.skip("no tables here")
+    rows = spark.read.parquet(f"{path}/embeddings.parquet").select("vec_id", "embedding").toPandas()
+    x, ids = np.stack(rows.embedding).astype(float), rows.vec_id.to_numpy()
+    out = graph_search.op9_graph_search(spark, path).toPandas()
+    assert (out.groupby("query_id").size() == 20).all() and set(out.query_id) == {i for i in ids if i % 20 == 0}
+    hits = 0
+    for q, part in out.groupby("query_id"):
+        part = part.sort_values("rank")
+        score = x @ x[ids == q][0]
+        assert np.allclose(part.score, [score[ids == v][0] for v in part.vec_id])
+        assert part["rank"].tolist() == list(range(1, 21)) and [(-s, v) for s, v in zip(part.score, part.vec_id, strict=True)] == sorted((-s, v) for s, v in zip(part.score, part.vec_id, strict=True))
+        score[ids == q] = -np.inf
+        hits += len(set(ids[np.lexsort((ids, -score))[:20]]) & set(part.vec_id))
+    assert hits / len(out) >= 0.95
+
+
+def test_build_prunes_and_connects():
+    x = np.random.default_rng(3).normal(size=(1500, 8)).astype(np.float32)
+    graph, start = graph_search.build(x, degree=12, beam=24)
+    assert ((graph >= 0).sum(1) <= 18).all() and (graph < 1500).all() and not (graph == np.arange(1500)[:, None]).any()
+    reached, front = {start}, [start]
+    while front:
+        front = list({int(j) for i in front for j in graph[i] if j >= 0} - reached)
+        reached.update(front)
+    assert len(reached) > 1490
+    # a kept neighbour hides those that it is closer to by alpha
+    line = np.array([[0.0], [1.0], [1.1], [-1.0]], np.float32)
+    assert graph_search.robust_prune(line, np.array([0]), np.array([[1, 2, 3, -1]]), 3, 1.2)[0].tolist() in ([1, 3, -1], [3, 1, -1])
+
+
 def test_resampling(spark):
     good, bad = [(i, text(40)) for i in range(60)], [(100 + i, "spam !!! spam @@@ buy " * 8) for i in range(20)]
     rows = [*good, *bad, (500, None), (501, "")]
@@ -432,40 +523,51 @@ def test_mixing(spark):
     cells = spark.createDataFrame([("a", "p", 30), ("a", "q", 10), ("b", "p", 5), ("b", "q", 55)], "s string, l string, tokens long")
     aims = {"s": spark.createDataFrame([("a", 0.5), ("b", 0.5)], "s string, share double"), "l": spark.createDataFrame([("p", 0.3), ("q", 0.7)], "l string, share double")}
     raked = mixing.rake(cells, ("s", "l"), aims, 40).toPandas()
-    assert np.allclose(raked.groupby("s").weight.sum(), [50, 50], atol=1e-6) and np.allclose(raked.groupby("l").weight.sum(), [30, 70])
-    out = mixing.mixed_documents(df).collect()
-    assert len(out) == 601 and all(0 <= r["mix_probability"] <= 1 for r in out)
+    assert np.allclose(raked.groupby("s").weight.sum(), [50, 50], atol=1e-4) and np.allclose(raked.groupby("l").weight.sum(), [30, 70])
+    how = mixing.document_margins(df)
+    out = mixing.calibrated(df, **how, strict=False).collect()
+    assert len(out) == 601 and all(0 <= r["mix_probability"] <= 1 for r in out) and set(out[0].asDict()) >= {"n", "rank", "length"}
     assert all(r["mix_kept"] for r in out if r["mix_probability"] >= 1)
-    assert mixing.mixed_documents(df.limit(0)).count() == 0
+    assert mixing.calibrated(df.limit(0), **how).count() == 0
 
 
-def test_mixing_meets_targets_within_cells(spark):
+def test_mixing_meets_targets(spark):
+    """By rows and columns that a plain fitting in numpy gives, the sample has the targets at the largest fraction."""
     rng = np.random.default_rng(5)
     rows = [(f"s{i % 5}", lang, topic, int(1000 * big * rng.uniform(0.1, 2))) for i in range(5) for lang, big in (("en", 9), ("fr", 3), ("de", 2)) for topic in ("p", "q")]
-    docs = spark.createDataFrame([(k, *r[:3], r[3] // 10 + (j < r[3] % 10)) for k, (j, r) in enumerate((j, r) for r in rows for j in range(10))], "doc_id long, source string, lang string, topic string, w long")
-    how = {"margins": {m: F.col(m) for m in ("source", "lang", "topic")}, "tokens": F.col("w")}
+    docs = spark.createDataFrame([(k, *r[:3], r[3] // 10 + (j < r[3] % 10)) for k, (j, r) in enumerate((j, r) for r in rows for j in range(10))], "doc_id long, source string, lang string, topic string, n_tokens long")
+    how = mixing.document_margins(docs)
     got = mixing.calibrated(docs, **how, fraction=0.5).toPandas()
-    total, kept = got.w.sum(), (got.w * got.mix_probability)
-    assert (got.mix_probability == 1).any() and abs(kept.sum() / total - 0.5) < 1e-6
-    for m in ("source", "lang", "topic"):
-        sums = got.groupby(m).w.sum()
-        aim = np.sqrt(sums) / np.sqrt(sums).sum()
-        assert np.allclose(kept.groupby(got[m]).sum() / kept.sum(), aim, atol=1e-5)
-    # more than de has: it is kept whole, the other shares keep their proportion, and the report tells
-    sums = got.groupby("lang").w.sum()
-    aims = {"lang": spark.createDataFrame([("de", 0.5), ("fr", 0.2), ("en", 0.3)], "lang string, share double")}
-    got = mixing.calibrated(docs, **how, fraction=0.6, targets=aims).toPandas()
-    kept = (got.w * got.mix_probability).groupby(got.lang).sum()
-    assert abs(kept.sum() / total - 0.6) < 1e-6 and (got[got.lang == "de"].mix_probability == 1).all()
-    rest = 0.6 * total - sums["de"]
-    want = {"de": sums["de"], "fr": min(rest * 0.4, sums["fr"])}
-    assert np.allclose([kept["de"], kept["fr"], kept["en"]], [want["de"], want["fr"], 0.6 * total - sum(want.values())], rtol=1e-4)
-    told = {(r["margin"], r["value"]): r for r in mixing.margins_reached(docs, **how, fraction=0.6, targets=aims).collect()}
-    assert len(told) == 10 and not told["lang", "de"]["feasible"] and abs(told["lang", "de"]["reached"] - sums["de"] / (0.6 * total)) < 1e-6
-    assert all(told["source", f"s{i}"]["feasible"] for i in range(5))
-    none = {"lang": spark.createDataFrame([("de", 0.0), ("fr", 0.5), ("en", 0.5)], "lang string, share double")}
-    got = mixing.calibrated(docs, **how, fraction=0.6, targets=none).toPandas()
-    assert (got[got.lang == "de"].mix_probability == 0).all() and got.mix_probability.max() <= 1
+    t = np.array([r[3] for r in rows], float).reshape(5, 3, 2)
+    w, total = t.copy(), t.sum()
+    aims = [np.sqrt(t.sum(x)) / np.sqrt(t.sum(x)).sum() for x in ((1, 2), (0, 2), (0, 1))]
+    for _ in range(200):
+        for axis, aim in enumerate(aims):
+            w *= np.expand_dims(aim * total / w.sum(tuple({0, 1, 2} - {axis})), tuple({0, 1, 2} - {axis}))
+    part = min(0.5, (t / w).min())
+    want = {(r[0], r[1], r[2]): p for r, p in zip(rows, (part * w / t).reshape(-1), strict=True)}
+    assert np.allclose(got.mix_probability, [want[x] for x in zip(got.source, got.lang, got.topic, strict=True)], atol=1e-6)
+    kept = got.n_tokens * got.mix_probability
+    assert got.mix_probability.max() <= 1 and abs(kept.sum() / total - part) < 1e-6
+    for m, aim in zip(("source", "lang", "topic"), aims, strict=True):
+        names = sorted({r[("source", "lang", "topic").index(m)] for r in rows}) if m != "lang" else ["en", "fr", "de"]
+        assert np.allclose((kept.groupby(got[m]).sum() / kept.sum())[names], aim, atol=1e-6)
+    told = mixing.margins_reached(docs, **how, fraction=0.5).toPandas()
+    assert len(told) == 10 and told.feasible.all() and np.allclose(told.reached, told.target, atol=1e-6)
+    # an own target lowers the fraction; below ``least`` the value is kept whole and the miss is an error or told
+    aims = {"lang": spark.createDataFrame([("de", 0.8), ("fr", 0.1), ("en", 0.1)], "lang string, share double")}
+    got = mixing.calibrated(docs, **how, targets=aims).toPandas()
+    kept = (got.n_tokens * got.mix_probability).groupby(got.lang).sum()
+    assert np.allclose((kept / kept.sum())[["de", "fr", "en"]], [0.8, 0.1, 0.1], atol=1e-6)
+    with pytest.raises(mixing.InfeasibleTargets):
+        mixing.calibrated(docs, **how, targets=aims, least=0.9)
+    told = mixing.margins_reached(docs, **how, targets=aims, least=0.9).toPandas()
+    assert not told[told.margin == "lang"].feasible.all()
+    # values that exclude each other
+    apart = spark.createDataFrame([(1, "a", "en", "p", 10), (2, "b", "fr", "p", 10)], docs.schema)
+    aims = {"lang": spark.createDataFrame([("en", 0.9), ("fr", 0.1)], "lang string, share double"), "source": spark.createDataFrame([("a", 0.1), ("b", 0.9)], "source string, share double")}
+    with pytest.raises(mixing.InfeasibleTargets):
+        mixing.calibrated(apart, **how, targets=aims)
 
 
 def test_pipeline_stages(spark):
@@ -480,14 +582,6 @@ def test_pipeline_stages(spark):
     assert docs.count() and set(docs.columns) >= {"doc_id", "sequence_id", "offset"}
 
 
-def test_pipeline_mixing_keeps_its_fraction(spark):
-    corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    rows = [(i, "x" * (100 + 37 * (i % 11) * (i % 7)), "en" if i % 5 else "fr", f"s{min(i % 9, 3)}", 0) for i in range(1500)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    kept = sum((len(r["text"]) + 3) // 4 for r in corpus_pipeline.source_mixing(spark, docs, "").collect())
-    assert abs(kept / sum((len(r[1]) + 3) // 4 for r in rows) - corpus_pipeline.MIX_FRACTION) < 0.02
-
-
 def test_pipeline_carries_null_ids(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     twice = text(80)
