@@ -13,9 +13,9 @@ from latticework.llm import language, mixing, near_dedup, packing, repeats
 from latticework.llm.storage import discard, materialize
 
 #: a document whose n-grams are known to its best language to a smaller share than this is no text in it
-LEAST_KNOWN = 0.2
-#: expected share of the tokens that the mixing stage keeps: near 1, it leaves little room to move the shares
-MIX_FRACTION = 0.9
+LEAST_KNOWN = 0.5
+#: target shares are in proportion to the tokens to this power: near 1, so that a sample with most of the tokens can have them
+MIX_EXPONENT = 0.95
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,14 +49,14 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample with ``MIX_FRACTION`` of the tokens, as near to the target weights of source, language and topic as that allows.
+    """The largest sample that has the target weights of source, language and topic.
 
-    A value that has fewer tokens than its target is kept whole and the others of its margin share what
-    it lacks: at this fraction most languages and topics are such values, so their weights are not met.
-    README has the shares reached at sf0.1; ``mixing.margins_reached`` gives them for any table. A row with a
-    null doc_id stays only if its cell is kept whole.
+    Documents of values above their target go with a probability, those of the value furthest below it
+    all stay (README: the share kept and the margins reached). Null values of a margin are a value of
+    their own. A row with a null doc_id stays only if its probability is 1. Repeated rows fare alike.
     """
-    return mixing.mixed_documents(docs, MIX_FRACTION).filter("mix_kept").select(*docs.columns)
+    out = mixing.calibrated(docs, **mixing.document_margins(docs), fraction=1.0, exponent=MIX_EXPONENT, strict=False)
+    return out.filter("mix_kept").select(*docs.columns)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
