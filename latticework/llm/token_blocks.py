@@ -10,8 +10,8 @@ cover the documents asked for. Each block carries a checksum.
 A corpus is a folder with two Parquet tables, all that a later job needs to read it:
 
 - ``frequencies``: id, frequency (sums to 2**20), one row an id that occurs;
-- ``blocks``: block rows by ascending ``start`` (ids before the block), within a file and from file to
-  file: first_doc, last_doc, n_docs, n_tokens, docs and sizes (little-endian 64-bit doc_ids and numbers of
+- ``blocks``: a folder a shard (``shard=0`` and so on, by ascending doc_id), in its files block rows by
+  ascending ``start`` (ids before the block): first_doc, last_doc, n_docs, n_tokens, docs and sizes (little-endian 64-bit doc_ids and numbers of
   ids), payload, checksum (CRC-32 of the payload). The payload: five 64-bit numbers (ids, lanes, steps
   between checkpoints, words, checkpoints), the checkpoints (place in the words, then the lanes' states), the 32-bit words.
 
@@ -173,7 +173,7 @@ def _pack(freq: np.ndarray, offsets: dict[int, int], kind: str, block: int):
             payload = encode_block(ids.astype(np.int64), f, start)
             begin = offsets[rows[0][0]] + rows[0][3]
             docs, sizes = np.array([r[2] for r in rows], "<i8").tobytes(), np.array([r[4] for r in rows], "<i8").tobytes()
-            row = {"start": begin, "first_doc": rows[0][2], "last_doc": rows[-1][2], "n_docs": len(rows), "n_tokens": len(ids), "docs": docs, "sizes": sizes, "payload": payload, "checksum": zlib.crc32(payload)}
+            row = {"shard": rows[0][0], "start": begin, "first_doc": rows[0][2], "last_doc": rows[-1][2], "n_docs": len(rows), "n_tokens": len(ids), "docs": docs, "sizes": sizes, "payload": payload, "checksum": zlib.crc32(payload)}
             return pa.RecordBatch.from_pylist([row], schema=_BLOCKS_ARROW)
 
         rows, held = [], 0
@@ -195,7 +195,7 @@ def _pack(freq: np.ndarray, offsets: dict[int, int], kind: str, block: int):
     return run
 
 
-_BLOCKS = "start long, first_doc long, last_doc long, n_docs long, n_tokens long, docs binary, sizes binary, payload binary, checksum long"
+_BLOCKS = "shard long, start long, first_doc long, last_doc long, n_docs long, n_tokens long, docs binary, sizes binary, payload binary, checksum long"
 _BLOCKS_ARROW = pa.schema([(n, {"long": pa.int64(), "binary": pa.binary()}[k]) for n, k in (x.split() for x in _BLOCKS.split(", "))])
 
 
@@ -224,11 +224,9 @@ def write_blocks(docs: DataFrame, tokenizer: str, folder: str, *, by_word: bool
         at += r["n"]
     table = [(i, int(freq[i])) for i in np.flatnonzero(freq).tolist()]
     spark.createDataFrame(table, "id long, frequency long").coalesce(1).write.parquet(f"{folder}/frequencies")
-    # coded before they are dealt by their place: only the payloads move
+    # a shard's ids are a file with one group of rows, so one task reads them in order: nothing is shuffled
     blocks = ids.mapInArrow(_pack(freq, offsets, kind, block), _BLOCKS)
-    files = max(1, min(shards, at // (8 * block)))
-    dealt = blocks.repartitionById(files, F.expr(f"cast(start div {max(1, -(-at // files))} as int)"))
-    dealt.sortWithinPartitions("start").write.parquet(f"{folder}/blocks")
+    blocks.sortWithinPartitions("shard", "start").write.partitionBy("shard").parquet(f"{folder}/blocks")
     discard(ids)
 
 
@@ -243,7 +241,7 @@ def read_blocks(spark: SparkSession, folder: str, *, digest: bool = True, first_
     freq = np.zeros(max((r["id"] for r in known), default=0) + 1, np.int64)
     for r in known:
         freq[r["id"]] = r["frequency"]
-    blocks = spark.read.schema(_BLOCKS).parquet(f"{folder}/blocks")
+    blocks = spark.read.schema(_BLOCKS).parquet(f"{folder}/blocks").drop("shard")
     if first_doc is not None:
         blocks = blocks.filter(F.col("last_doc") >= first_doc)
     if last_doc is not None:
