@@ -206,6 +206,14 @@ def least_squares(a, b, tolerance: float = TOLERANCE) -> np.ndarray:
     return solve_upper(r, q.T @ b)
 
 
+def product(a, b) -> np.ndarray:
+    """Of two factors."""
+    a, b = matrix(a, finite=None), matrix(b, finite=None)
+    if a.shape[1] != b.shape[0]:
+        raise DimensionMismatch
+    return a @ b
+
+
 def qr_condition(r: np.ndarray) -> float:
     d = np.abs(np.diag(r))
     if not d.size:
@@ -237,13 +245,13 @@ def eigen_symmetric(a, finite: type[NumericError] = NumericalInstability) -> tup
 
 
 def eigen_generalized(a, b) -> tuple[np.ndarray, np.ndarray]:
-    """Spectrum of the symmetric part of inverse(b) a: exact only where that product is symmetric."""
+    """Spectrum of the symmetric part of inverse(b) a for positive definite b: exact only where that product is symmetric."""
     a, b = matrix(a, square=True), matrix(b, square=True)
     if a.shape != b.shape:
         raise DimensionMismatch
     if not (is_symmetric(a) and is_symmetric(b)):
         raise NotSymmetric
-    c = inverse(b) @ a
+    c = cholesky_inverse(b) @ a
     return eigen_symmetric((c + c.T) / 2)
 
 

@@ -1,8 +1,7 @@
-"""Krylov solvers: vectors of length n on the driver, products with the matrix wherever it lives."""
+"""Krylov solvers: vectors are tables (i, x) in the cluster, and the driver sees a few numbers a step."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import kernels
-from ..errors import ConvergenceFailed, DimensionMismatch, EmptyInput, NotPositiveDefinite, SingularMatrix
-from .sparse import DRIVER_ENTRIES, combine
+from ..errors import ConvergenceFailed, DimensionMismatch, EmptyInput, NotPositiveDefinite
+from ..storage import discard, materialize
+from .sparse import combine
 
 
 @dataclass(frozen=True)
@@ -20,82 +20,92 @@ class IterativeConfig:
     max_iterations: int = 1000
 
 
-def product(coo: DataFrame, n: int, driver_entries: int = DRIVER_ENTRIES) -> Callable[[np.ndarray], np.ndarray]:
-    """x -> A x for a matrix (i, j, v): held on the driver if small, else one distributed pass a product."""
-    entries = combine(coo)
-    if entries.count() <= driver_entries:
-        rows = entries.collect()
-        i, j, v = np.array([r["i"] for r in rows], int), np.array([r["j"] for r in rows], int), np.array([r["v"] for r in rows], float)
-        return lambda x: np.bincount(i, v * x[j], n)
-    entries = entries.persist()
-    spark = coo.sparkSession
-
-    def apply(x: np.ndarray) -> np.ndarray:
-        table = spark.createDataFrame([(k, float(v)) for k, v in enumerate(x)], "j long, x double")
-        out = np.zeros(n)
-        for r in entries.join(table, "j").groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("y")).collect():
-            out[r["i"]] = r["y"]
-        return out
-
-    return apply
-
-
-def _start(b: np.ndarray, n: int) -> np.ndarray:
-    b = np.asarray(b, float)
-    if not b.size:
+def _prepared(coo: DataFrame, rhs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """The matrix (i, j, v) without repeats, and the right side (i, b), both stored."""
+    if not n:
         raise EmptyInput
-    if b.shape != (n,):
+    b = materialize(rhs.select("i", F.col("b").cast("double")), "rhs")
+    if b.count() != n:
         raise DimensionMismatch
-    return b
+    return materialize(combine(coo), "system"), b
 
 
-def conjugate_gradient(apply: Callable[[np.ndarray], np.ndarray], b, config: IterativeConfig = IterativeConfig()) -> np.ndarray:
-    """For symmetric positive definite A; stops at an absolute residual norm."""
-    b = _start(b, len(b))
+def _times(entries: DataFrame, vector: DataFrame, name: str) -> DataFrame:
+    """(i, y): the matrix times the column ``name`` of ``vector``, where a row has entries."""
+    other = vector.select(F.col("i").alias("j"), name)
+    return entries.join(other, "j").groupBy("i").agg(F.sum(F.col("v") * F.col(name)).alias("y"))
+
+
+def conjugate_gradient(coo: DataFrame, rhs: DataFrame, n: int, config: IterativeConfig = IterativeConfig()) -> DataFrame:
+    """(i, x) for a symmetric positive definite matrix (i, j, v) and rhs (i, b); stops at an absolute residual norm."""
+    entries, b = _prepared(coo, rhs, n)
     limit = max(config.tolerance, kernels.TOLERANCE)
-    x, r = np.zeros(len(b)), b.copy()
-    p, rr = r.copy(), float(b @ b)
+    state = materialize(b.select("i", F.lit(0.0).alias("x"), F.col("b").alias("r"), F.col("b").alias("p")), "krylov", clean=False)
+    rr = state.agg(F.sum(F.col("r") * F.col("r"))).head()[0]
     for _ in range(config.max_iterations + 1):
         if np.sqrt(rr) <= limit:
-            return x
-        ap = apply(p)
-        curve = float(p @ ap)
-        if curve <= kernels.TOLERANCE * float(p @ p):  # relative: near the solution p itself is small
+            return state.select("i", "x")
+        step = state.join(_times(entries, state, "p"), "i", "left").withColumn("ap", F.coalesce("y", F.lit(0.0))).drop("y")
+        step = materialize(step, "krylov", clean=False)
+        curve, size = step.agg(F.sum(F.col("p") * F.col("ap")), F.sum(F.col("p") * F.col("p"))).head()
+        if curve <= kernels.TOLERANCE * size:  # relative: near the solution p itself is small
             raise NotPositiveDefinite
-        a = rr / curve
-        x, r = x + a * p, r - a * ap
-        rr, old = float(r @ r), rr
-        p = r + rr / old * p
+        a = F.lit(rr / curve)
+        moved = step.select("i", (F.col("x") + a * F.col("p")).alias("x"), (F.col("r") - a * F.col("ap")).alias("r"), "p")
+        rr, old = moved.agg(F.sum(F.col("r") * F.col("r"))).head()[0], rr
+        last, state = state, materialize(moved.withColumn("p", F.col("r") + F.lit(rr / old) * F.col("p")), "krylov", clean=False)
+        discard(last, step)
     raise ConvergenceFailed
 
 
-def gmres(apply: Callable[[np.ndarray], np.ndarray], b, config: IterativeConfig = IterativeConfig()) -> np.ndarray:
-    """Without restart; the small problem is solved by its normal equations."""
-    b = _start(b, len(b))
+def gmres(coo: DataFrame, rhs: DataFrame, n: int, config: IterativeConfig = IterativeConfig()) -> DataFrame:
+    """(i, x) for any matrix, without restart: the basis is a table (k, i, q), a small least-squares problem is on the driver.
+
+    New vectors are made orthogonal in two passes, each one join with all of the basis.
+    """
+    entries, b = _prepared(coo, rhs, n)
     limit = max(config.tolerance, kernels.TOLERANCE)
-    norm = float(np.linalg.norm(b))
+    norm = float(np.sqrt(b.agg(F.sum(F.col("b") * F.col("b"))).head()[0]))
     if norm <= limit:
-        return np.zeros(len(b))
-    m = min(len(b), config.max_iterations)
-    basis, h = [b / norm], np.zeros((m + 1, m))
+        return b.select("i", F.lit(0.0).alias("x"))
+    m = min(n, config.max_iterations)
+    basis = [materialize(b.select(F.lit(0).alias("k"), "i", (F.col("b") / norm).alias("q")), "basis", clean=False)]
+    h, kept = np.zeros((m + 1, m)), [basis[0]]
     for j in range(m):
-        w = apply(basis[j])
-        for i, q in enumerate(basis):
-            h[i, j] = q @ w
-            w = w - h[i, j] * q
-        h[j + 1, j] = np.linalg.norm(w)
-        if h[j + 1, j] <= kernels.TOLERANCE:
-            m = j + 1
+        w = b.select("i").join(_times(entries, basis[j], "q"), "i", "left").select("i", F.coalesce("y", F.lit(0.0)).alias("w"))
+        w = materialize(w, "krylov", clean=False)
+        whole = basis[0]
+        for q in basis[1:]:
+            whole = whole.unionByName(q)
+        stored = w
+        for _ in range(2):
+            shares = {r["k"]: r["s"] for r in whole.join(w, "i").groupBy("k").agg(F.sum(F.col("q") * F.col("w")).alias("s")).collect()}  # j + 1 numbers
+            factor = F.lit(0.0)
+            for k, s in shares.items():
+                h[k, j] += s
+                factor = F.when(F.col("k") == k, F.lit(float(s))).otherwise(factor)
+            off = whole.select("i", (factor * F.col("q")).alias("c")).groupBy("i").agg(F.sum("c").alias("c"))
+            w = w.join(off, "i", "left").select("i", (F.col("w") - F.coalesce("c", F.lit(0.0))).alias("w"))
+        w = materialize(w, "basis", clean=False)
+        discard(stored)
+        kept.append(w)
+        h[j + 1, j] = float(np.sqrt(w.agg(F.sum(F.col("w") * F.col("w"))).head()[0]))
+        right = np.zeros(j + 2)
+        right[0] = norm
+        small = h[: j + 2, : j + 1]
+        y = np.linalg.lstsq(small, right, rcond=None)[0]
+        done = h[j + 1, j] <= kernels.TOLERANCE or np.linalg.norm(right - small @ y) <= 0.1 * limit or j + 1 == m
+        if done:
             break
-        basis.append(w / h[j + 1, j])
-    small = h[: m + 1, :m]
-    right = np.zeros(m + 1)
-    right[0] = norm
-    try:
-        y = kernels.lu_solve(small.T @ small, small.T @ right)
-    except SingularMatrix as e:
-        raise ConvergenceFailed("breakdown") from e
-    x = np.stack(basis[:m], 1) @ y
-    if np.linalg.norm(b - apply(x)) > limit:
+        basis.append(w.select(F.lit(j + 1).alias("k"), "i", (F.col("w") / float(h[j + 1, j])).alias("q")))
+    if np.linalg.matrix_rank(small[: len(y), : len(y)]) < len(y):
+        raise ConvergenceFailed("breakdown")
+    weight = F.lit(0.0)
+    for k, v in enumerate(y):
+        weight = F.when(F.col("k") == k, F.lit(float(v))).otherwise(weight)
+    x = materialize(whole.select("i", (weight * F.col("q")).alias("c")).groupBy("i").agg(F.sum("c").alias("x")), "x")
+    left = b.join(_times(entries, x, "x"), "i", "left").select((F.col("b") - F.coalesce("y", F.lit(0.0))).alias("r"))
+    if np.sqrt(left.agg(F.sum(F.col("r") * F.col("r"))).head()[0]) > limit:
         raise ConvergenceFailed
+    discard(*kept)
     return x

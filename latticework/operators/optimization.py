@@ -88,7 +88,10 @@ def backtracking_line_search(point, direction, objective: Objective, gradient: G
     if not math.isfinite(base):
         raise NumericalInstability
     for _ in range(config.max_iterations):
-        if objective(x + step * d) <= base + config.sufficient_decrease * step * slope:
+        trial = objective(x + step * d)
+        if not math.isfinite(trial):
+            raise NumericalInstability("objective")
+        if trial <= base + config.sufficient_decrease * step * slope:
             return step
         step *= config.contraction
     raise ConvergenceFailed

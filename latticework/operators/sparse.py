@@ -6,12 +6,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import ConvergenceFailed, DimensionMismatch, InvalidInput, NumericalInstability, SingularMatrix
+from ..errors import ConvergenceFailed, DimensionMismatch, EmptyInput, InvalidInput, NumericalInstability, SingularMatrix
 from ..kernels import TOLERANCE
-from ..storage import materialize
+from ..storage import discard, materialize
 
-#: systems up to this many entries are solved on the driver, larger ones in the cluster
-DRIVER_ENTRIES = 1_000_000
+#: entries of a system that a driver keeps between the sweeps of a sequential solver; larger ones are read again
+KEPT = 1_000_000
+#: steps of a solver in the cluster between two stored iterates, each of which is tested
+SWEEPS = 4
 
 
 def validate(coo: DataFrame, nrows: int, ncols: int) -> DataFrame:
@@ -24,6 +26,27 @@ def validate(coo: DataFrame, nrows: int, ncols: int) -> DataFrame:
     return coo
 
 
+def from_csr(pointers: DataFrame, entries: DataFrame, nrows: int, ncols: int) -> DataFrame:
+    """(i, j, v) of compressed rows, if they are sound: pointers (i, pointer) for i from 0 to nrows, entries (k, j, v) by place k.
+
+    The first pointer is 0, the last the number of entries, none is smaller than the one before; places run
+    from 0 without gaps, columns are in range. Pointers are compared over blocks of rows, so no task holds all.
+    """
+    if nrows <= 0 or ncols <= 0:
+        raise EmptyInput
+    head = pointers.agg(F.count("*").alias("n"), F.count_distinct("i").alias("different"), F.min("i").alias("low"), F.max("i").alias("high"), F.max(F.when(F.col("i") == 0, F.col("pointer"))).alias("first"), F.max(F.when(F.col("i") == nrows, F.col("pointer"))).alias("last")).head()
+    size = entries.agg(F.count("*").alias("n"), F.count_distinct("k").alias("different"), F.min("k").alias("low"), F.max("k").alias("high"), F.count_if(~F.coalesce(F.col("j").between(0, ncols - 1) & F.col("v").isNotNull(), F.lit(False))).alias("bad")).head()
+    whole = (head["n"], head["different"], head["low"], head["high"], head["first"], head["last"]) == (nrows + 1, nrows + 1, 0, nrows, 0, size["n"])
+    dense = size["different"] == size["n"] and (not size["n"] or (size["low"], size["high"]) == (0, size["n"] - 1))
+    if not whole or not dense or size["bad"]:
+        raise InvalidInput("invalid sparse structure")
+    ends = pointers.select((F.col("i") - 1).alias("i"), F.col("pointer").alias("end"))
+    spans = pointers.join(ends, "i")
+    if not spans.filter("end < pointer").isEmpty():
+        raise InvalidInput("invalid sparse structure")
+    return spans.select("i", F.explode(F.when(F.col("end") > F.col("pointer"), F.sequence("pointer", F.col("end") - 1))).alias("k")).join(entries, "k").select("i", "j", "v")
+
+
 def combine(coo: DataFrame) -> DataFrame:
     """Duplicates summed; explicit zeros stay."""
     return coo.groupBy("i", "j").agg(F.sum("v").alias("v"))
@@ -53,75 +76,68 @@ def matvec(coo: DataFrame, x: DataFrame, nrows: int) -> DataFrame:
     return coo.sparkSession.range(nrows).withColumnRenamed("id", "i").join(y, "i", "left").fillna(0.0, ["y"])
 
 
-def _on_driver(coo: DataFrame, rhs: DataFrame, n: int):
-    rows = [{} for _ in range(n)]
-    for r in combine(coo).collect():
-        rows[r["i"]][r["j"]] = r["v"]
-    b = np.zeros(n)
-    for r in rhs.collect():
-        b[r["i"]] = r["b"]
-    diagonal = np.array([rows[i].get(i, 0.0) for i in range(n)])
-    if (np.abs(diagonal) <= TOLERANCE).any():
-        raise SingularMatrix("diagonal")
-    off = [(np.array([j for j in r if j != i], int), np.array([v for j, v in r.items() if j != i], float)) for i, r in enumerate(rows)]
-    return diagonal, off, b
-
-
-def _solved(coo: DataFrame, x: np.ndarray) -> DataFrame:
-    return coo.sparkSession.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i long, x double")
+def jacobi_solve(coo: DataFrame, rhs: DataFrame, n: int, *, tolerance: float = 1e-10, max_iterations: int = 1000) -> DataFrame:
+    """(i, x) with A x = b for rhs (i, b), from x = 0, until no entry changes by more than the tolerance in the last of ``SWEEPS`` steps.
 
-
-def jacobi_solve(coo: DataFrame, rhs: DataFrame, n: int, *, tolerance: float = 1e-10, max_iterations: int = 1000, driver_entries: int = DRIVER_ENTRIES) -> DataFrame:
-    """(i, x) with A x = b for rhs (i, b), from x = 0, until no entry changes by more than the tolerance."""
+    Every step is a join and a sum in the cluster; a number a step reaches the driver. Only the last
+    iterate is stored.
+    """
     if rhs.count() != n:
         raise DimensionMismatch
     limit = max(tolerance, TOLERANCE)
-    if coo.count() <= driver_entries:
-        d, off, b = _on_driver(coo, rhs, n)
-        x = np.zeros(n)
-        for _ in range(max_iterations):
-            new = (b - np.array([v @ x[j] for j, v in off])) / d
-            if not np.isfinite(new).all():
-                raise NumericalInstability
-            step, x = np.abs(new - x).max(), new
-            if step <= limit:
-                return _solved(coo, x)
-        raise ConvergenceFailed
     entries = materialize(combine(coo), "system")
     d = entries.filter("i = j").select("i", F.col("v").alias("d"))
     if d.filter(F.abs("d") > TOLERANCE).count() != n:
         raise SingularMatrix("diagonal")
     off = entries.filter("i <> j")
     base = materialize(rhs.join(d, "i"), "base")
-    x = materialize(base.select("i", F.lit(0.0).alias("x")), "x")
-    for _ in range(max_iterations):
-        pull = off.join(x.withColumnRenamed("i", "j"), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("pull"))
-        step = base.join(pull, "i", "left").select("i", ((F.col("b") - F.coalesce("pull", F.lit(0.0))) / F.col("d")).alias("new"))
-        both = materialize(step.join(x, "i"), "x")
-        change = both.agg(F.max(F.abs(F.col("new") - F.col("x")))).head()[0]
-        x = both.select("i", F.col("new").alias("x"))
-        if not np.isfinite(change):
+    last = x = materialize(base.select("i", F.lit(0.0).alias("x")), "x", clean=False)
+    for at in range(0, max_iterations, SWEEPS):
+        for _ in range(min(SWEEPS, max_iterations - at)):
+            pull = off.join(x.withColumnRenamed("i", "j"), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("pull"))
+            new = (F.col("b") - F.coalesce("pull", F.lit(0.0))) / F.col("d")
+            step = base.join(pull, "i", "left").select("i", new.alias("new")).join(x.select("i", F.col("x").alias("old")), "i")
+            x = step.select("i", F.col("new").alias("x"), F.abs(F.col("new") - F.col("old")).alias("change"))
+        stored = materialize(x, "x", clean=False)
+        # NaN is larger than every number
+        change = stored.agg(F.max("change")).head()[0]
+        discard(last)
+        last, x = stored, stored.select("i", "x")
+        if change is None or not np.isfinite(change):
             raise NumericalInstability
         if change <= limit:
             return x
     raise ConvergenceFailed
 
 
-def gauss_seidel_solve(coo: DataFrame, rhs: DataFrame, n: int, *, tolerance: float = 1e-10, max_iterations: int = 1000, driver_entries: int = DRIVER_ENTRIES) -> DataFrame:
-    """(i, x), each row using the rows before it: sequential, so only for systems that the driver holds."""
+def gauss_seidel_solve(coo: DataFrame, rhs: DataFrame, n: int, *, tolerance: float = 1e-10, max_iterations: int = 1000, kept: int = KEPT) -> DataFrame:
+    """(i, x), each row using the rows before it.
+
+    The sweep is sequential by definition: rows come to the driver in order, a partition at a time, and x,
+    a number a row, is there. A system of at most ``kept`` entries is fetched once, a larger one in each sweep.
+    """
     if rhs.count() != n:
         raise DimensionMismatch
-    if coo.count() > driver_entries:
-        raise InvalidInput("too many entries for a sequential sweep; use jacobi_solve or conjugate_gradient")
-    d, off, b = _on_driver(coo, rhs, n)
+    entries = materialize(combine(coo), "system")
+    d = entries.filter("i = j").select("i", F.col("v").alias("d"))
+    if d.filter(F.abs("d") > TOLERANCE).count() != n:
+        raise SingularMatrix("diagonal")
+    rows = entries.filter("i <> j").groupBy("i").agg(F.collect_list("j").alias("js"), F.collect_list("v").alias("vs"))
+    rows = materialize(rhs.join(d, "i").join(rows, "i", "left").orderBy("i"), "rows").orderBy("i")
+
+    def fetched():
+        for r in rows.toLocalIterator(prefetchPartitions=True):
+            yield r["i"], r["b"], r["d"], np.array(r["js"] or [], int), np.array(r["vs"] or [], float)
+
+    known = list(fetched()) if entries.count() <= kept else None
     x, limit = np.zeros(n), max(tolerance, TOLERANCE)
     for _ in range(max_iterations):
         step = 0.0
-        for i, (j, v) in enumerate(off):
-            new = (b[i] - v @ x[j]) / d[i]
+        for i, b, diagonal, j, v in known if known is not None else fetched():
+            new = (b - v @ x[j]) / diagonal
             step, x[i] = max(step, abs(new - x[i])), new
         if not np.isfinite(x).all():
             raise NumericalInstability
         if step <= limit:
-            return _solved(coo, x)
+            return coo.sparkSession.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i long, x double")
     raise ConvergenceFailed

@@ -59,19 +59,32 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     return _long(df, columns, c / np.maximum(np.outer(sd, sd), EPSILON), "correlation")
 
 
-def gram(rows: DataFrame, column: str = "v") -> tuple[np.ndarray, np.ndarray, int]:
-    """Sum of v v', sum of v and number of rows: p * p numbers from each partition, summed in the cluster."""
+def matrix_of(column: pa.Array) -> np.ndarray:
+    """The rows of a column of equally long lists, from its flat values."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not len(column):
+        return np.zeros((0, 0))
+    if column.null_count:
+        raise EmptyInput("null vector")
+    sizes = np.diff(column.offsets.to_numpy())
+    if (sizes != sizes[0]).any():
+        raise DimensionMismatch("vectors of different lengths")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), sizes[0])
+
+
+def _summed(rows: DataFrame, column: str, part) -> dict[tuple[int, int], float]:
+    """Sums over all rows of the matrix ``part(v)`` of each batch v: one matrix a partition, summed in the cluster."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
-            v = np.array(batch.column(0).to_pylist(), float)
-            if not len(v):
-                continue
-            if v.ndim != 2:
-                raise DimensionMismatch
-            v = np.concatenate((v, np.ones((len(v), 1))), 1)
-            total = v.T @ v if total is None else total + v.T @ v
+            v = matrix_of(batch.column(0))
+            if len(v):
+                m = part(v)
+                if total is not None and m.shape != total.shape:
+                    raise DimensionMismatch("vectors of different lengths")
+                total = m if total is None else total + m
         if total is not None:
             i, j = np.indices(total.shape)
             yield pa.RecordBatch.from_arrays([pa.array(i.reshape(-1)), pa.array(j.reshape(-1)), pa.array(total.reshape(-1))], ["i", "j", "s"])
@@ -79,15 +92,46 @@ def gram(rows: DataFrame, column: str = "v") -> tuple[np.ndarray, np.ndarray, in
     cells = rows.select(column).mapInArrow(run, "i long, j long, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect()
     if not cells:
         raise EmptyInput
-    p = max(r["i"] for r in cells)
-    out = np.zeros((p + 1, p + 1))
-    for r in cells:
-        out[r["i"], r["j"]] = r["s"]
-    if not np.isfinite(out).all():
+    if not all(np.isfinite(r["s"]) for r in cells):
         raise NumericalInstability
+    return {(r["i"], r["j"]): r["s"] for r in cells}
+
+
+def _matrix(cells: dict[tuple[int, int], float]) -> np.ndarray:
+    out = np.zeros((max(i for i, _ in cells) + 1, max(j for _, j in cells) + 1))
+    for (i, j), v in cells.items():
+        out[i, j] = v
+    return out
+
+
+def gram(rows: DataFrame, column: str = "v") -> tuple[np.ndarray, np.ndarray, int]:
+    """Sum of v v', sum of v and number of rows: p * p numbers from each partition, summed in the cluster."""
+
+    def part(v):
+        v = np.concatenate((v, np.ones((len(v), 1))), 1)
+        return v.T @ v
+
+    out = _matrix(_summed(rows, column, part))
+    p = len(out) - 1
     return out[:p, :p], out[:p, p], int(round(out[p, p]))
 
 
+def scatter(rows: DataFrame, column: str = "v") -> tuple[np.ndarray, np.ndarray, int]:
+    """Mean, sum of (v - mean)(v - mean)' and number of rows, in two passes: the mean, then the centred products."""
+    sums = _matrix(_summed(rows, column, lambda v: np.concatenate((v.sum(0), [len(v)]))[None]))[0]
+    n, mean = int(round(sums[-1])), sums[:-1] / sums[-1]
+
+    def part(v):
+        v = np.concatenate((v - mean, np.ones((len(v), 1))), 1)
+        return v.T @ v
+
+    out = _matrix(_summed(rows, column, part))
+    p = len(mean)
+    # what rounding left in the mean
+    rest = out[:p, p] / n
+    return mean + rest, out[:p, :p] - n * np.outer(rest, rest), n
+
+
 @dataclass(frozen=True)
 class Regression:
     coefficients: np.ndarray
@@ -144,16 +188,14 @@ def _literal(values) -> Column:
 
 
 def pca(rows: DataFrame, n_components: int | None = None, column: str = "v") -> Components:
-    """Principal components of a row matrix, from one pass and a p x p eigenproblem on the driver."""
+    """Principal components of a row matrix, from two passes and a p x p eigenproblem on the driver."""
     if n_components is not None and n_components <= 0:
         raise InvalidInput("n_components must be positive")
-    g, s, n = gram(rows, column)
-    mean = s / n
-    scatter = g - n * np.outer(mean, mean)
+    mean, products, n = scatter(rows, column)
     try:
-        values, vectors = kernels.eigen_symmetric((scatter + scatter.T) / 2)
+        values, vectors = kernels.eigen_symmetric((products + products.T) / 2)
     except NumericalInstability as e:
         raise ConvergenceFailed(str(e)) from e
-    k = min(n, len(s)) if n_components is None else min(n_components, n, len(s))
+    k = min(n, len(mean)) if n_components is None else min(n_components, n, len(mean))
     variance = np.maximum(values[:k], 0) / max(n - 1, 1)
     return Components(mean, vectors[:, :k].T, variance, variance / variance.sum() if variance.sum() > 0 else variance)

@@ -48,9 +48,9 @@ def test_cells_keep_going_after_a_bad_matrix(spark):
 
 def test_all_cell_operators_run(spark):
     m = spark.createDataFrame([((2, 2, [4.0, 1.0, 1.0, 3.0]), (2, 2, [2.0, 0.0, 0.0, 1.0]), [1.0, 2.0], 0.5, 1)], f"a {cells.MATRIX}, b {cells.MATRIX}, v array<double>, t double, n int")
-    extra = {"lu_solve": "v", "cholesky_solve": "v", "solve_lower": "v", "solve_upper": "v", "solve_lower_complex": "v", "solve_upper_complex": "v", "least_squares": "v", "eigen_generalized": "b", "eigen_generalized_spd": "b", "svd_with_tolerance": "t", "svd_truncated": "n", "matrix_power": "t", "lyapunov": "b"}
+    extra = {"lu_solve": "v", "cholesky_solve": "v", "solve_lower": "v", "solve_upper": "v", "solve_lower_complex": "v", "solve_upper_complex": "v", "least_squares": "v", "eigen_generalized": "b", "eigen_generalized_spd": "b", "svd_with_tolerance": "t", "svd_truncated": "n", "matrix_power": "t", "lyapunov": "b", "qr_reconstruct": "b", "qr_reconstruct_complex": "b"}
     for name in cells.OPERATORS:
-        args = ["a", "b", "a"] if name == "sylvester" else ["a", extra[name]] if name in extra else ["a"]
+        args = ["a", "b", "a"] if name == "sylvester" else ["a", "v", "b"] if name.startswith("svd_reconstruct") else ["a", extra[name]] if name in extra else ["a"]
         out = cells.apply(m, name, *args).head()
         assert out["error"] is None and out["result"] is not None, name
 
@@ -102,15 +102,22 @@ def system(spark, n=12):
 
 def test_sparse(spark):
     a, x, coo, b = system(spark)
-    for solve in (sparse.jacobi_solve, sparse.gauss_seidel_solve):
+    for solve in (sparse.jacobi_solve, sparse.gauss_seidel_solve, iterative.conjugate_gradient, iterative.gmres):
         out = {r[0]: r[1] for r in solve(coo, b, 12).collect()}
         assert np.allclose([out[i] for i in range(12)], x, atol=1e-8)
-    far = {r[0]: r[1] for r in sparse.jacobi_solve(coo, b, 12, tolerance=1e-3, driver_entries=0).collect()}
-    assert np.allclose([far[i] for i in range(12)], x, atol=1e-2)
-    assert np.allclose(iterative.conjugate_gradient(iterative.product(coo, 12), a @ x), x)
-    assert np.allclose(iterative.gmres(iterative.product(coo, 12, 0), a @ x), x)
+    # rows read again in each sweep
+    out = {r[0]: r[1] for r in sparse.gauss_seidel_solve(coo, b, 12, tolerance=1e-2, kept=0).collect()}
+    assert np.allclose([out[i] for i in range(12)], x, atol=1e-1)
+    skew = spark.createDataFrame([(0, 1, 2.0), (1, 0, -1.0), (1, 1, 3.0)], "i long, j long, v double")
+    some = spark.createDataFrame([(0, 4.0), (1, 5.0)], "i long, b double")
+    assert np.allclose([r["x"] for r in iterative.gmres(skew, some, 2).orderBy("i").collect()], [1, 2])
+    minus = coo.withColumn("v", -F.col("v"))
     with pytest.raises(errors.NotPositiveDefinite):
-        iterative.conjugate_gradient(lambda v: -v, [1.0, 2])
+        iterative.conjugate_gradient(minus, b, 12)
+    with pytest.raises(errors.DimensionMismatch):
+        iterative.gmres(coo, b, 11)
+    with pytest.raises(errors.SingularMatrix):
+        sparse.jacobi_solve(skew, some, 2)
     with pytest.raises(errors.InvalidInput):
         sparse.validate(coo, 3, 3)
     doubled = coo.unionByName(coo)
@@ -122,6 +129,70 @@ def test_sparse(spark):
     assert y[1] == 0 and y[0] == 3
 
 
+def test_compressed_rows(spark):
+    entries = spark.createDataFrame([(0, 1, 5.0), (1, 0, 6.0), (2, 2, 7.0)], "k long, j long, v double")
+    pointers = lambda p: spark.createDataFrame(list(enumerate(p)), "i long, pointer long")
+    good = sparse.from_csr(pointers([0, 1, 1, 3]), entries, 3, 3)
+    assert sorted(map(tuple, good.collect())) == [(0, 1, 5.0), (2, 0, 6.0), (2, 2, 7.0)]
+    assert sparse.from_csr(pointers([0, 0, 0]), entries.limit(0), 2, 2).count() == 0
+    # too short, not from 0, not up to the end, falling, column out of range
+    for p, n, m in (([0, 1], 2, 3), ([1, 1, 1, 3], 3, 3), ([0, 1, 1, 2], 3, 3), ([0, 2, 1, 3], 3, 3), ([0, 1, 1, 3], 3, 2)):
+        with pytest.raises(errors.InvalidInput):
+            sparse.from_csr(pointers(p), entries, n, m)
+    with pytest.raises(errors.EmptyInput):
+        sparse.from_csr(pointers([0]), entries, 0, 3)
+
+
+def test_numbers_far_from_zero(spark):
+    rng = np.random.default_rng(4)
+    x = 1e8 + rng.normal(size=(1000, 2)) * [2, 1]
+    found = stats.pca(rows(spark, x))
+    centred = x - x.mean(0)
+    assert np.allclose(found.explained_variance, np.linalg.eigvalsh(centred.T @ centred / 999)[::-1], rtol=1e-6)
+    flat = np.outer(rng.normal(size=40), [1.0, 2.0, 3.0])
+    out = tall.svd(rows(spark, flat))
+    u = np.array([r["u"] for r in out.u.orderBy("row_id").collect()])
+    assert (out.singular_values[1:] == 0).all() and (u[:, 1:] == 0).all() and np.isclose(np.linalg.norm(u[:, 0]), 1)
+    small = np.diag([1.0, 1e-9, 1e-3])
+    assert np.allclose(tall.svd(rows(spark, small)).singular_values, [1, 1e-3, 1e-9], rtol=1e-6)
+
+
+def test_many_partitions_are_merged_in_a_tree(spark):
+    x = np.random.default_rng(6).normal(size=(300, 3))
+    r = tall.tsqr(rows(spark, x).repartition(100))
+    assert np.allclose(r.T @ r, x.T @ x)
+
+
+@pytest.mark.parametrize("name", ["lu_decompose", "lu_solve", "inverse", "determinant", "log_determinant", "cholesky_decompose", "cholesky_solve", "cholesky_inverse", "solve_lower", "solve_upper", "qr_decompose", "qr_reduced", "gram_schmidt", "least_squares", "eigen_symmetric", "svd_decompose", "svd_condition_number", "pseudo_inverse", "polar", "matrix_exp_eigen", "matrix_log_eigen", "matrix_sign"])
+def test_stacks_equal_single_matrices(name):
+    """Of good, singular, indefinite, not symmetric, not finite, empty and wide matrices."""
+    rng = np.random.default_rng(7)
+    spd = [b @ b.T + np.eye(4) for b in rng.normal(size=(3, 4, 4))]
+    mats = [*rng.normal(size=(3, 4, 4)), *spd, -spd[0], np.zeros((4, 4)), np.ones((4, 4)), np.full((4, 4), np.nan), rng.normal(size=(5, 3)), rng.normal(size=(3, 5)), np.array([[2.0]])]
+    schema = f"m {cells.MATRIX}, b array<double>"
+    data = [{"m": {"nrows": m.shape[0], "ncols": m.shape[1], "values": m.reshape(-1).tolist()}, "b": list(range(1, len(m) + 1))} for m in mats]
+    data += [{"m": None, "b": [1.0]}, {"m": {"nrows": 2, "ncols": 2, "values": [1.0, None, 2.0, 3.0]}, "b": [1.0, 2.0]}, {"m": {"nrows": 2, "ncols": 2, "values": [1.0]}, "b": [1.0, 2.0]}, {"m": {"nrows": 2, "ncols": 2, "values": [1.0, 0, 0, 1]}, "b": None}]
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    batch = pa.RecordBatch.from_pylist(data, to_arrow_schema(T._parse_datatype_string(schema)))
+    kernel, fields, stacked = cells.OPERATORS[name]
+    count = 2 if name in ("lu_solve", "cholesky_solve", "solve_lower", "solve_upper", "least_squares") else 1
+    load = lambda: [cells._loader(batch.column(i)) for i in range(count)]
+    one, codes = cells._solved(load(), batch.num_rows, kernel, None, {})
+    many, same = cells._solved(load(), batch.num_rows, kernel, stacked, {})
+    assert codes == same and sum(c is None for c in codes) >= 3
+    for x, y in zip(one, many, strict=True):
+        assert (x is None) == (y is None)
+        if x is not None and name not in ("svd_decompose", "eigen_symmetric"):  # vectors of equal values may differ
+            assert all(np.allclose(p, q, atol=1e-9, equal_nan=True) for p, q in zip(x, y, strict=True))
+    for kind, results in ((T.StructType.fromDDL(fields), many),):
+        for i, f in enumerate(kind.fields):
+            column = cells._column([None if r is None else r[i] for r in results], f.dataType).to_pylist()
+            assert [v is None for v in column] == [r is None for r in results]
+
+
 def test_derivatives_and_optimisation(spark):
     points = spark.createDataFrame([([1.0, 2.0],)], "x array<double>")
     f = lambda x: x[0] * x[0] * x[1]
@@ -135,31 +206,49 @@ def test_derivatives_and_optimisation(spark):
     assert np.allclose(optimization.gradient_descent([0.0, 9], objective, gradient, optimization.DescentConfig(0.1)), 3)
     assert np.allclose(optimization.adam([0.0, 9], objective, gradient, optimization.AdamConfig(tolerance=1e-6)), 3, atol=1e-4)
     assert optimization.backtracking_line_search([0.0], [6.0], objective, gradient) == 0.5
+    with pytest.raises(errors.NumericalInstability):
+        optimization.backtracking_line_search([0.0], [6.0], lambda x: float(x[0]) if x[0] == 0 else float("nan"), gradient)
     with pytest.raises(errors.NumericalInstability):
         optimization.gradient_descent([0.0], objective, lambda x: np.array([1.0, 2.0]))
     with pytest.raises(errors.InvalidInput):
         optimization.LineSearchConfig(contraction=1.0)
 
 
-def test_reports(spark, tmp_path):
-    for name, ns in (("a/shape-3x4", 100.0), ("b/odd", 7.0)):
+def test_reports(spark, tmp_path, monkeypatch):
+    for name, group, value, ns in (("a", "svd_own_ndarray", "square-3x4", 100.0), ("b", "weird", "vector-64x1", 7.0), ("c", "qr_competitor_faer_direct", None, 8.0)):
         d = tmp_path / name / "new"
         d.mkdir(parents=True)
-        (d / "benchmark.json").write_text(json.dumps({"group_id": "svd_full", "function_id": "f", "full_id": f"svd_full/{name}"}))
+        (d / "benchmark.json").write_text(json.dumps({"group_id": group, "function_id": "f", "full_id": name, "value_str": value}))
         (d / "estimates.json").write_text(json.dumps({k: {"point_estimate": ns} for k in ("mean", "median", "std_dev")}))
-    (tmp_path / "c/new").mkdir(parents=True)
-    (tmp_path / "c/new/benchmark.json").write_text(json.dumps({"group_id": "x", "full_id": "x"}))
-    out = reporting.classify(reporting.scan(spark, str(tmp_path)), {"svd": "svd"}).collect()
-    assert [(r["domain"], r["shape"], r["rows"], r["cols"], r["median_ns"]) for r in out] == [("svd", "shape-3x4", 3, 4, 100.0), ("svd", "unknown", 0, 0, 7.0)]
-    now = spark.createDataFrame([("a", 2e6, "none"), ("b", 120.0, "none"), ("c", 107.0, "none"), ("d", 1.0, "none"), ("e", 1.0, "other")], "full_id string, median_ns double, competitor string")
-    base = spark.createDataFrame([("a", 1e6), ("b", 100.0), ("c", 100.0), ("e", 1.0)], "full_id string, median_ns double")
-    found = reporting.compare(now, base)
-    assert {r["full_id"]: r["status"] for r in found.collect()} == {"a": "FAIL", "b": "SKIP_NOISE_FLOOR", "c": "WARN"}
-    assert reporting.exit_code(found) == 3 and reporting.exit_code(None) == 2
-    history = spark.createDataFrame([("r1", 1), ("r2", 2)], "run_id string, generated_at_unix long")
-    new = spark.createDataFrame([("r2", 5)], "run_id string, generated_at_unix long")
-    assert [r[1] for r in reporting.upsert(history, new, 1).collect()] == [5]
-    assert "| a |" in reporting.markdown(now)
+    (tmp_path / "d/new").mkdir(parents=True)
+    (tmp_path / "d/new/benchmark.json").write_text(json.dumps({"group_id": "x", "full_id": "x"}))
+    entries = reporting.classify(reporting.scan(spark, str(tmp_path)), reporting.own_groups("own"))
+    got = [(r["domain"], r["backend"], r["competitor"], r["shape"], r["rows"], r["cols"], r["size"]) for r in entries.collect()]
+    assert got == [("svd", "ndarray", "none", "square", 3, 4, 3), ("unknown", "unknown", "unknown", "vector", 64, 1, 1), ("qr", "faer_direct", "faer_direct", "unknown", 0, 0, 0)]
+    lines = reporting.summary_csv(entries).collect()
+    assert tuple(lines[0].asDict()) == reporting.CSV and lines[0]["time_ns"] == "100.000" and lines[0]["throughput"] == ""
+    # a row for each status: both limits must be passed, and a baseline below the floor is not compared
+    now = spark.createDataFrame([("fail", 1.2e6, "none"), ("warn", 1.06e6, "none"), ("near", 107.0, "none"), ("slow", 1.02e6, "none"), ("floor", 9e9, "none"), ("new", 1.0, "none"), ("rival", 9e9, "other"), ("zero", 5.0, "none")], "full_id string, median_ns double, competitor string")
+    base = spark.createDataFrame([("fail", 1e6), ("warn", 1e6), ("near", 100.0), ("slow", 1e6), ("floor", 1.0), ("rival", 1.0)], "full_id string, median_ns double")
+    found = reporting.compare(now, base, reporting.Policy(min_baseline_ns=50))
+    assert {r["full_id"]: r["status"] for r in found.collect()} == {"fail": "FAIL", "warn": "WARN", "near": "OK", "slow": "OK", "floor": "SKIP_NOISE_FLOOR"}
+    assert tuple(reporting.regression_counts(found).head()) == (1, 1, 4)
+    zero = reporting.compare(now, spark.createDataFrame([("zero", 0.0)], "full_id string, median_ns double")).head()
+    assert (zero["status"], zero["delta_percent"]) == ("OK", 0.0)
+    assert reporting.exit_code(found) == 3 and reporting.exit_code(None) == 2 and reporting.exit_code(found.filter("status = 'OK'")) == 0
+    for name, value in (("WARN_PCT", "7.5"), ("FAIL_PCT", "x"), ("MIN_REGRESSION_NS", "-1"), ("MIN_BASELINE_NS", "inf")):
+        monkeypatch.setenv(f"BENCH_{name}", value)
+    assert reporting.Policy.from_environment() == reporting.Policy(warn_pct=7.5)
+    history = reporting.run_record(now, "r1", 10).unionByName(reporting.run_record(now.withColumn("median_ns", F.col("median_ns") * 2), "r2", 20))
+    again = reporting.upsert(history, reporting.run_record(now.withColumn("median_ns", F.col("median_ns") * 3), "r1", 30, "main", "f" * 20), 2)
+    shown = reporting.run_trend(again).collect()
+    assert [(r["run_id"], r["case_count"], r["git_sha"]) for r in shown] == [("r2", 7, "unknown"), ("r1", 7, "f" * 12)]
+    assert shown[0]["vs_previous"] is None and np.isclose(shown[1]["vs_previous"], 50) and np.isclose(shown[1]["vs_first"], 50)
+    snap = {r["benchmark"]: r for r in reporting.case_snapshot(again).collect()}
+    assert np.isclose(snap["near"]["latest_ns"], 321) and np.isclose(snap["near"]["previous_ns"], 214) and snap["near"]["most_ns"] == snap["near"]["latest_ns"]
+    assert [r[0] for r in reporting.upsert(again, reporting.run_record(now, "r9", 99), 1).select("run_id").collect()] == ["r9"]
+    assert "| near | 107.000 | none |" in reporting.markdown(now) and reporting.markdown(spark.range(2500).toDF("n")).count("\n") == 2501
+    assert reporting.capability_counts(reporting.capabilities(spark)).head()["native_provider_domains"] > 0
 
 
 def test_stream_equals_batch(spark, tmp_path):
