@@ -19,7 +19,7 @@ import warnings
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import discard, materialize
+from .storage import materialize
 
 EXPONENT, FRACTION = 0.5, 0.6
 #: rounds at most, and the relative change of a factor of the first margins at which they end
@@ -47,61 +47,48 @@ def tempered(cells: DataFrame, margin: str, exponent: float) -> DataFrame:
     return cells.groupBy(margin).agg(F.pow(F.sum("tokens"), F.lit(exponent)).alias("share"))
 
 
-def _shares(cells: DataFrame, margins: tuple[str, ...], targets: dict[str, DataFrame], total: float) -> DataFrame:
-    """(margin, value, share): a value without a target keeps its share of the tokens; shares sum to 1 over the values that occur."""
-    out = None
-    for m in margins:
-        own = cells.groupBy(F.col(m).alias("value")).agg((F.sum("tokens") / F.lit(total or 1.0)).alias("own"))
-        aims = own.join(targets[m].select(F.col(m).alias("value"), F.col("share").cast("double")), "value", "left")
-        aims = aims.select(F.lit(m).alias("margin"), "value", F.coalesce("share", "own").alias("share"))
-        out = aims if out is None else out.unionByName(aims)
-    out = materialize(out, "shares", clean=False)
-    sums = {r["margin"]: r["s"] for r in out.groupBy("margin").agg(F.sum("share").alias("s")).collect()}  # a row a margin
-    norm = F.lit(1.0)
-    for m, s in sums.items():
-        norm = F.when(F.col("margin") == m, F.lit(float(s) or 1.0)).otherwise(norm)
-    return out.withColumn("share", F.col("share") / norm)
+def _values(cells: DataFrame, margin: str, targets: DataFrame, total: float) -> DataFrame:
+    """(margin, share, factor): a value without a target keeps its share of the tokens; shares sum to 1 over the values that occur."""
+    own = cells.groupBy(margin).agg((F.sum("tokens") / F.lit(total or 1.0)).alias("own"))
+    aims = own.join(targets.select(margin, F.col("share").cast("double")), margin, "left").select(margin, F.coalesce("share", "own").alias("share"))
+    aims = materialize(aims, "shares", clean=False)
+    norm = aims.agg(F.sum("share")).head()[0] or 1.0
+    return aims.select(margin, (F.col("share") / F.lit(float(norm))).alias("share"), F.lit(1.0).alias("factor"))
 
 
-def _of(table: DataFrame, margin: str, column: str, name: str) -> DataFrame:
-    return table.filter(F.col("margin") == margin).select(F.col("value").alias(margin), F.col(column).alias(name))
-
-
-def rake(cells: DataFrame, margins: tuple[str, ...], targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """``cells`` (margins, tokens) with weight: raked tokens, in the same total.
+def rake(cells: DataFrame, margins: tuple[str, ...], targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """``cells`` (margins, tokens) with weight: raked tokens, in the same total; and the values of each margin with their shares.
 
     A value without a target share keeps its share of the tokens; shares are scaled to sum to 1 over
     the values that occur. The cells are as many as combinations occur; none goes to the driver.
     """
     total = float(cells.agg(F.sum("tokens")).head()[0] or 0.0)
-    shares = materialize(_shares(cells, margins, targets, total), "shares", clean=False)
-    factors = shares.select("margin", "value", F.lit(1.0).alias("factor"), F.lit(0.0).alias("before"))
+    values = {m: _values(cells, m, targets[m], total) for m in margins}
+    stored: list[DataFrame] = []
+
+    def weighted(without: str | None = None) -> tuple[DataFrame, Column]:
+        out, weight = cells, F.col("tokens").cast("double")
+        for m in margins:
+            out = out.join(values[m].select(m, F.col("share").alias(f"share_{m}"), F.col("factor").alias(f"factor_{m}")), m)
+            if m != without:
+                weight = weight * F.col(f"factor_{m}")
+        return out, weight
+
     for _ in range(rounds):
-        now = {m: _of(factors, m, "factor", f"f_{m}") for m in margins}
-        out = None
+        change = 0.0
         for m in margins:
-            weight = F.col("tokens").cast("double")
-            joined = cells
-            for other in margins:
-                if other != m:
-                    joined, weight = joined.join(now[other], other), weight * F.col(f"f_{other}")
-            sums = joined.groupBy(m).agg(F.sum(weight).alias("_sum"))
-            sums = sums.join(_of(shares, m, "share", "share"), m).join(_of(factors, m, "factor", "before"), m)
+            out, weight = weighted(m)
+            sums = out.groupBy(m).agg(F.sum(weight).alias("_sum"), F.max(f"share_{m}").alias("share"), F.max(f"factor_{m}").alias("before"))
             new = F.when(F.col("_sum") > 0, F.col("share") * F.lit(total) / F.col("_sum")).otherwise(F.lit(1.0))
-            table = sums.select(F.lit(m).alias("margin"), F.col(m).alias("value"), new.alias("factor"), "before")
-            now[m] = table.select(F.col("value").alias(m), F.col("factor").alias(f"f_{m}"))
-            out = table if out is None else out.unionByName(table)
-        last, factors = factors, materialize(out, "factors", clean=False)
-        discard(last)
-        change = factors.filter(F.col("margin") != margins[-1]).agg(F.max(F.abs(F.col("factor") / F.nullif(F.col("before"), F.lit(0.0)) - 1))).head()[0]
-        if change is None or change <= tolerance:
+            stored.append(materialize(sums.select(m, "share", new.alias("factor"), "before"), "factors", clean=False))
+            values[m] = stored[-1].select(m, "share", "factor")
+            if m != margins[-1]:  # the last margin's change follows from the others'
+                change = max(change, stored[-1].agg(F.max(F.abs(F.col("factor") / F.nullif(F.col("before"), F.lit(0.0)) - 1))).head()[0] or 0.0)
+        if change <= tolerance:
             break
-    raked = cells.withColumn("weight", F.col("tokens").cast("double"))
-    for m in margins:
-        raked = raked.join(_of(factors, m, "factor", f"f_{m}"), m).withColumn("weight", F.col("weight") * F.col(f"f_{m}")).drop(f"f_{m}")
-    raked = materialize(raked, "raked", clean=False)
-    discard(factors)
-    return raked
+    out, weight = weighted()
+    raked = materialize(out.select(*margins, "tokens", weight.alias("weight")), "raked", clean=False)
+    return raked, {m: values[m].select(m, "share") for m in margins}
 
 
 def _cells(docs: DataFrame, margins: dict[str, Column], tokens: Column, exponent: float, targets: dict[str, DataFrame] | None) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
@@ -117,18 +104,17 @@ def _cells(docs: DataFrame, margins: dict[str, Column], tokens: Column, exponent
 
 def _sampled(cells: DataFrame, keys: tuple[str, ...], aims: dict[str, DataFrame], fraction: float, least: float) -> tuple[DataFrame, DataFrame]:
     """Cells with mix_probability; and (margin, value, tokens, target, reached) of every value."""
-    raked = rake(cells, keys, aims)
+    raked, shares = rake(cells, keys, aims)
     top = raked.filter("tokens > 0").agg(F.max(F.col("weight") / F.col("tokens"))).head()[0]
     part = min(fraction, max(least, 1.0 / top)) if top else fraction
     chance = F.least(F.lit(1.0), F.when(F.col("tokens") > 0, F.lit(part) * F.col("weight") / F.col("tokens")).otherwise(F.lit(part)))
     # a table on disk: its known size lets the optimiser broadcast it while it is small, and join by sorting beyond
     out = materialize(raked.select(*keys, "tokens", chance.alias("mix_probability")), "sampled", clean=False)
-    total = float(cells.agg(F.sum("tokens")).head()[0] or 0.0)
     expected = out.agg(F.sum(F.col("tokens") * F.col("mix_probability"))).head()[0] or 1.0
-    shares, told = _shares(cells, keys, aims, total), None
+    told = None
     for m in keys:
-        sums = out.groupBy(F.col(m).alias("value")).agg(F.sum("tokens").alias("tokens"), (F.sum(F.col("tokens") * F.col("mix_probability")) / F.lit(expected)).alias("reached"))
-        sums = sums.join(shares.filter(F.col("margin") == m), "value").select("margin", "value", "tokens", F.col("share").alias("target"), "reached")
+        sums = out.groupBy(m).agg(F.sum("tokens").alias("tokens"), (F.sum(F.col("tokens") * F.col("mix_probability")) / F.lit(expected)).alias("reached"))
+        sums = sums.join(shares[m], m).select(F.lit(m).alias("margin"), F.col(m).alias("value"), "tokens", F.col("share").alias("target"), "reached")
         told = sums if told is None else told.unionByName(sums)
     return out, told
 

@@ -58,7 +58,7 @@ def sketch(sets: list[np.ndarray], t: int) -> np.ndarray:
 def _features(rows: int, bands: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in K.chunks(batch.column(1)):
+            for lo, hi, data, offsets in K.chunks(batch.column(1), K.CHUNK // 2):
                 sets, again = K.both_sets(data, offsets, width)
                 # by both hashes: equal keys are equal sets
                 keys = [xxhash.xxh3_128_digest(s.tobytes() + t.tobytes()) for s, t in zip(sets, again, strict=True)]
@@ -119,8 +119,8 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCE
     ``docs`` needs doc_id and text; other columns are not read. Null or blank text: an empty set,
     linked with nothing. Fewer than ``width`` words: the whole sequence is the one element. Equal sets
     form a class (class_id: its least doc_id); component_id is the least doc_id reachable, kept is
-    true for that document. A null doc_id takes no part and is left out; rows that repeat a doc_id
-    come out as often as they came in. An empty table gives an empty result.
+    true for that document. A null doc_id takes no part and is left out; rows that repeat a doc_id must
+    repeat its text and come out as often as they came in. An empty table gives an empty result.
     """
     docs = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("tags", T.ArrayType(T.LongType()))])

@@ -523,7 +523,7 @@ def test_mixing(spark):
     df = table(spark, rows, "doc_id long, text string, source string, lang string")
     cells = spark.createDataFrame([("a", "p", 30), ("a", "q", 10), ("b", "p", 5), ("b", "q", 55)], "s string, l string, tokens long")
     aims = {"s": spark.createDataFrame([("a", 0.5), ("b", 0.5)], "s string, share double"), "l": spark.createDataFrame([("p", 0.3), ("q", 0.7)], "l string, share double")}
-    raked = mixing.rake(cells, ("s", "l"), aims, 40).toPandas()
+    raked = mixing.rake(cells, ("s", "l"), aims, 40)[0].toPandas()
     assert np.allclose(raked.groupby("s").weight.sum(), [50, 50], atol=1e-4) and np.allclose(raked.groupby("l").weight.sum(), [30, 70])
     how = mixing.document_margins(df)
     out = mixing.calibrated(df, **how, strict=False).collect()
