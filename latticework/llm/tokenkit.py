@@ -13,6 +13,7 @@ from __future__ import annotations
 from array import array
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 from . import textkit as K
@@ -118,12 +119,14 @@ class Encoder:
 
     def _alike(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A piece of each kind, and the kind of each piece; pieces of a kind have the same bytes."""
-        _, first, place = np.unique(K.piece_hashes(data, starts, sizes)[0], return_index=True, return_inverse=True)
+        place, kinds = pd.factorize(K.piece_hashes(data, starts, sizes)[0])
+        first = np.empty(len(kinds), np.int64)
+        first[place[::-1]] = np.arange(len(place) - 1, -1, -1)
         head = first[place]
         if (sizes == sizes[head]).all() and K.equal_pieces(data, starts, starts[head], sizes):
             return first, place
-        raw, kinds = data.tobytes(), {}
-        place = np.array([kinds.setdefault(raw[a : a + n], len(kinds)) for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)])
+        raw, known = data.tobytes(), {}
+        place = np.array([known.setdefault(raw[a : a + n], len(known)) for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)])
         return np.unique(place, return_index=True)[1], place
 
     def _pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
