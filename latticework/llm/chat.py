@@ -90,12 +90,23 @@ def paths(messages: DataFrame) -> DataFrame:
     return reach.withColumn("depth", F.max("above").over(length) - F.col("above")).drop("above")
 
 
-def format_conversations(messages: DataFrame, *, learned: str = LEARNED) -> DataFrame:
+def _once(messages: DataFrame) -> DataFrame:
+    """One row a node: of several, the least by parent, role, text and score."""
+    rest = [c for c in ("parent", "role", "text", "score") if c in messages.columns]
+    return messages.groupBy("tree_id", "node").agg(F.min(F.struct(*rest)).alias("row")).select("tree_id", "node", "row.*")
+
+
+def format_conversations(messages: DataFrame, *, learned: str = LEARNED, unique: bool = False) -> DataFrame:
     """One row a root-to-leaf path: tree_id, leaf, branch_rank (1: best score), score, n_turns, formatted, loss_spans.
 
     ``messages``: tree_id, node, parent, role, text, and optionally score (null or missing: 0). Null
-    role or text: empty. Ties of score go to the smaller leaf. An empty table gives an empty result.
+    role or text: empty. Ties of score go to the smaller leaf. A node that several rows have counts once,
+    with the least of them; ``unique`` says that there is none. A message with a null node takes no part.
+    Other columns are not read. An empty table gives an empty result.
     """
+    messages = messages.filter("node is not null")
+    if not unique:
+        messages = materialize(_once(messages), "messages")
     if "score" not in messages.columns:
         messages = messages.withColumn("score", F.lit(0.0))
     full = messages.select("tree_id", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
@@ -143,7 +154,7 @@ def op3_chat_format(spark, sf_dir: str) -> DataFrame:
     node = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
     messages = rows.select(F.col("conv_id").alias("tree_id"), node.alias("node"), "role", "text")
     messages = messages.withColumn("parent", F.when(F.col("node") > 1, F.col("node") - 1))
-    return read_back(format_conversations(messages))
+    return read_back(format_conversations(messages, unique=True))
 
 
 QUERIES = {"op3_chat_format": op3_chat_format}

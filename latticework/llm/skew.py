@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 #: at most so many keys are broadcast: those with 1 / HOT of all rows or more
 HOT = 10_000
-#: partitions that the rows of a frequent key are dealt over
-SALTS = 64
 
 
 def join_keyed(rows: DataFrame, table: DataFrame, keys: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
@@ -26,11 +24,12 @@ def join_keyed(rows: DataFrame, table: DataFrame, keys: list[str], size: str, to
 def kept_rows(rows: DataFrame, table: DataFrame, key: str, size: str, total: int, salt: list[str]) -> DataFrame:
     """The rows whose ``key`` is in ``table``; ``rows`` is computed once.
 
-    Rows of frequent keys, as in ``join_keyed``, are dealt by the hash of the columns ``salt``.
+    A frequent key, as in ``join_keyed``, is dealt by the hash of the columns ``salt`` over as many groups as
+    leave each with no more rows than the largest other key has; there are 2 * HOT such groups at most.
     """
     least = max(2, -(-total // HOT))
-    hot = F.broadcast(table.filter(F.col(size) >= least).select(key, F.lit(True).alias("_hot")))
-    dealt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*salt), F.lit(SALTS))).otherwise(F.lit(0).cast("long")).alias("_salt")
-    salts = F.when(F.col(size) >= least, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
-    wanted = table.select(key, F.explode(salts).alias("_salt"))
+    groups = F.when(F.col(size) >= least, F.ceil(F.col(size) / F.lit(least)).cast("long")).otherwise(F.lit(1).cast("long"))
+    hot = F.broadcast(table.filter(F.col(size) >= least).select(key, groups.alias("_groups")))
+    dealt = F.pmod(F.xxhash64(*salt), F.coalesce("_groups", F.lit(1).cast("long"))).alias("_salt")
+    wanted = table.select(key, F.explode(F.sequence(F.lit(0).cast("long"), groups - 1)).alias("_salt"))
     return rows.join(hot, key, "left").select(*rows.columns, dealt).join(wanted, [key, "_salt"], "left_semi").select(*rows.columns)

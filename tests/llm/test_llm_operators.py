@@ -277,6 +277,11 @@ def test_chat_trees(spark):
     assert chat.parse(out[1, 4]["formatted"]) == [("user", "q"), ("assistant", "good"), ("user", "")]
     assert chat.parse(out[2, 1]["formatted"]) == [("", "only")]
     assert chat.format_conversations(df.limit(0)).count() == 0
+    # repeated rows, a null node and columns of names that are used inside change nothing
+    more = df.unionByName(df).unionByName(df.limit(1).withColumn("node", F.lit(None).cast("long")))
+    more = more.withColumn("leaf", F.lit(7)).withColumn("depth", F.lit("x")).withColumn("turns", F.lit(1)).withColumn("to", F.lit(0))
+    again = {(r["tree_id"], r["leaf"]): r for r in chat.format_conversations(more).collect()}
+    assert again == out
 
 
 @pytest.mark.parametrize("collide", [False, True])
@@ -599,16 +604,99 @@ def test_mixing_meets_targets(spark):
         mixing.calibrated(apart, **how, targets=aims)
 
 
-def test_pipeline_stages(spark):
+def pipeline_documents():
+    """Two languages of their own letters, junk, copies near and exact, passages that several documents share."""
+    stock = {"aa": ["".join(RND.choice("bcdefg") for _ in range(5)) for _ in range(300)], "bb": ["".join(RND.choice("rstuvw") for _ in range(5)) for _ in range(300)]}
+    said = lambda lang, n: " ".join(RND.choice(stock[lang]) for _ in range(n))
+    shared = said("aa", 60)
+    rows = [(i, said(lang, RND.randint(20, 300)), lang, f"s{i % 3}") for i in range(40) for lang in (["aa", "aa", "bb"][i % 3],)]
+    base = said("aa", 150)
+    rows += [(100 + i, " ".join([*base.split()[: 149 - i], "bbb"]), "aa", "s0") for i in range(6)] + [(110, base, "aa", "s1"), (111, base, None, "s2")]
+    rows += [(120 + i, f"{said('aa', 30)} {shared} {said('aa', 10)}", "aa", "s1") for i in range(4)]
+    rows += [(130, None, "aa", "s0"), (131, "", "aa", "s0"), (132, "12 34 !?", "bb", "s0"), (133, "жжж ззз иии " * 20, None, "s1"), (134, said("bb", 90), "aa", None)]
+    return [(i, t, x, s, len(t or "")) for i, t, x, s in rows]
+
+
+def test_pipeline_equals_brute_force(spark):
+    """Every stage against a plain version of it, on what the stage before returned."""
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    rows = [(i, t, "xx", f"s{i % 3}", len(t or "")) for i, t in edge_documents()]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rows = pipeline_documents()
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs, seen = spark.createDataFrame(rows, schema), {}
     for name, stage in corpus_pipeline.STAGES:
         columns = docs.columns
         docs = corpus_pipeline.materialize(stage(spark, docs, ""), name)
-        if name != corpus_pipeline.STAGES[-1][0]:
-            assert docs.columns == columns
-    assert docs.count() and set(docs.columns) >= {"doc_id", "sequence_id", "offset"}
+        assert name == corpus_pipeline.STAGES[-1][0] or docs.columns == columns
+        seen[name] = docs.collect()
+    # language: letters tell it; junk and unknown letters go
+    text_of = {r[0]: r[1] for r in rows}
+    kept = {i: t for i, t in text_of.items() if t and any(c in "bcdefgrstuvw" for c in t)}
+    assert {r["doc_id"]: r["lang"] for r in seen["language_id"]} == {i: "aa" if t[0] in "bcdefg" else "bb" for i, t in kept.items()}
+    # near duplicates: the least of each component
+    parts = brute_components(list(kept.items()))
+    heads = {i for i, (_, c) in parts.items() if i == c}
+    assert {r["doc_id"] for r in seen["near_duplicates"]} == heads and len(heads) < len(kept)
+    # repeated passages: the bytes left
+    left = [(i, kept[i]) for i in sorted(heads)]
+    want = brute_repeats(left, 200)
+    got = {r["doc_id"]: r for r in seen["repeated_passages"]}
+    for i, t in left:
+        size, gone, _, sha = want[i]
+        if gone < size:
+            assert hashlib.sha256(got[i]["text"].encode()).hexdigest() == sha and got[i]["n_chars"] == len(got[i]["text"] if gone else t)
+    assert any(want[i][1] for i in heads) and set(got) <= heads
+    # mixing: plain fitting over cells, the largest fraction, the hash of each id
+    cells = {}
+    tokens = {i: (len(r["text"]) + 3) // 4 for i, r in got.items()}
+
+    def cell(r):
+        topic = "short" if len(r["text"]) < 800 else "lines" if 200 * r["text"].count("\n") > len(r["text"]) else "prose"
+        return (r["source"] or "(none)", r["lang"], topic)
+
+    for i, r in got.items():
+        cells[cell(r)] = cells.get(cell(r), 0) + tokens[i]
+    weight, total = dict(cells), sum(cells.values())
+    for _ in range(mixing.ROUNDS):
+        before = dict(weight)
+        for axis in range(3):
+            sums = Counter()
+            for c, n in cells.items():
+                sums[c[axis]] += n
+            powers = {v: n**corpus_pipeline.MIX_EXPONENT for v, n in sums.items()}
+            now = Counter()
+            for c, w in weight.items():
+                now[c[axis]] += w
+            weight = {c: w * powers[c[axis]] / sum(powers.values()) * total / now[c[axis]] for c, w in weight.items()}
+        if max(abs(weight[c] / before[c] - 1) for c in weight) < 1e-9:
+            break
+    part = min(1.0, 1 / max(weight[c] / cells[c] for c in cells))
+    drawn = {i: int(hashlib.md5(str(i).encode()).hexdigest()[:13], 16) / 2**52 for i in got}
+    chance = {i: min(1.0, part * weight[cell(r)] / cells[cell(r)]) for i, r in got.items()}
+    mixed = {r["doc_id"]: r["text"] for r in seen["source_mixing"]}
+    assert all((i in mixed) == (drawn[i] < chance[i]) for i in got if abs(drawn[i] - chance[i]) > 1e-5)
+    # packing: the pieces of each document are its ids
+    whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    pieces = {}
+    for r in seen["sequence_packing"]:
+        pieces.setdefault(r["doc_id"], []).append((r["start"], r["length"], r["ids_crc32"]))
+    assert set(pieces) == set(mixed)
+    for i, t in mixed.items():
+        ids, at = whole.encode(t, add_special_tokens=False).ids + [1], 0
+        for start, n, crc in sorted(pieces[i]):
+            assert start == at and crc == zlib.crc32(np.array(ids[at : at + n], "<u4").tobytes())
+            at += n
+        assert at == len(ids)
+
+
+def test_pipeline_takes_an_empty_table(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.materialize(stage(spark, docs, ""), name)
+    assert docs.count() == 0
 
 
 def test_pipeline_carries_null_ids(spark):
