@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .skew import join_keyed
+from .storage import discard, materialize
 
 
 def _signature(edges: DataFrame) -> tuple[int, int]:
@@ -18,20 +19,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node that occurs in ``edges`` (a, b); component is its least node.
 
     Links move towards the least neighbour until every component is one star, in about log(diameter)
-    rounds. Minima are combined before the shuffle and the joins carry two ids a row, so a node with
-    very many links is split by the adaptive skew join. Self-links and repeats do no harm.
+    rounds. Minima are combined before the shuffle, and nodes with very many links are joined by a broadcast
+    of their minima. Self-links and repeats do no harm.
     """
     edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), "links")
     seen = _signature(edges)
     while seen[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a > b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = small.unionByName(least.select("a", F.col("m").alias("b"))).filter("a > b").distinct()
-        edges = materialize(small, "links")
+        least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("size")), "least", clean=False)
+        large = join_keyed(both, least, ["a"], "size", 2 * seen[0]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = materialize(large.filter("a > b").distinct(), "large", clean=False)
+        lower = materialize(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("size")), "least", clean=False)
+        small = join_keyed(large, lower, ["a"], "size", 2 * seen[0]).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = small.unionByName(lower.select("a", F.col("m").alias("b"))).filter("a > b").distinct()
+        last, edges = edges, materialize(small, "links")
+        discard(last, least, large, lower)
         now = _signature(edges)
         if now == seen:
             break

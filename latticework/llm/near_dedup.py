@@ -155,17 +155,17 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCE
         named = buckets.select("band", "tag", "id", "n").join(parts.withColumnRenamed("node", "id"), "id", "left").select("band", "tag", "id", "n", label)
         # the main component of a bucket: that of its largest part, ties to the least
         sizes = named.groupBy("band", "tag", "part").agg(F.count("*").alias("m"), F.min_by("id", F.xxhash64("id", "band")).alias("head"))
-        main = sizes.groupBy("band", "tag").agg(F.count("*").alias("parts"), F.sum("m").alias("size"), F.max_by(F.struct("part", "head"), F.struct("m", -F.col("part"))).alias("main")).filter("parts > 1")
+        main = sizes.groupBy("band", "tag").agg(F.count("*").alias("parts"), F.sum("m").alias("size"), F.max_by(F.struct("part", "head"), F.struct("m", -F.col("part"))).alias("main")).filter("parts > 1").withColumn("members", F.col("size"))
         mixed = join_keyed(named, main, ["band", "tag"], "size", total * bands)
         if useful is None:
             useful = materialize(_useful(mixed.select(F.col("id").alias("doc_id")).distinct(), sets), "useful")
         mixed = materialize(mixed.join(useful, "id").filter(f"100 * useful >= {percent} * n"), "mixed")
-        outside = mixed.filter("part <> main.part")
+        outside = mixed.filter("part <> main.part").drop("members")
         # sets share at most their useful elements; a link needs percent / (100 + percent) of both sizes together
         close = f"{near} and {100 + percent} * least(useful, hub_useful) >= {percent} * (n + hub_n)"
-        other = mixed.select("band", "tag", F.col("id").alias("other"), F.col("n").alias("hub_n"), F.col("useful").alias("hub_useful"), F.col("part").alias("other_part"), F.col("main.head").alias("head"))
+        other = mixed.select("band", "tag", F.col("id").alias("other"), F.col("n").alias("hub_n"), F.col("useful").alias("hub_useful"), F.col("part").alias("other_part"), F.col("main.head").alias("head"), "members")
         if step == "hub":  # those outside against one member a bucket, of its main part
-            pairs = outside.join(other.filter("other = head"), ["band", "tag"]).filter(close)
+            pairs = join_keyed(outside, other.filter("other = head"), ["band", "tag"], "members", total * bands).filter(close)
         else:  # those still outside against every member of another part
             marks = sets.select(F.col("doc_id").alias("id"), "marks")
             outside = outside.join(marks, "id")
