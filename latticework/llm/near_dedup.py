@@ -30,6 +30,8 @@ from .skew import join_keyed
 from .storage import discard, materialize
 
 WIDTH, PERCENT, ROWS, BANDS, FIRST_BANDS = 5, 75, 5, 40, 6
+#: bytes of text in work at once
+PART = 1 << 19
 #: 64-bit words of the bitmap that bounds what two sets can share
 MARKS = 64
 _EMPTY = np.iinfo(np.uint64).max
@@ -58,7 +60,7 @@ def sketch(sets: list[np.ndarray], t: int) -> np.ndarray:
 def _features(rows: int, bands: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in K.chunks(batch.column(1), K.CHUNK // 2):
+            for lo, hi, data, offsets in K.chunks(batch.column(1), PART):
                 sets, again = K.both_sets(data, offsets, width)
                 # by both hashes: equal keys are equal sets
                 keys = [xxhash.xxh3_128_digest(s.tobytes() + t.tobytes()) for s, t in zip(sets, again, strict=True)]
@@ -78,7 +80,7 @@ def _features(rows: int, bands: int, width: int):
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in K.chunks(batch.column(1)):
+            for lo, hi, data, offsets in K.chunks(batch.column(1), PART):
                 # the hash that the sketches do not use: no pair is confirmed by a collision that proposed it
                 sets = K.shingle_sets(data, offsets, width, lane=1)
                 bounds = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)

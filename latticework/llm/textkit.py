@@ -64,13 +64,13 @@ def blocks_of(data: np.ndarray) -> np.ndarray:
 _LOW_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
-def piece_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, lanes: int = 1) -> np.ndarray:
-    """Independent 64-bit hashes (lanes x pieces) of the pieces of ``data``.
+def piece_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, lanes: tuple[int, ...] = (0,)) -> np.ndarray:
+    """Independent 64-bit hashes (lanes x pieces) of the pieces of ``data``; ``lanes`` are the numbers of the hashes wanted.
 
     Each eight bytes are mixed with all before them by a function that is not linear in them, so texts
     of special shape don't collide more often than others.
     """
-    seeds = stream(lanes, 1)[:, None]
+    seeds = stream(max(lanes) + 1, 1)[list(lanes), None]
     out = mix(seeds ^ (sizes.astype(np.uint64) * _GOLD)[None])
     if not len(starts):
         return out
@@ -119,9 +119,9 @@ def slices(data: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lanes: int = 1) -> tuple[np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, lanes: tuple[int, ...] = (0,)) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (lanes x words) of the words ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; number of words before each document (and in all)."""
-    hashes, count, total = [np.zeros((lanes, 0), np.uint64)], np.zeros(len(offsets), np.int64), 0
+    hashes, count, total = [np.zeros((len(lanes), 0), np.uint64)], np.zeros(len(offsets), np.int64), 0
     for lo, hi in slices(data, 2 * CHUNK):
         part = data[lo:hi]
         solid = ~WHITE[part]
@@ -141,19 +141,19 @@ def words(data: np.ndarray, offsets: np.ndarray, lanes: int = 1) -> tuple[np.nda
     return np.concatenate(hashes, 1), count
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int, lane: int = 0, lanes: int = 2) -> list[np.ndarray]:
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int, lane: int = 0) -> list[np.ndarray]:
     """Sorted distinct hashes of the ``width``-word shingles of each document, by one of two independent hashes.
 
     Fewer words than ``width``: the whole sequence as one; no word: empty.
     """
-    hashes, bounds = words(data, offsets, lanes)
-    return _sets_of(hashes[lane], bounds, width, lane)
+    (hashes,), bounds = words(data, offsets, (lane,))
+    return _sets_of(hashes, bounds, width, lane)
 
 
 def both_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """``shingle_sets`` by either hash."""
-    hashes, bounds = words(data, offsets, 2)
-    return _sets_of(hashes[0], bounds, width, 0), _sets_of(hashes[1], bounds, width, 1)
+    (one, two), bounds = words(data, offsets, (0, 1))
+    return _sets_of(one, bounds, width, 0), _sets_of(two, bounds, width, 1)
 
 
 def _sets_of(hashes: np.ndarray, bounds: np.ndarray, width: int, lane: int) -> list[np.ndarray]:

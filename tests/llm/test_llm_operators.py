@@ -367,11 +367,11 @@ def test_words_of_long_texts(monkeypatch):
 
     texts = ["".join(RND.choice(["a", "bcdefghijk", "É", "  ", " ", "\t", "\n", "x" * 20]) for _ in range(RND.randint(0, 60))) for _ in range(300)] + ["", None]
     (_, _, data, offsets), = textkit.chunks(pa.array(texts))
-    whole = textkit.words(data, offsets, 2)
+    whole = textkit.words(data, offsets, (0, 1))
     sets = textkit.both_sets(data, offsets, 5)
     assert [[len(s) for s in lane] for lane in sets] == [[len(shingles(t)) for t in texts]] * 2
     monkeypatch.setattr(textkit, "CHUNK", 40)
-    parts = textkit.words(data, offsets, 2)
+    parts = textkit.words(data, offsets, (0, 1))
     assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
 
 
