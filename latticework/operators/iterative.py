@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .. import kernels
@@ -40,21 +40,26 @@ def conjugate_gradient(coo: DataFrame, rhs: DataFrame, n: int, config: Iterative
     """(i, x) for a symmetric positive definite matrix (i, j, v) and rhs (i, b); stops at an absolute residual norm."""
     entries, b = _prepared(coo, rhs, n)
     limit = max(config.tolerance, kernels.TOLERANCE)
-    state = materialize(b.select("i", F.lit(0.0).alias("x"), F.col("b").alias("r"), F.col("b").alias("p")), "krylov", clean=False)
+    first = materialize(b.select("i", F.lit(0.0).alias("x"), F.col("b").alias("r"), F.col("b").alias("p")), "krylov", clean=False)
+    state, stored = first, [first]
     rr = state.agg(F.sum(F.col("r") * F.col("r"))).head()[0]
     for _ in range(config.max_iterations + 1):
         if np.sqrt(rr) <= limit:
             return state.select("i", "x")
-        step = state.join(_times(entries, state, "p"), "i", "left").withColumn("ap", F.coalesce("y", F.lit(0.0))).drop("y")
-        step = materialize(step, "krylov", clean=False)
-        curve, size = step.agg(F.sum(F.col("p") * F.col("ap")), F.sum(F.col("p") * F.col("p"))).head()
+        # two jobs a step: the sums are observed while the vectors are written
+        seen, left = Observation(), Observation()
+        step = state.join(_times(entries, state, "p"), "i", "left").select("i", "x", "r", "p", F.coalesce("y", F.lit(0.0)).alias("ap"))
+        step = materialize(step.observe(seen, F.sum(F.col("p") * F.col("ap")).alias("curve"), F.sum(F.col("p") * F.col("p")).alias("size")), "krylov", clean=False)
+        curve, size = seen.get["curve"], seen.get["size"]
         if curve <= kernels.TOLERANCE * size:  # relative: near the solution p itself is small
             raise NotPositiveDefinite
         a = F.lit(rr / curve)
         moved = step.select("i", (F.col("x") + a * F.col("p")).alias("x"), (F.col("r") - a * F.col("ap")).alias("r"), "p")
-        rr, old = moved.agg(F.sum(F.col("r") * F.col("r"))).head()[0], rr
-        last, state = state, materialize(moved.withColumn("p", F.col("r") + F.lit(rr / old) * F.col("p")), "krylov", clean=False)
-        discard(last, step)
+        moved = materialize(moved.observe(left, F.sum(F.col("r") * F.col("r")).alias("rr")), "krylov", clean=False)
+        rr, old = left.get["rr"], rr
+        discard(step, *stored)
+        stored = [moved]
+        state = moved.withColumn("p", F.col("r") + F.lit(rr / old) * F.col("p"))
     raise ConvergenceFailed
 
 
@@ -86,10 +91,11 @@ def gmres(coo: DataFrame, rhs: DataFrame, n: int, config: IterativeConfig = Iter
                 factor = F.when(F.col("k") == k, F.lit(float(s))).otherwise(factor)
             off = whole.select("i", (factor * F.col("q")).alias("c")).groupBy("i").agg(F.sum("c").alias("c"))
             w = w.join(off, "i", "left").select("i", (F.col("w") - F.coalesce("c", F.lit(0.0))).alias("w"))
-        w = materialize(w, "basis", clean=False)
+        seen = Observation()
+        w = materialize(w.observe(seen, F.sum(F.col("w") * F.col("w")).alias("ww")), "basis", clean=False)
         discard(stored)
         kept.append(w)
-        h[j + 1, j] = float(np.sqrt(w.agg(F.sum(F.col("w") * F.col("w"))).head()[0]))
+        h[j + 1, j] = float(np.sqrt(seen.get["ww"]))
         right = np.zeros(j + 2)
         right[0] = norm
         small = h[: j + 2, : j + 1]

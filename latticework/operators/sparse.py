@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..errors import ConvergenceFailed, DimensionMismatch, EmptyInput, InvalidInput, NumericalInstability, SingularMatrix
@@ -12,8 +12,6 @@ from ..storage import discard, materialize
 
 #: entries of a system that a driver keeps between the sweeps of a sequential solver; larger ones are read again
 KEPT = 1_000_000
-#: steps of a solver in the cluster between two stored iterates, each of which is tested
-SWEEPS = 4
 
 
 def validate(coo: DataFrame, nrows: int, ncols: int) -> DataFrame:
@@ -77,10 +75,10 @@ def matvec(coo: DataFrame, x: DataFrame, nrows: int) -> DataFrame:
 
 
 def jacobi_solve(coo: DataFrame, rhs: DataFrame, n: int, *, tolerance: float = 1e-10, max_iterations: int = 1000) -> DataFrame:
-    """(i, x) with A x = b for rhs (i, b), from x = 0, until no entry changes by more than the tolerance in the last of ``SWEEPS`` steps.
+    """(i, x) with A x = b for rhs (i, b), from x = 0, until no entry changes by more than the tolerance.
 
-    Every step is a join and a sum in the cluster; a number a step reaches the driver. Only the last
-    iterate is stored.
+    Every step is a join and a sum in the cluster and one job: the largest change is observed while the
+    iterate is written. Only the last iterate stays.
     """
     if rhs.count() != n:
         raise DimensionMismatch
@@ -89,24 +87,21 @@ def jacobi_solve(coo: DataFrame, rhs: DataFrame, n: int, *, tolerance: float = 1
     d = entries.filter("i = j").select("i", F.col("v").alias("d"))
     if d.filter(F.abs("d") > TOLERANCE).count() != n:
         raise SingularMatrix("diagonal")
-    off = entries.filter("i <> j")
-    base = materialize(rhs.join(d, "i"), "base")
-    last = x = materialize(base.select("i", F.lit(0.0).alias("x")), "x", clean=False)
-    for at in range(0, max_iterations, SWEEPS):
-        for _ in range(min(SWEEPS, max_iterations - at)):
-            pull = off.join(x.withColumnRenamed("i", "j"), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("pull"))
-            new = (F.col("b") - F.coalesce("pull", F.lit(0.0))) / F.col("d")
-            step = base.join(pull, "i", "left").select("i", new.alias("new")).join(x.select("i", F.col("x").alias("old")), "i")
-            x = step.select("i", F.col("new").alias("x"), F.abs(F.col("new") - F.col("old")).alias("change"))
-        stored = materialize(x, "x", clean=False)
-        # NaN is larger than every number
-        change = stored.agg(F.max("change")).head()[0]
+    off = materialize(entries.filter("i <> j"), "system")
+    state = materialize(rhs.join(d, "i").select("i", F.col("b").cast("double"), "d", F.lit(0.0).alias("x")), "x", clean=False)
+    for _ in range(max_iterations):
+        pull = off.join(state.select(F.col("i").alias("j"), "x"), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("pull"))
+        new = (F.col("b") - F.coalesce("pull", F.lit(0.0))) / F.col("d")
+        seen = Observation()
+        step = state.join(pull, "i", "left").select("i", "b", "d", new.alias("x"), F.abs(new - F.col("x")).alias("change"))
+        last, state = state, materialize(step.observe(seen, F.max("change").alias("change")).select("i", "b", "d", "x"), "x", clean=False)
         discard(last)
-        last, x = stored, stored.select("i", "x")
+        # NaN is larger than every number
+        change = seen.get["change"]
         if change is None or not np.isfinite(change):
             raise NumericalInstability
         if change <= limit:
-            return x
+            return state.select("i", "x")
     raise ConvergenceFailed
 
 
