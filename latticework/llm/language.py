@@ -29,7 +29,9 @@ LEVELS = (0.0, 2.0**-19, 2.0**-16, 2.0**-13)
 #: a filter takes this many bytes at most. With more n-grams than fit at ``SLOTS_PER_GRAM`` all of them are still in it, and its false positives rise
 FILTER_BYTES = 1 << 28
 #: code points in work at once; slots that one task gathers
-PART, SEGMENT = 1 << 20, 1 << 16
+PART, SEGMENT = 1 << 18, 1 << 16
+#: pending n-grams of a language that are merged with those counted already
+PENDING = 1 << 18
 _alpha: np.ndarray | None = None
 
 
@@ -81,7 +83,7 @@ def _count(orders: tuple[int, ...]):
                     parts = found.setdefault(lang, [])
                     for hashes, some, _ in grams([t for t, x in zip(texts, langs, strict=True) if x == lang], orders):
                         parts.append(np.unique(hashes[some], return_counts=True))
-                        if sum(len(k) for k, _ in parts) > 1_000_000:
+                        if sum(len(k) for k, _ in parts[1:]) > max(PENDING, len(parts[0][0])):
                             parts[:] = _merge(parts)
         for lang, parts in found.items():
             ((keys, counts),) = _merge(parts)

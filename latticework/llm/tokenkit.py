@@ -21,7 +21,7 @@ from . import textkit as K
 #: pieces a worker remembers at most; beyond, it starts anew
 REMEMBER = 400_000
 #: bytes of a document that are in work at once
-LONG = 4 << 20
+LONG = 2 << 20
 _LETTER, _DIGIT, _PUNCT, _QUOTE, _BLANK, _BREAK = 1, 2, 3, 4, 5, 6
 _KIND = np.zeros(256, np.uint8)
 _KIND[0x21:0x7F] = _PUNCT
@@ -186,7 +186,7 @@ def encoder(path: str, by_word: bool) -> Encoder:
     return _encoders[path, by_word]
 
 
-def encoded(texts: pa.Array, path: str, by_word: bool, end: int, limit: int = 3 << 20):
+def encoded(texts: pa.Array, path: str, by_word: bool, end: int, limit: int = 2 << 20):
     """(first row, row after the last, list of each document's ids with ``end`` behind)."""
     known = encoder(path, by_word)
     for lo, hi, data, offsets in K.chunks(texts, limit):
