@@ -149,7 +149,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
 def op3_chat_format(spark, sf_dir: str) -> DataFrame:
     """Each conversation is a tree without branches: a turn answers the one before it."""
     said = r"\### Assistant: </turn> ok"
-    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(extra)
     node = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
     messages = rows.select(F.col("conv_id").alias("tree_id"), node.alias("node"), "role", "text")

@@ -174,7 +174,9 @@ def pack(docs: DataFrame, path: str, *, by_word: bool = True, end: int = END, wi
             used[k] += m * each
             at += each * k
         base += m
-    table = spark.createDataFrame(slots, "length long, rank_from long, rank_to long, base long, each long, at long")
+    names = ("length", "rank_from", "rank_to", "base", "each", "at")
+    # from Arrow: rows of Python objects would start workers of another kind on the executors, beside those that encode
+    table = spark.createDataFrame(pa.table({n: pa.array([s[i] for s in slots], pa.int64()) for i, n in enumerate(names)}))
 
     salts = min(SALTS, max(64, -(-max(histogram.values(), default=0) // RANKED)))
     salted = rest.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)))

@@ -222,8 +222,8 @@ def write_blocks(docs: DataFrame, tokenizer: str, folder: str, *, by_word: bool
     for r in sizes:
         offsets[r["shard"]] = at
         at += r["n"]
-    table = [(i, int(freq[i])) for i in np.flatnonzero(freq).tolist()]
-    spark.createDataFrame(table, "id long, frequency long").coalesce(1).write.parquet(f"{folder}/frequencies")
+    used = np.flatnonzero(freq)
+    spark.createDataFrame(pa.table({"id": used.astype(np.int64), "frequency": freq[used].astype(np.int64)})).coalesce(1).write.parquet(f"{folder}/frequencies")
     # a shard's ids are a file with one group of rows, so one task reads them in order: nothing is shuffled
     blocks = ids.mapInArrow(_pack(freq, offsets, kind, block), _BLOCKS)
     blocks.sortWithinPartitions("shard", "start").write.partitionBy("shard").parquet(f"{folder}/blocks")
