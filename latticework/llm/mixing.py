@@ -16,10 +16,10 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import discard, materialize
 
 EXPONENT, FRACTION = 0.5, 0.6
 #: rounds at most, and the relative change of a factor of the first margins at which they end
@@ -80,10 +80,15 @@ def rake(cells: DataFrame, margins: tuple[str, ...], targets: dict[str, DataFram
             out, weight = weighted(m)
             sums = out.groupBy(m).agg(F.sum(weight).alias("_sum"), F.max(f"share_{m}").alias("share"), F.max(f"factor_{m}").alias("before"))
             new = F.when(F.col("_sum") > 0, F.col("share") * F.lit(total) / F.col("_sum")).otherwise(F.lit(1.0))
-            stored.append(materialize(sums.select(m, "share", new.alias("factor"), "before"), "factors", clean=False))
-            values[m] = stored[-1].select(m, "share", "factor")
+            seen = Observation()  # the change is taken while the factors are written
+            table = sums.select(m, "share", new.alias("factor"), "before")
+            table = table.observe(seen, F.max(F.abs(F.col("factor") / F.nullif(F.col("before"), F.lit(0.0)) - 1)).alias("change"))
+            values[m] = materialize(table.select(m, "share", "factor"), "factors", clean=False)
+            stored.append(values[m])
             if m != margins[-1]:  # the last margin's change follows from the others'
-                change = max(change, stored[-1].agg(F.max(F.abs(F.col("factor") / F.nullif(F.col("before"), F.lit(0.0)) - 1))).head()[0] or 0.0)
+                change = max(change, seen.get["change"] or 0.0)
+        discard(*stored[: -len(margins)])
+        del stored[: -len(margins)]
         if change <= tolerance:
             break
     out, weight = weighted()
