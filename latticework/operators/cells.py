@@ -71,10 +71,10 @@ OPERATORS: dict[str, tuple[Callable, str, Callable | None]] = {
     "svd_rank": (lambda a, **o: (k.svd_rank(k.svd(a)[1], **o),), "rank int", None),
     "pseudo_inverse": (lambda a, **o: (k.pseudo_inverse(a, **o),), f"inverse {MATRIX}", stacks.pseudo_inverse),
     "null_space": (lambda a, **o: (k.null_space(a, **o),), f"basis {MATRIX}", None),
-    "schur": (lambda a, **o: k.schur(a, **o), f"q {MATRIX}, t {MATRIX}", None),
+    "schur": (k.schur, f"q {MATRIX}, t {MATRIX}", stacks.schur),
     "polar": (k.polar, f"u {MATRIX}, p {MATRIX}", stacks.polar),
     "polar_complex": (lambda a: k.polar(_complex(a)), f"u {COMPLEX_MATRIX}, p {COMPLEX_MATRIX}", None),
-    "sylvester": (lambda a, b, c: (k.sylvester(a, b, c),), f"x {MATRIX}", None),
+    "sylvester": (lambda a, b, c: (k.sylvester(a, b, c),), f"x {MATRIX}", stacks.sylvester),
     "lyapunov": (lambda a, q: (k.lyapunov(a, q),), f"x {MATRIX}", None),
     "matrix_exp": (lambda a, **o: (k.exp_series(a, **o),), f"f {MATRIX}", None),
     "matrix_exp_eigen": (lambda a: (k.exp_eigen(a),), f"f {MATRIX}", stacks.exp_eigen),
@@ -178,7 +178,7 @@ def _solved(args: list, n: int, kernel: Callable, stacked: Callable | None, opti
         groups = defaultdict(list)
         for i in range(n):
             shapes = tuple(a.shape(i) for a in args)
-            if None not in shapes and (stacked in _ANY or shapes[0][0] == shapes[0][1]) and all(s[0] == shapes[0][0] for s in shapes):
+            if None not in shapes and (stacked in _ANY or shapes[0][0] == shapes[0][1]) and all(s[0] == shapes[0][0] and (len(s) == 1 or stacked in _ANY or s == shapes[0]) for s in shapes):
                 groups[shapes].append(i)
         for rows in groups.values():
             stack = [np.stack([a.value(i) for i in rows]) for a in args]

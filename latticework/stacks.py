@@ -213,3 +213,41 @@ def pseudo_inverse(a, tolerance: float | None = None):
 def polar(a):
     (u, s, vt), ok = svd(a)
     return (u @ vt, (vt.transpose(0, 2, 1) * s[:, None, :]) @ vt), ok
+
+
+def schur(a, steps: int = 128):
+    """QR iteration by LAPACK's factors with their signs turned; those of singular or not converging matrices are left."""
+    m, n, _ = a.shape
+    t, total = a.copy(), np.tile(np.eye(n), (m, 1, 1))
+    ok, live = np.zeros(m, bool), np.arange(m)
+    for _ in range(steps + 1):
+        done = np.linalg.norm(np.tril(t[live], -1), axis=(1, 2)) < TOLERANCE
+        ok[live[done]] = True
+        live = live[~done]
+        if not len(live):
+            break
+        q, r = np.linalg.qr(t[live])
+        diagonal = np.diagonal(r, axis1=1, axis2=2)
+        full = (np.abs(diagonal) > TOLERANCE).all(1)
+        live, q, r = live[full], q[full], r[full]
+        turn = np.where(diagonal[full] < 0, -1.0, 1.0)
+        q, r = q * turn[:, None, :], r * turn[:, :, None]
+        t[live], total[live] = r @ q, total[live] @ q
+    return (total, t), ok
+
+
+def sylvester(a, b, c):
+    """The Kronecker systems by LAPACK, for matrices whose spectra's sums are clearly not 0; the others are left."""
+    m, n = a.shape[0], a.shape[1]
+    sums = np.linalg.eigvals(a)[:, :, None] + np.linalg.eigvals(b)[:, None, :]
+    scale = np.abs(a).sum((1, 2)) + np.abs(b).sum((1, 2))
+    ok = (np.abs(sums).min((1, 2)) > 1e-6 * scale) & (b.shape[1:] == (n, n)) & (c.shape[1:] == (n, n))
+    out, eye = np.zeros(c.shape), np.eye(n)
+    step = max(1, (1 << 22) // n**4)
+    rows = np.flatnonzero(ok)
+    for at in range(0, len(rows), step):
+        part = rows[at : at + step]
+        # (i, j) by (k, l): a[i, k] where j = l, and b[l, j] where i = k
+        system = np.einsum("mik,jl->mijkl", a[part], eye) + np.einsum("mlj,ik->mijkl", b[part], eye)
+        out[part] = np.linalg.solve(system.reshape(len(part), n * n, n * n), c[part].reshape(len(part), n * n, 1)).reshape(len(part), n, n)
+    return (out,), ok

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from latticework import errors
+from latticework import errors, kernels, stacks
 from latticework.functions import vectors as fv
 from latticework.operators import cells, differentiation, iterative, optimization, pairwise, sparse, stats, tall
 from latticework.plans import reporting
@@ -193,6 +193,28 @@ def test_stacks_equal_single_matrices(name):
             assert [v is None for v in column] == [r is None for r in results]
 
 
+def test_stacked_iterations_equal_single_matrices():
+    rng = np.random.default_rng(8)
+    spd = np.stack([b @ b.T + np.diag([9.0, 5, 2, 1]) for b in rng.normal(size=(5, 4, 4)) / 3])
+    (q, t), ok = stacks.schur(spd)
+    assert ok.sum() >= 3
+    for m, x, y, good in zip(spd, q, t, ok, strict=True):
+        if good:
+            want = kernels.schur(m)
+            assert np.allclose(x, want[0], atol=1e-8) and np.allclose(y, want[1], atol=1e-8)
+        else:
+            with pytest.raises(errors.ConvergenceFailed):
+                kernels.schur(m)
+    turn = np.array([[[0.0, -1.0], [1.0, 0.0]], [[1.0, 2.0], [2.0, 4.0]]])
+    assert not stacks.schur(turn)[1][0]
+    a, b, c = rng.normal(size=(3, 6, 4, 4)) + 4 * np.eye(4)
+    b[5] = -a[5]
+    (x,), ok = stacks.sylvester(a, b, c)
+    assert ok.tolist() == [True] * 5 + [False]
+    for i in range(5):
+        assert np.allclose(x[i], kernels.sylvester(a[i], b[i], c[i])) and np.allclose(a[i] @ x[i] + x[i] @ b[i], c[i])
+
+
 def test_derivatives_and_optimisation(spark):
     points = spark.createDataFrame([([1.0, 2.0],)], "x array<double>")
     f = lambda x: x[0] * x[0] * x[1]
