@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from latticework import errors, kernels, stacks
+from latticework import catalogue, errors, kernels, stacks
 from latticework.functions import vectors as fv
 from latticework.operators import cells, differentiation, iterative, optimization, pairwise, sparse, stats, tall
 from latticework.plans import reporting
@@ -236,6 +236,14 @@ def test_derivatives_and_optimisation(spark):
         optimization.LineSearchConfig(contraction=1.0)
 
 
+def test_derivatives_halfway_between_two_results(spark, tmp_path):
+    """Rounded by their value, as the SQL does, and not by the error of the differences."""
+    known = [(118, 98.5), (178, 5426.5), (470, -988.25), (103, 5312.5), (1695, 607.5)]
+    spark.createDataFrame(known, "c_custkey long, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    got = {(r["c_custkey"], r["j"]): (r["d0"], r["d1"]) for r in catalogue.QUERIES["numerical_jacobian_forward"](spark, str(tmp_path)).collect()}
+    assert got[118, 1] == (0.0, 0.0099) and got[178, 1] == (0.0, 0.5427) and got[470, 0] == (-0.1977, 0.1429)
+
+
 def test_reports(spark, tmp_path, monkeypatch):
     for name, group, value, ns in (("a", "svd_own_ndarray", "square-3x4", 100.0), ("b", "weird", "vector-64x1", 7.0), ("c", "qr_competitor_faer_direct", None, 8.0)):
         d = tmp_path / name / "new"
