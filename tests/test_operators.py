@@ -242,6 +242,8 @@ def test_derivatives_halfway_between_two_results(spark, tmp_path):
     spark.createDataFrame(known, "c_custkey long, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
     got = {(r["c_custkey"], r["j"]): (r["d0"], r["d1"]) for r in catalogue.QUERIES["numerical_jacobian_forward"](spark, str(tmp_path)).collect()}
     assert got[118, 1] == (0.0, 0.0099) and got[178, 1] == (0.0, 0.5427) and got[470, 0] == (-0.1977, 0.1429)
+    got = {(r["c_custkey"], r["j"], r["k"]): r["derivative"] for r in catalogue.QUERIES["numerical_hessian"](spark, str(tmp_path)).collect()}
+    assert all(got[103, i, i] == 3.188 and got[1695, i, i] == 0.365 for i in (0, 1))
 
 
 def test_reports(spark, tmp_path, monkeypatch):
