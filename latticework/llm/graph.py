@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .storage import discard, materialize
 
 
-def _signature(edges: DataFrame) -> tuple[int, int]:
-    """Number and order-free checksum of the links: two numbers, whatever the input's size."""
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()
-    return row[0], row[1]
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """The links as a table; their number and order-free checksum, taken while they are written."""
+    seen = Observation()
+    out = materialize(edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("checksum")), "links")
+    return out, (seen.get["n"], seen.get["checksum"])
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -21,8 +22,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     rounds. Minima are combined before the shuffle and the joins carry two ids a row, so a node with
     very many links is split by the adaptive skew join. Self-links and repeats do no harm.
     """
-    edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), "links")
-    seen = _signature(edges)
+    edges, seen = _written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct())
     while seen[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -31,9 +31,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(least.select("a", F.col("m").alias("b"))).filter("a > b").distinct()
-        last, edges = edges, materialize(small, "links")
+        last = edges
+        edges, now = _written(small)
         discard(last)
-        now = _signature(edges)
         if now == seen:
             break
         seen = now

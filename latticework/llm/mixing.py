@@ -1,8 +1,8 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame operations only.
 
-Tokens are summed over the cells of all margins (source, language, topic). Every value of a margin has a
-factor, and a cell's raked weight is its tokens times its values' factors: margin by margin, the factors
-are set so that each value's cells have the value's target share. Sums over a value's cells are combined
+Tokens are summed over the cells of all margins (source, language, topic). A cell's weight is at
+first its tokens; margin by margin, the weights of each value's cells are multiplied by the factor that
+gives the value its target share. Sums over a value's cells are combined
 before they are shuffled, so a value that a third of all rows have holds up no task, and nothing but a
 few totals reaches the driver.
 
@@ -48,12 +48,12 @@ def tempered(cells: DataFrame, margin: str, exponent: float) -> DataFrame:
 
 
 def _values(cells: DataFrame, margin: str, targets: DataFrame, total: float) -> DataFrame:
-    """(margin, share, factor): a value without a target keeps its share of the tokens; shares sum to 1 over the values that occur."""
+    """(margin, share): a value without a target keeps its share of the tokens; shares sum to 1 over the values that occur."""
     own = cells.groupBy(margin).agg((F.sum("tokens") / F.lit(total or 1.0)).alias("own"))
     aims = own.join(targets.select(margin, F.col("share").cast("double")), margin, "left").select(margin, F.coalesce("share", "own").alias("share"))
     aims = materialize(aims, "shares", clean=False)
     norm = aims.agg(F.sum("share")).head()[0] or 1.0
-    return aims.select(margin, (F.col("share") / F.lit(float(norm))).alias("share"), F.lit(1.0).alias("factor"))
+    return aims.select(margin, (F.col("share") / F.lit(float(norm))).alias("share"))
 
 
 def rake(cells: DataFrame, margins: tuple[str, ...], targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[DataFrame, dict[str, DataFrame]]:
@@ -64,36 +64,25 @@ def rake(cells: DataFrame, margins: tuple[str, ...], targets: dict[str, DataFram
     """
     total = float(cells.agg(F.sum("tokens")).head()[0] or 0.0)
     values = {m: _values(cells, m, targets[m], total) for m in margins}
-    stored: list[DataFrame] = []
-
-    def weighted(without: str | None = None) -> tuple[DataFrame, Column]:
-        out, weight = cells, F.col("tokens").cast("double")
-        for m in margins:
-            out = out.join(values[m].select(m, F.col("share").alias(f"share_{m}"), F.col("factor").alias(f"factor_{m}")), m)
-            if m != without:
-                weight = weight * F.col(f"factor_{m}")
-        return out, weight
-
-    for _ in range(rounds):
-        change = 0.0
+    out = cells
+    for m in margins:
+        out = out.join(values[m].withColumnRenamed("share", f"share_{m}"), m)
+    raked = materialize(out.withColumn("weight", F.col("tokens").cast("double")), "raked")
+    columns = raked.columns
+    for _ in range(rounds):  # one plan and one table a round: each plan costs the driver memory
+        out = raked
         for m in margins:
-            out, weight = weighted(m)
-            sums = out.groupBy(m).agg(F.sum(weight).alias("_sum"), F.max(f"share_{m}").alias("share"), F.max(f"factor_{m}").alias("before"))
-            new = F.when(F.col("_sum") > 0, F.col("share") * F.lit(total) / F.col("_sum")).otherwise(F.lit(1.0))
-            seen = Observation()  # the change is taken while the factors are written
-            table = sums.select(m, "share", new.alias("factor"), "before")
-            table = table.observe(seen, F.max(F.abs(F.col("factor") / F.nullif(F.col("before"), F.lit(0.0)) - 1)).alias("change"))
-            values[m] = materialize(table.select(m, "share", "factor"), "factors", clean=False)
-            stored.append(values[m])
-            if m != margins[-1]:  # the last margin's change follows from the others'
-                change = max(change, seen.get["change"] or 0.0)
-        discard(*stored[: -len(margins)])
-        del stored[: -len(margins)]
-        if change <= tolerance:
+            sums = out.groupBy(m).agg(F.sum("weight").alias("_sum"), F.max(f"share_{m}").alias("_share"))
+            new = F.when(F.col("_sum") > 0, F.col("_share") * F.lit(total) / F.col("_sum")).otherwise(F.lit(1.0))
+            out = out.join(sums.select(m, new.alias(f"factor_{m}")), m).withColumn("weight", F.col("weight") * F.col(f"factor_{m}"))
+        # the change is taken while the weights are written; the last margin's follows from the others'
+        changes = [F.abs(F.col(f"factor_{m}") - 1) for m in margins[:-1]]
+        seen, last = Observation(), raked
+        raked = materialize(out.observe(seen, F.max(F.greatest(F.lit(0.0), F.lit(0.0), *changes)).alias("change")).select(*columns), "raked")
+        discard(last)
+        if (seen.get["change"] or 0.0) <= tolerance:
             break
-    out, weight = weighted()
-    raked = materialize(out.select(*margins, "tokens", weight.alias("weight")), "raked", clean=False)
-    return raked, {m: values[m].select(m, "share") for m in margins}
+    return raked.select(*margins, "tokens", "weight"), values
 
 
 def _cells(docs: DataFrame, margins: dict[str, Column], tokens: Column, exponent: float, targets: dict[str, DataFrame] | None) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:

@@ -178,8 +178,9 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCE
         more = materialize(_confirmed(pairs, sets, percent), "confirmed")
         tried = tried.unionByName(pairs)
         if not more.isEmpty():
-            links = links.unionByName(more)
-            parts = materialize(connected_components(links), "parts")
+            # the components' stars link the same nodes as the links they were made of
+            stars = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            parts = materialize(connected_components(stars.unionByName(more)), "parts")
         discard(mixed)
     discard(sets, useful, buckets)
 

@@ -565,6 +565,20 @@ def test_mixing(spark):
     assert mixing.calibrated(df.limit(0), **how).count() == 0
 
 
+def test_raking_and_components_take_one_plan_a_round(spark):
+    """The driver's memory grows with the plans it makes."""
+    number = spark._jvm.org.apache.spark.sql.execution.SQLExecution.nextExecutionId  # each call takes one, too
+    cells = spark.createDataFrame([("a", "p", "x", 30), ("a", "q", "y", 10), ("b", "p", "y", 5), ("b", "q", "x", 55)], "s string, l string, t string, tokens long")
+    aims = {m: mixing.tempered(cells, m, 0.5) for m in ("s", "l", "t")}
+    at = [number()]
+    for rounds in (1, 4):
+        mixing.rake(cells, ("s", "l", "t"), aims, rounds, 0.0)
+        at.append(number())
+    assert (at[2] - at[1]) - (at[1] - at[0]) == 3
+    connected_components(spark.createDataFrame([(1, 2)], "a long, b long"))
+    assert number() - at[2] - 1 == 2
+
+
 def test_mixing_meets_targets(spark):
     """By rows and columns that a plain fitting in numpy gives, the sample has the targets at the largest fraction."""
     rng = np.random.default_rng(5)
