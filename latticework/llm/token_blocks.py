@@ -63,17 +63,20 @@ def encode_block(ids: np.ndarray, freq: np.ndarray, start: np.ndarray, lanes: in
     steps = -(-n // lanes)
     filled = np.concatenate([ids, np.full(steps * lanes - n, ids[-1])]).reshape(steps, lanes) if n else np.zeros((0, lanes), np.int64)
     f, c = freq[filled].astype(np.uint64), start[filled].astype(np.uint64)
-    top = f << np.uint64(63 - BITS)
+    top, rest = f << np.uint64(63 - BITS), np.uint64(1 << BITS) - f
     x = np.full(lanes, _LOW, np.uint64)
     words, marks, behind = [], [], 0
     for s in range(steps - 1, -1, -1):
         full = x >= top[s]
-        out = (x[full] & np.uint64(0xFFFFFFFF)).astype("<u4")
+        out = x[full].astype("<u4")  # the low halves
         words.append(out)
         behind += len(out)
-        x[full] >>= np.uint64(32)
-        q, r = np.divmod(x, f[s])
-        x = (q << np.uint64(BITS)) + r + c[s]
+        np.right_shift(x, np.uint64(32), out=x, where=full)
+        # quotient << BITS, plus remainder, plus start
+        q = x // f[s]
+        q *= rest[s]
+        x += q
+        x += c[s]
         if s % restart == 0:
             marks.append((behind, x.copy()))
     head = np.array([n, lanes, restart, behind, len(marks)], "<u8").tobytes()

@@ -140,7 +140,8 @@ class Encoder:
         raw = data.tobytes()
         keys = [raw[a : a + n] for a, n in zip(starts[first].tolist(), sizes[first].tolist(), strict=True)]
         known = self.known
-        new = [i for i, k in enumerate(keys) if k not in known]
+        numbers = [known.get(k, -1) for k in keys]
+        new = [i for i, n in enumerate(numbers) if n < 0]
         if new:
             letters = np.concatenate(([0], np.cumsum(kind == _LETTER)))
             at, size = starts[first[new]], sizes[first[new]]
@@ -150,16 +151,25 @@ class Encoder:
             void = (kind[at] >= _BLANK) & self.by_word
             pieces = [keys[i] for i in new]
             rest = iter(self._whole([p.decode() for p, q, v in zip(pieces, plain, void, strict=True) if not (q or v)]))
+            tokenize, table, by_word, added, behind = self.model.tokenize, self.table, self.by_word, [], []
+            number, total, mark = len(self.ends) - 1, len(self.flat), table[0x20]
             for i, piece, easy, empty in zip(new, pieces, plain.tolist(), void.tolist(), strict=True):
                 if easy:
-                    if self.by_word:
+                    if by_word:
                         piece = piece.decode().lower().encode()
-                    self.flat.extend([t.id for t in self.model.tokenize(piece.decode("latin-1").translate(self.table))])
+                    if piece.isascii():  # letters stand for themselves, only a first byte can be a blank
+                        text = mark + piece[1:].decode() if piece[0] == 0x20 else piece.decode()
+                    else:
+                        text = piece.decode("latin-1").translate(table)
+                    added += [t.id for t in tokenize(text)]
                 elif not empty:
-                    self.flat.extend(next(rest))
-                known[keys[i]] = len(self.ends) - 1
-                self.ends.append(len(self.flat))
-        number = np.array([known[k] for k in keys], np.int64)[place]
+                    added += next(rest)
+                known[keys[i]] = numbers[i] = number
+                number += 1
+                behind.append(total + len(added))
+            self.flat.extend(added)
+            self.ends.extend(behind)
+        number = np.array(numbers, np.int64)[place]
         ends = np.frombuffer(self.ends, np.int64).copy()
         begin, count = ends[number], ends[number + 1] - ends[number]
         before = np.concatenate(([0], np.cumsum(count)))
