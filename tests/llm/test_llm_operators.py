@@ -567,7 +567,12 @@ def test_mixing(spark):
 
 def test_raking_and_components_take_one_plan_a_round(spark):
     """The driver's memory grows with the plans it makes."""
-    number = spark._jvm.org.apache.spark.sql.execution.SQLExecution.nextExecutionId  # each call takes one, too
+
+    def number():
+        spark.range(1).count()  # an execution of its own, so that there is a last one
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return spark._jsparkSession.sharedState().statusStore().executionsList().last().executionId()
+
     cells = spark.createDataFrame([("a", "p", "x", 30), ("a", "q", "y", 10), ("b", "p", "y", 5), ("b", "q", "x", 55)], "s string, l string, t string, tokens long")
     aims = {m: mixing.tempered(cells, m, 0.5) for m in ("s", "l", "t")}
     at = [number()]
