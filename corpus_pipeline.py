@@ -40,7 +40,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Rows with a null doc_id stay as they are, and no passage counts as repeated because of them.
     """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    cut = repeats.remove_repeats(docs, carry=others)
+    cut = repeats.remove_repeats(docs.filter("doc_id is not null"), carry=others)
     rest = cut.filter((F.col("n_removed") == 0) | (F.trim("kept_text") != ""))
     n_chars = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("carried.n_chars")).alias("n_chars")
     new = {"doc_id": F.col("doc_id"), "text": F.col("kept_text").alias("text"), "n_chars": n_chars}

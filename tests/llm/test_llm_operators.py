@@ -131,6 +131,19 @@ def test_repeats_equal_brute_force(spark, crowd):
     assert repeats.remove_repeats(table(spark, [])).count() == 0
 
 
+def test_repeats_of_rows_that_share_an_id(spark, tmp_path):
+    """Each row is a document of its own; a text without an id repeats others' bytes as well."""
+    a, b, c = text(60), text(70), text(80)
+    rows = [(1, a + b), (1, c), (2, f"{text(5)} {a}"), (3, text(90)), (3, c + b), (4, text(50)), (5, None), (5, text(40)), (6, b), (6, b)]
+    rows += [(None, rows[5][1]), (None, None), (None, text(60))]
+    table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    out = repeats.op7_repeats(spark, str(tmp_path)).collect()
+    want = brute_repeats([((k, i), t) for k, (i, t) in enumerate(rows)], 200)
+    assert Counter(tuple(r) for r in out) == Counter((i, *w) for (_, i), w in want.items() if i is not None)
+    groups = repeats.repeat_groups(table(spark, rows)).filter("doc_id is null").collect()
+    assert min(r["start"] for r in groups) == 0 and max(r["start"] + r["length"] for r in groups) == len(rows[5][1].encode())
+
+
 @pytest.mark.parametrize("crowd", [1024, 1])
 def test_groups_have_all_occurrences(spark, crowd):
     """Each group is one string with all its places; groups cover what is removed; long passages come whole."""
