@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .. import kernels
-from ..errors import ConvergenceFailed, DimensionMismatch, EmptyInput, NotPositiveDefinite
+from ..errors import ConvergenceFailed, DimensionMismatch, EmptyInput, NotPositiveDefinite, NumericalInstability
 from ..storage import discard, materialize
 from .sparse import combine
 
+#: rows of a vector that are kept in one row of a table
+BLOCK = 1024
+
 
 @dataclass(frozen=True)
 class IterativeConfig:
@@ -63,10 +68,37 @@ def conjugate_gradient(coo: DataFrame, rhs: DataFrame, n: int, config: Iterative
     raise ConvergenceFailed
 
 
+def _vector_blocks(table: DataFrame, name: str) -> DataFrame:
+    """(block, ids, ``name``) of (i, ``name``): ``BLOCK`` neighbouring rows in one, in order."""
+    dealt = table.select(F.expr(f"i div {BLOCK}").alias("block"), F.struct("i", F.coalesce(name, F.lit(0.0)).alias("x")).alias("e"))
+    packed = dealt.groupBy("block").agg(F.sort_array(F.collect_list("e")).alias("e"))
+    return packed.select("block", F.col("e.i").alias("ids"), F.col("e.x").alias(name))
+
+
+def _mapped(solve: Callable[..., dict], columns: list[str]):
+    """``solve`` of the named columns of each row, arrays as numpy arrays; it returns the row's arrays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                cells = [batch.column(c)[i] for c in columns]
+                out = solve(*(c.values.to_numpy(zero_copy_only=False) if isinstance(c, pa.ListScalar) and c.is_valid else c.as_py() for c in cells))
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in out.values()], list(out))
+
+    return run
+
+
+def _summed(state: DataFrame, solve: Callable[..., dict], columns: list[str]) -> np.ndarray:
+    """The sums over all blocks of the array ``s`` that ``solve`` makes of each."""
+    parts = state.select(*columns).mapInArrow(_mapped(solve, columns), "s array<double>")
+    found = parts.select(F.posexplode("s").alias("k", "s")).groupBy("k").agg(F.sum("s").alias("s")).collect()  # a number a vector
+    return np.array([r["s"] for r in sorted(found)], float)
+
+
 def gmres(coo: DataFrame, rhs: DataFrame, n: int, config: IterativeConfig = IterativeConfig()) -> DataFrame:
-    """(i, x) for any matrix, without restart: the basis is a table (k, i, q), a small least-squares problem is on the driver.
+    """(i, x) for any matrix, without restart: a row of the state holds ``BLOCK`` rows of all of the basis, a small least-squares problem is on the driver.
 
-    New vectors are made orthogonal in two passes, each one join with all of the basis.
+    New vectors are made orthogonal in two passes; the state is dealt once a step, and a pass is a scan of it.
     """
     entries, b = _prepared(coo, rhs, n)
     limit = max(config.tolerance, kernels.TOLERANCE)
@@ -74,44 +106,79 @@ def gmres(coo: DataFrame, rhs: DataFrame, n: int, config: IterativeConfig = Iter
     if norm <= limit:
         return b.select("i", F.lit(0.0).alias("x"))
     m = min(n, config.max_iterations)
-    basis = [materialize(b.select(F.lit(0).alias("k"), "i", (F.col("b") / norm).alias("q")), "basis", clean=False)]
-    h, kept = np.zeros((m + 1, m)), [basis[0]]
+    fresh = materialize(_vector_blocks(b, "b").withColumnRenamed("b", "q"), "basis", clean=False)
+    h, r, g, turns = np.zeros((m + 1, m)), np.zeros((m + 1, m)), np.zeros(m + 1), []
+    g[0], scale, state = norm, 1 / norm, None
     for j in range(m):
-        w = b.select("i").join(_times(entries, basis[j], "q"), "i", "left").select("i", F.coalesce("y", F.lit(0.0)).alias("w"))
-        w = materialize(w, "krylov", clean=False)
-        whole = basis[0]
-        for q in basis[1:]:
-            whole = whole.unionByName(q)
-        stored = w
-        for _ in range(2):
-            shares = {r["k"]: r["s"] for r in whole.join(w, "i").groupBy("k").agg(F.sum(F.col("q") * F.col("w")).alias("s")).collect()}  # j + 1 numbers
-            factor = F.lit(0.0)
-            for k, s in shares.items():
-                h[k, j] += s
-                factor = F.when(F.col("k") == k, F.lit(float(s))).otherwise(factor)
-            off = whole.select("i", (factor * F.col("q")).alias("c")).groupBy("i").agg(F.sum("c").alias("c"))
-            w = w.join(off, "i", "left").select("i", (F.col("w") - F.coalesce("c", F.lit(0.0))).alias("w"))
+        # one more vector in the basis, and its product with the matrix
+        vector = fresh.select(F.explode(F.arrays_zip("ids", "q")).alias("e")).select(F.col("e.ids").alias("j"), (F.col("e.q") * F.lit(scale)).alias("q"))
+        y = entries.join(vector, "j").select(F.expr(f"i div {BLOCK}").alias("block"), "i", (F.col("v") * F.col("q")).alias("y")).repartition("block")
+        y = y.groupBy("block", "i").agg(F.coalesce(F.sum("y"), F.lit(0.0)).alias("y")).groupBy("block").agg(F.collect_list("i").alias("at"), F.collect_list("y").alias("y"))
+        wide = fresh.join(y, "block", "left")
+        wide = wide.join(state.select("block", "basis"), "block") if state is not None else wide.withColumn("basis", F.array().cast("array<double>"))
+
+        def grown(block, ids, q, at, y, basis, scale=scale):
+            w = np.zeros(len(ids))
+            if at is not None:
+                place = np.minimum(np.searchsorted(ids, at), len(ids) - 1)
+                known = ids[place] == at
+                w[place[known]] = y[known]
+            basis = np.concatenate((basis, q * scale))
+            return {"block": block, "ids": ids, "basis": basis, "w": w, "s": basis.reshape(-1, len(ids)) @ w}
+
+        columns = ["block", "ids", "q", "at", "y", "basis"]
+        wide = wide.select(*columns).mapInArrow(_mapped(grown, columns), "block long, ids array<long>, basis array<double>, w array<double>, s array<double>")
         seen = Observation()
-        w = materialize(w.observe(seen, F.sum(F.col("w") * F.col("w")).alias("ww")), "basis", clean=False)
-        discard(stored)
-        kept.append(w)
+        wide = wide.observe(seen, *(F.sum(F.col("s")[k]).alias(f"s{k}") for k in range(j + 1))).drop("s")
+        old, state = (fresh, state), materialize(wide, "krylov", clean=False)
+        discard(*(t for t in old if t is not None))
+
+        first = np.array([seen.get[f"s{k}"] for k in range(j + 1)])
+
+        def left(w, basis, shares):
+            q = basis.reshape(-1, len(w))
+            for s in shares:
+                w = w - s @ q
+            return w, q
+
+        def products(w, basis, first=first, left=left):
+            w, q = left(w, basis, [first])
+            return {"s": q @ w}
+
+        shares = [first, _summed(state, products, ["w", "basis"])]
+        h[: j + 1, j] = shares[0] + shares[1]
+
+        def orthogonal(block, ids, w, basis, shares=shares, left=left):
+            w, _ = left(w, basis, shares)
+            return {"block": block, "ids": ids, "q": w, "ww": float(w @ w)}
+
+        columns, seen = ["block", "ids", "w", "basis"], Observation()
+        rest = state.select(*columns).mapInArrow(_mapped(orthogonal, columns), "block long, ids array<long>, q array<double>, ww double")
+        fresh = materialize(rest.observe(seen, F.sum("ww").alias("ww")).drop("ww"), "basis", clean=False)
         h[j + 1, j] = float(np.sqrt(seen.get["ww"]))
-        right = np.zeros(j + 2)
-        right[0] = norm
-        small = h[: j + 2, : j + 1]
-        y = np.linalg.lstsq(small, right, rcond=None)[0]
-        done = h[j + 1, j] <= kernels.TOLERANCE or np.linalg.norm(right - small @ y) <= 0.1 * limit or j + 1 == m
-        if done:
+        if not np.isfinite(h[: j + 2, j]).all():
+            raise NumericalInstability
+        # the least residual as a product of sines: it falls on where that of a solution would stay at the rounding of the norm
+        r[: j + 2, j] = h[: j + 2, j]
+        for k, (c, s) in enumerate(turns):
+            r[k, j], r[k + 1, j] = c * r[k, j] + s * r[k + 1, j], c * r[k + 1, j] - s * r[k, j]
+        size = float(np.hypot(r[j, j], r[j + 1, j]))
+        c, s = (r[j, j] / size, r[j + 1, j] / size) if size else (1.0, 0.0)
+        turns.append((c, s))
+        r[j, j], r[j + 1, j] = size, 0.0
+        g[j], g[j + 1] = c * g[j], -s * g[j]
+        if h[j + 1, j] <= kernels.TOLERANCE or abs(g[j + 1]) <= 0.1 * limit:
             break
-        basis.append(w.select(F.lit(j + 1).alias("k"), "i", (F.col("w") / float(h[j + 1, j])).alias("q")))
-    if np.linalg.matrix_rank(small[: len(y), : len(y)]) < len(y):
+        scale = 1 / h[j + 1, j]
+    k = j + 1
+    if np.linalg.matrix_rank(h[:k, :k]) < k:
         raise ConvergenceFailed("breakdown")
-    weight = F.lit(0.0)
-    for k, v in enumerate(y):
-        weight = F.when(F.col("k") == k, F.lit(float(v))).otherwise(weight)
-    x = materialize(whole.select("i", (weight * F.col("q")).alias("c")).groupBy("i").agg(F.sum("c").alias("x")), "x")
+    y = np.linalg.solve(r[:k, :k], g[:k])
+    columns = ["ids", "basis"]
+    x = state.select(*columns).mapInArrow(_mapped(lambda ids, basis: {"ids": ids, "x": y @ basis.reshape(-1, len(ids))}, columns), "ids array<long>, x array<double>")
+    x = materialize(x.select(F.explode(F.arrays_zip("ids", "x")).alias("e")).select(F.col("e.ids").alias("i"), "e.x"), "x")
     left = b.join(_times(entries, x, "x"), "i", "left").select((F.col("b") - F.coalesce("y", F.lit(0.0))).alias("r"))
     if np.sqrt(left.agg(F.sum(F.col("r") * F.col("r"))).head()[0]) > limit:
         raise ConvergenceFailed
-    discard(*kept)
+    discard(fresh, state)
     return x

@@ -129,6 +129,19 @@ def test_sparse(spark):
     assert y[1] == 0 and y[0] == 3
 
 
+def test_gmres_stops_with_a_large_right_side(spark, monkeypatch):
+    """The estimate of the residual falls below the tolerance also where that is near the rounding of the right side's norm."""
+    _, _, coo, b = system(spark, 80)
+    x = np.arange(80) / 3 - 1
+    steps, kept = [], iterative.materialize
+    monkeypatch.setattr(iterative, "materialize", lambda df, label, **how: steps.append(label) or kept(df, label, **how))
+    monkeypatch.setattr(iterative, "BLOCK", 32)
+    b = b.withColumn("b", F.col("b") * 100)
+    out = {r["i"]: r["x"] for r in iterative.gmres(coo, b, 80).collect()}
+    assert np.allclose([out[i] for i in range(80)], 100 * x, atol=1e-8)
+    assert steps.count("krylov") < 40
+
+
 def test_compressed_rows(spark):
     entries = spark.createDataFrame([(0, 1, 5.0), (1, 0, 6.0), (2, 2, 7.0)], "k long, j long, v double")
     pointers = lambda p: spark.createDataFrame(list(enumerate(p)), "i long, pointer long")
