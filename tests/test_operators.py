@@ -39,6 +39,22 @@ def test_pairwise(spark):
         assert len(out) == 49 and all(np.isclose(r[2], want[r[0], r[1]]) for r in out)
 
 
+def test_pairs_of_blocks_are_not_shuffled(spark):
+    x = np.random.default_rng(3).normal(size=(40, 3))
+    x[20:30] = x[:10]  # ties
+    df = rows(spark, x)
+    for other in (df, rows(spark, x)):
+        out = pairwise.pairwise_l2_distance(df, other, block=7)
+        assert "CartesianProduct" in (plan := out._jdf.queryExecution().executedPlan().toString()) and "Exchange" not in plan
+        assert len({(r[0], r[1]) for r in out.collect()}) == 1600
+        top = {(r["left_id"], r["rank"]): r["right_id"] for r in pairwise.cosine_top_k(df, other, 5, block=7, digits=9).collect()}
+        unit = x / np.linalg.norm(x, axis=1)[:, None]
+        near = np.round(unit @ unit.T, 9)
+        for i in range(40):
+            want = sorted((j for j in range(40) if j != i), key=lambda j: (-near[i, j], j))[:5]
+            assert [top[i, n] for n in range(1, 6)] == want
+
+
 def test_cells_keep_going_after_a_bad_matrix(spark):
     df = spark.createDataFrame([(1, (2, 2, [4.0, 1.0, 2.0, 3.0]), [1.0, 2.0]), (2, (2, 2, [1.0, 2.0, 2.0, 4.0]), [1.0, 2.0]), (3, None, None)], f"id int, m {cells.MATRIX}, b array<double>")
     out = {r["id"]: r for r in cells.apply(df, "lu_solve", "m", "b").collect()}
